@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, pieces, pii, simhash
+from . import chat, licenses, mixing, pieces, pii, quality, simhash, topk
 from .common import table
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def _joined_labels(matches: Column) -> Column:
@@ -40,12 +41,35 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    names = {"q_words": "n_words", "q_word_chars": "word_chars", "q_symbols": "n_symbols", "q_dup_lines": "n_dup_lines", "q_repeat_words": "n_repeat_words"}
+    return judged.select("doc_id", *[F.col(k).alias(v) for k, v in names.items()], "base_failed", "kept")
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", F.col("mix_row").alias("source_row"), F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_block_row").alias("block_row"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_pii, op9_sentencepiece)}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = chat.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return chat.link_tool_calls(messages, {"reply": chat.REPLY}).withColumnRenamed("conv", "conv_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_simhash, op3_pii, op4_topk, op5_quality_rules, op6_mix_sources, op9_sentencepiece, op10_chat_format)
+}
+
 
-ORACLE_SQL: dict[str, str] = {}
