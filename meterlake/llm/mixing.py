@@ -63,8 +63,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, block_rows
     order, null ids first. Empty input gives no rows. Over MOST_SOURCES sources are refused.
     """
     plan = frame_slots(weights if weights is not None else source_weights(docs, source_col=source_col, temperature=temperature, frame=frame))
-    digits = 1
-    while docs.count() > _BUCKET_ROWS * 16**digits:
+    total, digits = docs.count(), 1
+    while total > _BUCKET_ROWS * 16**digits:
         digits += 1
     hashed = F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit(""))
     marked = docs.withColumns({"mix__key": _key(source_col), "mix__md5": hashed}).withColumn("mix__bucket", F.substring("mix__md5", 1, digits))

@@ -193,13 +193,17 @@ def encode_texts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     return map_texts(docs, work, "ids binary, decoded string", id_col=id_col, text_col=text_col)
 
 
-def encode_digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): as `encode_texts`, with digests in place of the content."""
+def encode_digests(docs: DataFrame, model_path: str, *, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): as `encode_texts`, with digests in place of the content.
+
+    with_ids adds the ids themselves as binary.
+    """
 
     def work(texts: Sequence[bytes]) -> dict[str, Sequence]:
         model = piece_model(model_path)
         ids = [model.encode(t.decode("utf-8", "replace")) for t in texts]
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        return {"n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(model.decode(x).encode()) for x in ids]}
+        return {"n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(model.decode(x).encode()) for x in ids], "ids": ids}
 
-    return map_texts(docs, work, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col=id_col, text_col=text_col)
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return map_texts(docs, work, fields, id_col=id_col, text_col=text_col)

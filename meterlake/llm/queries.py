@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, pieces, pii, quality, simhash, topk
+from . import chat, language, licenses, mixing, pieces, pii, quality, rules, simhash, topk
 from .common import table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -56,6 +56,14 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col("mix_row").alias("source_row"), F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_block_row").alias("block_row"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,7 +77,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_simhash, op3_pii, op4_topk, op5_quality_rules, op6_mix_sources, op9_sentencepiece, op10_chat_format)
+    for f in (op1_license_scan, op2_simhash, op3_pii, op4_topk, op5_quality_rules, op6_mix_sources, op7_quality_classifier, op8_language_id, op9_sentencepiece, op10_chat_format)
 }
 
 
