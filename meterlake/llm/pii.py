@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_texts
 
@@ -168,9 +170,6 @@ def find_spans_only(docs: DataFrame, *, min_score: float = 0.5, id_col: str = "d
 
 def mask_documents(docs: DataFrame, *, min_score: float = 0.5) -> DataFrame:
     """All columns of `docs` with personal data in `text` masked and `n_chars`, if there, counted anew."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else masked(t, find_spans(t, min_score)))
