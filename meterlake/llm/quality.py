@@ -50,22 +50,25 @@ def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null and empty texts count as zero words. Window equality is by 64-bit hash within a text.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumn("q__words", F.array_remove(F.split(text, f"{_SPACE}+"), ""))
-    out = out.withColumn("q__lines", F.filter(F.split(text, "\n"), lambda line: line.rlike("[^ \\t-\\r]")))
-    n = F.size("q__words")
-    hashes = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(WINDOW + 1)) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("q__words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    out = out.withColumn("q__hashes", hashes)
-    long = lambda c: c.cast("long")
-    distinct = F.size(F.array_distinct("q__hashes"))
-    return out.select(
-        *[c for c in docs.columns],
-        long(n).alias("q_words"),
-        long(F.length(F.array_join("q__words", ""))).alias("q_word_chars"),
-        long(F.size(F.split(text, "[#*$%&|<>]")) - 1).alias("q_symbols"),
-        long(F.size("q__lines")).alias("q_lines"),
-        long(F.size("q__lines") - F.size(F.array_distinct("q__lines"))).alias("q_dup_lines"),
-        long(F.when(distinct < F.size("q__hashes"), _repeats(F.col("q__hashes"))).otherwise(F.lit(0))).alias("q_repeat_words"),
-    )
+    words = F.array_remove(F.split(text, f"{_SPACE}+"), "")
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^ \\t-\\r]"))
+
+    def window_hashes(w: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(w) - (WINDOW - 1), F.lit(1)))
+        return F.when(F.size(w) > WINDOW, F.transform(places, lambda i: F.xxhash64(F.slice(w, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+
+    def repeated_words(w: Column) -> Column:
+        # most texts repeat no window and are done after the count of distinct hashes
+        return _let(window_hashes(w), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _repeats(h)).otherwise(F.lit(0)))
+
+    of_words = _let(words, lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), repeated_words(w).alias("repeats")))
+    of_lines = _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("different")))
+    out = docs.withColumns({"q__w": of_words, "q__l": of_lines})
+    values = {
+        "q_words": F.col("q__w.n"), "q_word_chars": F.col("q__w.chars"), "q_symbols": F.size(F.split(text, "[#*$%&|<>]")) - 1,
+        "q_lines": F.col("q__l.n"), "q_dup_lines": F.col("q__l.n") - F.col("q__l.different"), "q_repeat_words": F.col("q__w.repeats"),
+    }
+    return out.select(*docs.columns, *[v.cast("long").alias(k) for k, v in values.items()])
 
 
 #: Rules of the base: a document that fails one goes.
