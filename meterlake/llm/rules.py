@@ -25,16 +25,19 @@ NAMES = ("n_words", "word_chars", "upper", "marks", "bars", "bangs", "stops", "d
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with one double column `s__<name>` per statistic; null and empty texts give zeros."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumn("c__words", F.array_remove(F.split(text, f"{_SPACE}+"), ""))
-    n, chars = F.size("c__words"), F.length(text)
+    words = F.array_remove(F.split(text, f"{_SPACE}+"), "")
+    same = lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False))))
+    # words are bound once per text; a column of them would be split anew for each element of the lambda
+    of_words = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), same(w).alias("same"), F.size(F.array_distinct(w)).alias("different")))[0]
+    out = docs.withColumn("c__w", of_words)
+    n, chars = F.col("c__w.n"), F.length(text)
     share = lambda pattern: (F.size(F.split(text, pattern)) - 1) / F.greatest(chars, F.lit(1))
-    same = F.size(F.filter("c__words", lambda w, i: F.coalesce(F.get(F.col("c__words"), i - 1) == w, F.lit(False))))
     per_word = lambda c: c / F.greatest(n, F.lit(1))
     values = {
-        "n_words": n, "word_chars": per_word(F.length(F.array_join("c__words", ""))),
+        "n_words": n, "word_chars": per_word(F.col("c__w.chars")),
         "upper": share("[A-Z]"), "marks": share("[#*$%&<>^~=_]"), "bars": share("[|]"), "bangs": share("!"), "stops": share("[.]"), "digits": share("[0-9]"),
-        "same_as_before": per_word(same), "distinct": per_word(F.size(F.array_distinct("c__words"))), "lines_per_word": per_word(F.size(F.split(text, "\n"))),
-    }
+        "same_as_before": per_word(F.col("c__w.same")), "distinct": per_word(F.col("c__w.different")), "lines_per_word": per_word(F.size(F.split(text, "\n"))),
+    }
     return out.select(*docs.columns, *[values[k].cast("double").alias(f"s__{k}") for k in NAMES])
 
 
