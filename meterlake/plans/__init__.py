@@ -1,0 +1 @@
+"""Jobs: incremental ingestion per agent, and the usage report."""

@@ -1,0 +1 @@
+"""Log files, the SQLite store, and the Parquet warehouse."""
