@@ -203,7 +203,12 @@ def training_rows(docs: DataFrame, *, sample_rows: int = 500, sample_chars: int
     """Up to `sample_rows` (text, label) rows with a letter, at most `sample_chars` long, by smallest hash of the id."""
     rows = docs.select(F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("y"), F.xxhash64(id_col).alias("h"))
     rows = rows.filter(F.col("t").rlike("\\p{L}") & F.col("y").isNotNull() & (F.length("t") <= sample_chars))
-    return [(r["t"], r["y"]) for r in rows.orderBy("h", "t").limit(sample_rows).select("t", "y").collect()]
+    # hashes first: a task sends sample_rows numbers to the driver, not as many texts
+    chosen = rows.select("h").orderBy("h").limit(sample_rows).collect()
+    if not chosen:
+        return []
+    few = rows.filter(F.col("h") <= chosen[-1]["h"]).select("t", "y", "h").limit(2 * sample_rows).collect()
+    return [(r["t"], r["y"]) for r in sorted(few, key=lambda r: (r["h"], r["t"], r["y"]))[:sample_rows]]
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
