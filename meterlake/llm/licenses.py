@@ -1,8 +1,8 @@
 """Operator 1: licence scan with a positional index of rare licence words.
 
 Templates are short licence notices. The document frequency of every template word is
-counted over the whole corpus, and each template is posted under its rarest (highest-IDF)
-words with their offsets. A file looks its licence words up, rarest first; postings give
+counted over the whole corpus, and each template is posted under the rarest (highest-IDF)
+words of its mandatory phrases with their offsets. A file looks its licence words up, rarest first; postings give
 start positions (place in the file minus offset in the template), which are intersected over
 the template's rare words, within a slack for notices that are reworded. What survives is
 verified: mandatory key phrases must stand, word after word, inside the aligned window, and
@@ -84,7 +84,9 @@ class RareWordIndex:
         by_rarity = lambda w: (-self.idf[w], w)
         self.rare: list[list[tuple[bytes, int]]] = []  # of each template, rarest first, with the offset
         for t, ws in zip(self.templates, self.words, strict=True):
-            chosen = sorted(set(ws), key=by_rarity)
+            # only words of the mandatory phrases: a reworded notice still has those
+            must = {w for p in t.phrases for w in words_of(p.encode())}
+            chosen = sorted(must, key=by_rarity)
             chosen = chosen if t.base else chosen[:rare_words]
             self.rare.append([(w, ws.index(w)) for w in chosen])
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
