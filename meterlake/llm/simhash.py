@@ -131,7 +131,8 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    found = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    return found.union(found.select(F.col("root").alias("node"), "root").distinct())
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, dense_at: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,8 +145,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, dense_at: int = 128, id_
     marked = checkpointed(fingerprints(docs, width=width, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("id"), "fp"))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("rep")))
     roots = components(links(distinct.select("fp"), dense_at=dense_at)).withColumnRenamed("node", "fp")
-    tied = roots.union(roots.select(F.col("root").alias("fp"), "root").distinct())
-    tied = checkpointed(tied.join(distinct, "fp"))
+    tied = checkpointed(roots.join(distinct, "fp"))
     least = tied.groupBy("root").agg(F.min("rep").alias("lowest"))
     named = tied.join(least, "root").select("fp", "lowest")
     named = distinct.join(named, "fp", "left").select("fp", F.coalesce("lowest", "rep").alias("component"))

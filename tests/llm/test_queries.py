@@ -1,0 +1,58 @@
+"""Queries and the pipeline over the smallest tables, against SQL and brute force."""
+
+import os
+
+import brute
+import corpus_pipeline
+import duckdb
+import pytest
+from meterlake.llm import mixing, pii, queries
+
+pytestmark = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, sf_dir)
+    columns = ", ".join(sorted(got.columns))
+    want = con.execute(f"select {columns} from ({queries.ORACLE_SQL[name]}) x").fetchall()
+    key = lambda row: tuple((x is not None, str(x)) for x in row)
+    assert sorted(map(tuple, got.select(*sorted(got.columns)).collect()), key=key) == sorted(want, key=key)
+
+
+def test_pipeline(spark, sf_dir):
+    """All stages against plain Python: who stays, what is masked, what is encoded."""
+    import hashlib
+
+    import numpy as np
+    import public_tokenizers
+    import sentencepiece
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    fine = {}
+    for d, t in rows.items():
+        n, *_, repeats = brute.quality(t)
+        if n >= 20 and 100 * repeats <= 30 * n:
+            fine[d] = t
+    groups = brute.near_components([(d, brute.fingerprint(t)) for d, t in sorted(fine.items())])
+    want = {d: pii.masked(t, pii.find_spans(t)) for d, t in fine.items() if groups[d] == d}
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert set(got) == set(want)
+    ref = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for d, text in want.items():
+        ids = np.array(ref.encode(text, add_bos=True, add_eos=True), "<u4").tobytes()
+        assert (got[d]["n_tokens"], got[d]["ids"], got[d]["ids_sha256"]) == (len(ids) // 4, bytes(ids), hashlib.sha256(ids).hexdigest())
+        assert got[d]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(5), sf_dir).columns == docs.columns
+
+
+def test_pipeline_order_follows_slots(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    slots = {r["doc_id"]: (r["mix_slot"], r["mix_block_row"]) for r in mixing.mix_sources(docs).collect()}
+    order = [slots[r["doc_id"]] for r in mixing.in_mixed_order(docs).select("doc_id").collect()]
+    assert order == sorted(order)
