@@ -84,7 +84,7 @@ def lenient_whole(value: Column, path: str = "$") -> Column:
     cut = F.try_variant_get(part, "$", "double").cast("decimal(38,6)")
     return F.coalesce(
         F.when(k == "BIGINT", F.try_variant_get(part, "$", "bigint"))
-        .when(k.isin("DOUBLE", "DECIMAL", "FLOAT"), F.signum(cut).cast("long") * F.floor(F.abs(cut)).cast("long"))
+        .when(k.isin("DOUBLE", "DECIMAL", "FLOAT"), (F.signum(cut) * F.floor(F.abs(cut))).try_cast("bigint"))
         .when(k == "BOOLEAN", F.try_variant_get(part, "$", "boolean").cast("long"))
         .when(k == "STRING", F.when(F.trim(F.try_variant_get(part, "$", "string")).rlike("^[+-]?[0-9]+$"), F.trim(F.try_variant_get(part, "$", "string")).try_cast("bigint"))),
         F.lit(0).cast("long"),

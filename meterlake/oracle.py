@@ -226,6 +226,10 @@ ORACLE_SQL: dict[str, str] = {
     "session_report": f"{_priced('opencode')} select session_id, {SUMS}, strftime(max(event_timestamp), '%Y-%m-%d %H:%M:%S') as last_activity, count(distinct model_code) as models from priced group by 1",
     "cost_modes": f"""{_priced('opencode')}, r as (select event_id, cost, case when event_id % 3 <> 0 then cost + case when event_id % 5 = 0 then 0.5e0 else 0e0 end end as reported from priced)
       select event_id, coalesce(reported, cost) as auto, cost as calculate, coalesce(reported, 0e0) as display from r""",
+    "raw_log_scan": f"select case event_id % 3 when 0 then 'gemini_cli.api_response' when 1 then 'gemini_cli.api_request' else 'gemini_cli.config' end as name, count(*) as n, cast(sum({K}) as bigint) as input_tokens from events group by 1",
+    "jsonl_scan_quarantine": """with l as (select *, row_number() over (partition by user_id order by event_id) as line, user_id % 10 = 0 and event_id % 50 = 0 as broken from events)
+      select user_id, count(*) as n, count(*) filter (where broken) as bad, min(line) filter (where broken) as first_bad from l group by 1""",
+    "claude_ingest": f"with {USAGE} select concat('u', cast(user_id as varchar)) as session_id, count(*) as n, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens from usage where model_code is not null group by 1",
     "cost_mismatch": f"{_priced('opencode')} select event_id, round(cost + 0.5e0 - cost, 6) as difference from priced where event_id % 5 = 0",
 }
 

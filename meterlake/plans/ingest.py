@@ -69,7 +69,7 @@ def _file_errors(parsed: Parsed, passing: DataFrame, folded: DataFrame) -> DataF
     return found.unionByName(late).groupBy("file_path").agg(F.min("e").alias("e")).select("file_path", F.col("e.class").alias("error"))
 
 
-def ingest_sessions(warehouse: Warehouse, agent: str, roots: list[str], *, full_refresh: bool = False, refresh_metadata: bool = False, now: datetime | None = None) -> DataFrame:
+def ingest_sessions(warehouse: Warehouse, agent: str, roots: list[str], *, full_refresh: bool = False, refresh_metadata: bool = False, pattern: str = "*.jsonl", now: datetime | None = None) -> DataFrame:
     """Claude, Codex and Pi session logs into their tables.
 
     Files whose size and time are those of the last run are skipped; a file with a bad row is
@@ -78,7 +78,7 @@ def ingest_sessions(warehouse: Warehouse, agent: str, roots: list[str], *, full_
     states and checkpoints. refresh_metadata also derives session metadata of unchanged files anew.
     """
     spark, at = warehouse.spark, _now(now)
-    states = scan.session_files(spark, roots)
+    states = scan.session_files(spark, roots, pattern)
     prior = warehouse.read(f"{agent}_ingestion_files").select(F.col("session_file_path").alias("file_path"), F.col("file_size_bytes").alias("file_size"), "file_mtime")
     changed = (states if full_refresh else incremental.changed_files(states, prior)).persist()
     counters = dict(_EMPTY, scanned=states.count())
@@ -86,11 +86,11 @@ def ingest_sessions(warehouse: Warehouse, agent: str, roots: list[str], *, full_
     counters["unchanged"] = counters["scanned"] - len(paths)
     if refresh_metadata and counters["unchanged"]:
         every = [r["file_path"] for r in states.select("file_path").collect()]
-        _store_sessions(warehouse, agent, _parse(agent, scan.json_lines(scan.lines(spark, every)), roots).files.filter("identity_error is null"), at)
+        _store_sessions(warehouse, agent, _parse(agent, scan.json_lines(scan.lines(spark, every, pattern=pattern)), roots).files.filter("identity_error is null"), at)
     if not paths:
         changed.unpersist()
         return _report(warehouse, agent, counters, at)
-    parsed = scan.json_lines(scan.lines(spark, paths)).persist()
+    parsed = scan.json_lines(scan.lines(spark, paths, pattern=pattern)).persist()
     rounds = incremental.file_rounds(_parse(agent, parsed, roots).files.select("file_path", "session_id"), ["session_id"]).persist()
     for n in range(1, rounds.agg(F.max("round")).first()[0] + 1):
         batch = parsed if n == 1 and rounds.filter("round > 1").isEmpty() else parsed.join(rounds.filter(F.col("round") == n).select("file_path"), "file_path", "left_semi")

@@ -14,6 +14,10 @@ from .functions.cost import event_cost
 from .functions.prices import flatten_prices, price_keys, small, with_prices
 from .functions.times import day_in_zone, in_days, last_days
 from .operators import checks, dedupe, incremental, registry, simplify, stats, turns
+from .plans.ingest import ingest_sessions
+from .sources import lines
+from .sources.scratch import scratch_folder
+from .sources.warehouse import Warehouse, usage_events
 from .views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -455,3 +459,43 @@ def cost_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def usage_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = stats.usage_blocks(views.usage(spark, sf_dir), "user_id")
     return blocks.groupBy("user_id", F.date_format("block_start", "yyyy-MM-dd HH:mm:ss").alias("block")).agg(F.count("*").alias("n"), F.sum("output_tokens").alias("output_tokens"))
+
+
+@query
+def raw_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a raw telemetry log (indented objects, one after another), written and scanned again."""
+    path = scratch_folder(spark, "telemetry")
+    records = simplify.telemetry_records(table(spark, sf_dir, "events"))
+    opened = F.regexp_replace(F.regexp_replace("value", "^\\{", "{\n  "), "\\}$", "\n}")
+    records.select(opened.alias("value")).write.text(path)
+    v = F.try_parse_json("value")
+    return lines.concatenated_objects(spark, [path]).groupBy(simplify.name_of(v).alias("name")).agg(F.count("*").alias("n"), F.sum(strict_json.whole(v, "$.attributes.input_token_count")).alias("input_tokens"))
+
+
+@query
+def jsonl_scan_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as one JSON-lines log per user, some lines broken: files with a bad line, and the first such line of each."""
+    path = scratch_folder(spark, "logs")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when((F.col("user_id") % 10 == 0) & (F.col("event_id") % 50 == 0), "{broken").otherwise(F.to_json(F.struct("event_id", "event_type"))).alias("value"))
+    e.repartition("user_id").sortWithinPartitions("user_id", "event_id").select("user_id", "value").write.partitionBy("user_id").text(path)
+    scanned = lines.json_lines(lines.lines(spark, [path], pattern="*.txt"))
+    user = F.regexp_extract("file_path", "user_id=([0-9]+)", 1).cast("long").alias("user_id")
+    return scanned.groupBy(user).agg(F.count("*").alias("n"), F.count_if("malformed").alias("bad"), F.min(F.when(F.col("malformed"), F.col("line_number"))).alias("first_bad"))
+
+
+@query
+def claude_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage events as session logs with partial and final lines, ingested; tokens per session from the warehouse."""
+    logs, store = scratch_folder(spark, "claude-logs"), scratch_folder(spark, "claude-warehouse")
+    u = views.usage(spark, sf_dir).filter("model_code is not null")
+    tokens = lambda n: F.struct("input_tokens", n.alias("output_tokens"), F.col("cache_read_tokens").alias("cache_read_input_tokens"))
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    line = lambda n, stop: F.to_json(F.struct(
+        F.lit("assistant").alias("type"), name.alias("sessionId"), F.date_format("event_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.col("message_id").alias("requestId"),
+        F.struct(F.col("message_id").alias("id"), F.col("model_code").alias("model"), F.lit(stop).cast("string").alias("stop_reason"), tokens(n).alias("usage")).alias("message"),
+    ))
+    both = u.select("user_id", "event_id", F.posexplode(F.array(line(F.lit(0).cast("long"), None), line(F.col("output_tokens"), "end_turn"))).alias("n", "value"))
+    both.repartition("user_id").sortWithinPartitions("user_id", "event_id", "n").select("user_id", "value").write.partitionBy("user_id").text(logs)
+    warehouse = Warehouse(spark, store)
+    ingest_sessions(warehouse, "claude", [logs], pattern="*.txt")
+    return usage_events(warehouse, "claude").groupBy("session_id").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))

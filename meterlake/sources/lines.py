@@ -50,15 +50,20 @@ def concatenated_objects(spark: SparkSession, paths: list[str], pattern: str = "
     they parse; an unfinished rest is dropped.
     """
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n}\n").text(paths)
-    part = read.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block__"), F.monotonically_increasing_id().alias("place__"), F.regexp_replace("value", "\n}\\s*$", "").alias("value"))
-    part = part.withColumn("value", F.concat("value", F.lit("\n}"))).withColumn("ok__", F.try_parse_json("value").isNotNull())
+    part = read.selectExpr(*STATE, "_metadata.file_block_start as block__", "monotonically_increasing_id() as place__", "value")
+    # every piece was followed by the separator if sizes add up; else the last one is open unless it ends with a brace
+    sizes = part.groupBy("file_path").agg((F.sum(F.octet_length("value") + 3) == F.max("file_size")).alias("closed__"), F.max(F.struct("block__", "place__")).alias("last__"))
+    part = part.join(sizes, "file_path")
+    cut_off = ~F.col("closed__") & (F.struct("block__", "place__") == F.col("last__"))
+    whole_text = F.when(~cut_off, F.concat("value", F.lit("\n}"))).when(F.col("value").rlike("(?s)\n}\\s*$"), F.col("value"))
+    part = part.withColumn("value", whole_text).filter("value is not null").select("file_path", "block__", "place__", "value", F.try_parse_json("value").isNotNull().alias("ok__"))
     whole = part.filter("ok__").select("file_path", "value")
     # pieces that don't parse alone are rare: only they are gathered, by run of neighbours
     order = Window.partitionBy("file_path").orderBy("block__", "place__")
     runs = part.withColumn("run__", F.sum(F.col("ok__").cast("int")).over(order)).filter(~F.col("ok__"))
     joined = runs.groupBy("file_path", "run__").agg(F.array_sort(F.collect_list(F.struct("block__", "place__", "value"))).alias("pieces"))
     folded = F.expr("""
-        aggregate(transform(pieces, p -> p.value), named_struct('buffer', '', 'done', cast(array() as array<string>)),
+        aggregate(flatten(transform(pieces, p -> split(p.value, '(?<=^\\\\})\\n'))), named_struct('buffer', '', 'done', cast(array() as array<string>)),
           (a, x) -> if(try_parse_json(concat(a.buffer, if(a.buffer = '', '', '\n'), x)) is not null,
             named_struct('buffer', '', 'done', concat(a.done, array(concat(a.buffer, if(a.buffer = '', '', '\n'), x)))),
             named_struct('buffer', concat(a.buffer, if(a.buffer = '', '', '\n'), x), 'done', a.done)),
