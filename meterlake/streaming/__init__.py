@@ -1,0 +1 @@
+"""Structured Streaming front of the incremental ingestion."""

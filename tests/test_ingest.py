@@ -44,17 +44,15 @@ def test_claude_three_runs(spark, tmp_path):
     assert usage_events(w, "claude").agg(F.sum("input_tokens")).first()[0] == 300
 
 
-@pytest.mark.parametrize(("rows", "output", "duplicates"), [
-    ([claude(1, message="a"), claude(2, message="a")], 50, 1),
-    ([claude(1, (100, 8), None, "a"), claude(2, (100, 168), None, "a")], 8, 1),
-    ([claude(1, (100, 8), None, "a"), claude(2, (100, 168), "tool_use", "a")], 168, 0),
-])
-def test_claude_duplicates(spark, tmp_path, rows, output, duplicates):
-    w = Warehouse(spark, str(tmp_path / "w"))
-    write(tmp_path / "logs/p/s.jsonl", *rows)
-    got = counts(ingest_sessions(w, "claude", [str(tmp_path / "logs")]))
-    assert got["duplicates"] == duplicates
-    assert [r["output_tokens"] for r in w.read("claude_usage_events").collect()] == [output]
+def test_claude_duplicates(spark, tmp_path):
+    """Equal tokens, partial after partial, and final after partial; one session each."""
+    w, root = Warehouse(spark, str(tmp_path / "w")), tmp_path / "logs"
+    write(root / "p/equal.jsonl", claude(1, message="a", session="equal"), claude(2, message="a", session="equal"))
+    write(root / "p/partial.jsonl", claude(1, (100, 8), None, "a", "partial"), claude(2, (100, 168), None, "a", "partial"))
+    write(root / "p/final.jsonl", claude(1, (100, 8), None, "a", "final"), claude(2, (100, 168), "tool_use", "a", "final"))
+    got = counts(ingest_sessions(w, "claude", [str(root)]))
+    assert (got["raw"], got["duplicates"]) == (6, 2)
+    assert {r["session_id"]: r["output_tokens"] for r in w.read("claude_usage_events").collect()} == {"equal": 50, "partial": 8, "final": 168}
 
 
 def test_claude_bad_file_is_rejected_alone(spark, tmp_path):
@@ -106,19 +104,19 @@ def test_codex_three_runs(spark, tmp_path):
     assert rows == [(10, "gpt-5"), (20, "gpt-5"), (30, "o3")]
 
 
-@pytest.mark.parametrize(("rows", "counter"), [
-    ([token(1, snap(10), snap(10)), token(2, snap(10, output_tokens=1), snap(0))], "parse_errors"),
-    ([token(1, snap(10), snap(10)), token(2, snap(9), snap(1))], "monotonicity_errors"),
-    ([token(1, snap(10), snap(10)), token(2, snap(18), snap(7))], "delta_errors"),
-    ([turn(None), token(1, snap(10), snap(10))], "parse_errors"),
-    ([token(1, snap("x"), snap(10))], "parse_errors"),
-])
-def test_codex_errors(spark, tmp_path, rows, counter):
-    w = Warehouse(spark, str(tmp_path / "w"))
-    write(tmp_path / "logs/a.jsonl", META, turn("m"), *rows)
-    got = counts(ingest_sessions(w, "codex", [str(tmp_path / "logs")]))
-    assert (got[counter], got["failed"], got["ingested"]) == (1, 1, 0)
-    assert w.read("codex_session_details").isEmpty()
+def test_codex_errors(spark, tmp_path):
+    """One file per error; only the good one is stored."""
+    w, root = Warehouse(spark, str(tmp_path / "w")), tmp_path / "logs"
+    first = token(1, snap(10), snap(10))
+    cases = {
+        "conflict": [first, token(2, snap(10, output_tokens=1), snap(0))], "falls": [first, token(2, snap(9), snap(1))], "delta": [first, token(2, snap(18), snap(7))],
+        "model": [turn(None), first], "type": [token(1, snap("x"), snap(10))], "good": [first, token(2, snap(10), snap(0)), token(3, snap(18), snap(8))],
+    }
+    for n, (name, rows) in enumerate(cases.items()):
+        write(root / f"{name}.jsonl", {**META, "payload": {"id": f"{n}{SID[1:]}"}}, turn("m"), *rows)
+    got = counts(ingest_sessions(w, "codex", [str(root)]))
+    assert (got["parse_errors"], got["monotonicity_errors"], got["delta_errors"], got["failed"], got["ingested"], got["duplicates"]) == (3, 1, 1, 5, 1, 1)
+    assert sorted(r["event_line_number"] for r in w.read("codex_session_details").collect()) == [3, 5]
 
 
 def pi_row(n, **usage):
@@ -141,11 +139,14 @@ def test_pi_three_runs(spark, tmp_path):
     assert w.read("pi_session_metadata").first()["cwd"] == "/home/alice/work"
 
 
-@pytest.mark.parametrize("bad", [pi_row(1, input=True), pi_row(1, totalTokens="x"), pi_row(1, cost=3), {**pi_row(1), "id": ""}, pi_row(2)])
-def test_pi_bad_rows_reject_the_file(spark, tmp_path, bad):
-    w = Warehouse(spark, str(tmp_path / "w"))
-    write(tmp_path / "logs/--a--/x_abc.jsonl", {"type": "session", "id": "abc", "version": 3, "timestamp": "2026-01-01T00:00:00Z"}, pi_row(2), bad)
-    assert counts(ingest_sessions(w, "pi", [str(tmp_path / "logs")]))["failed"] == 1
+def test_pi_bad_rows_reject_the_file(spark, tmp_path):
+    w, root = Warehouse(spark, str(tmp_path / "w")), tmp_path / "logs"
+    bad = [pi_row(1, input=True), pi_row(1, totalTokens="x"), pi_row(1, cost=3), {**pi_row(1), "id": ""}, pi_row(2)]
+    for n, row in enumerate(bad):
+        write(root / f"--a--/x_s{n}.jsonl", {"type": "session", "id": f"s{n}", "version": 3, "timestamp": "2026-01-01T00:00:00Z"}, pi_row(2), row)
+    write(root / "--a--/x_other.jsonl", {"type": "session", "id": "name", "version": 3, "timestamp": "2026-01-01T00:00:00Z"}, pi_row(2))
+    got = counts(ingest_sessions(w, "pi", [str(root)]))
+    assert (got["failed"], got["ingested"]) == (6, 0)
 
 
 def gemini_row(minute, model, **more):
