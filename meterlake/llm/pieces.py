@@ -28,7 +28,8 @@ from .common import map_texts
 SPACE = "▁"
 #: Ids above this stand for characters without a piece; they become byte pieces.
 _CHAR = 1 << 24
-_MEMO, _SHORT = 400_000, 48
+#: Remembered segments, their longest length, and remembered pairs, per Python worker.
+_MEMO, _SHORT, _PAIRS = 100_000, 48, 300_000
 
 
 class PieceModel:
@@ -85,7 +86,7 @@ class PieceModel:
         key = left << 24 | right
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) > 2 * _MEMO:
+            if len(self._pairs) > _PAIRS:
                 self._pairs.clear()
             a, b = self.pieces[left], self.pieces[right]
             known = self._pairs[key] = self._merge(a + b) == [a, b]
