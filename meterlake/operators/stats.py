@@ -117,7 +117,8 @@ def usage_blocks(events: DataFrame, key: str, hours: int = 5, time_col: str = "e
     the hours of the run works out, so its memory follows the length of a run in hours.
     """
     wall = events.withColumn("wall__", as_wall_clock(events, time_col, "UTC"))
-    seconds = F.unix_seconds(F.col("wall__").cast("timestamp"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = F.timestamp_diff("SECOND", epoch, F.col("wall__"))
     timed = wall.withColumn("sec__", seconds)
     order = Window.partitionBy(key).orderBy("sec__")
     pause = F.coalesce(F.col("sec__") - F.lag("sec__").over(order) > hours * 3600, F.lit(True))
@@ -128,7 +129,7 @@ def usage_blocks(events: DataFrame, key: str, hours: int = 5, time_col: str = "e
     chain = chain.withColumn("starts__", starts).drop("h")
     joined = runs.join(chain, [key, "run__"])
     start = F.array_max(F.filter("starts__", lambda s: s <= F.floor(F.col("sec__") / 3600)))
-    return joined.withColumn("block_start", F.timestamp_seconds(start * 3600).cast("timestamp_ntz")).drop("wall__", "sec__", "run__", "starts__")
+    return joined.withColumn("block_start", F.timestamp_add("HOUR", start, epoch)).drop("wall__", "sec__", "run__", "starts__")
 
 
 def burn_rate(blocks: DataFrame, key: str, now: Column, hours: int = 5, time_col: str = "event_timestamp") -> DataFrame:
