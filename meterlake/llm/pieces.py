@@ -28,8 +28,8 @@ from .common import map_texts
 SPACE = "▁"
 #: Ids above this stand for characters without a piece; they become byte pieces.
 _CHAR = 1 << 24
-#: Remembered segments, their longest length, and remembered pairs, per Python worker.
-_MEMO, _SHORT, _PAIRS = 100_000, 48, 300_000
+#: Remembered segments of a generation, their longest length, and remembered pairs of a generation, per Python worker.
+_MEMO, _SHORT, _PAIRS = 200_000, 48, 400_000
 
 
 class PieceModel:
@@ -43,11 +43,13 @@ class PieceModel:
         self.scores: dict[str, float] = {}
         self.pieces: list[str] = []
         self.raw: list[bytes] = []
+        self.sizes: list[int] = []
         self.bytes_: dict[int, int] = {}
         self.matcher = ahocorasick.Automaton()
         for i in range(size):
             piece = model.id_to_piece(i)
             self.pieces.append(piece)
+            self.sizes.append(len(piece))
             if model.is_byte(i):
                 self.bytes_[int(piece[3:5], 16)] = i
                 self.raw.append(bytes([int(piece[3:5], 16)]))
@@ -62,8 +64,11 @@ class PieceModel:
         if len(self.bytes_) != 256 or any(inner.search(p) or ("\n" in p and len(p) > 1) or any(c not in self.ids for c in p) for p in self.ids):
             raise ValueError(f"{path}: not a BPE model with byte fallback whose pieces keep spaces in front")
         self._cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+        # two generations each: what is still in use moves from the older one to the younger one
         self._pairs: dict[int, bool] = {}
+        self._older_pairs: dict[int, bool] = {}
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _merge(self, text: str) -> list[str]:
         """Plain BPE of a short text: the best-scored adjacent pair first, the leftmost of equals."""
@@ -86,10 +91,13 @@ class PieceModel:
         key = left << 24 | right
         known = self._pairs.get(key)
         if known is None:
+            known = self._older_pairs.get(key)
+            if known is None:
+                a, b = self.pieces[left], self.pieces[right]
+                known = self._merge(a + b) == [a, b]
+            self._pairs[key] = known
             if len(self._pairs) > _PAIRS:
-                self._pairs.clear()
-            a, b = self.pieces[left], self.pieces[right]
-            known = self._pairs[key] = self._merge(a + b) == [a, b]
+                self._older_pairs, self._pairs = self._pairs, {}
         return known
 
     def _alone(self, piece: int) -> bool:
@@ -108,9 +116,33 @@ class PieceModel:
         found: list[list[int]] = [[] for _ in range(n)]
         for end, (i, size) in self.matcher.iter(text):
             found[end + 1 - size].append(i)  # ends rise, so the longest comes last
-        for k in range(n):
-            if text[k] not in self.ids:
-                found[k] = [_CHAR + ord(text[k])]
+        for k, options in enumerate(found):
+            if not options:  # a known character is a piece itself
+                options.append(_CHAR + ord(text[k]))
+        # most texts need no step back: the longest compatible match, again and again
+        out: list[int] = []
+        known, sizes, at, last = self._pairs, self.sizes, 0, -1
+        while at < n:
+            for i in reversed(found[at]):
+                if last < 0:
+                    good = self._alone(i)
+                else:
+                    good = known.get(last << 24 | i)
+                    if good is None:
+                        good = self._compatible(last, i)
+                        known = self._pairs
+                if good:
+                    break
+            else:
+                return self._search(text, found)
+            out.append(i)
+            at += sizes[i] if i < _CHAR else 1
+            last = i
+        return out
+
+    def _search(self, text: str, found: list[list[int]]) -> list[int]:
+        """Backtracking over the matches from each start; positions without a completion are marked."""
+        n = len(text)
         pieces = self.pieces
         failed = bytearray(n + 1)
         out: list[int] = []
@@ -154,12 +186,13 @@ class PieceModel:
         if not text:
             return ends
         parts = self._cut.findall(SPACE + text.replace(" ", SPACE))
+        if len(self._known) > _MEMO:
+            self._older, self._known = self._known, {}
         known = self._known
-        if len(known) > _MEMO:
-            known.clear()
         long: dict[str, bytes] = {}
         for part in set(parts).difference(known):
-            (known if len(part) <= _SHORT else long)[part] = self._encoded(part)
+            ids = self._older.get(part) or self._encoded(part)
+            (known if len(part) <= _SHORT else long)[part] = ids
         body = b"".join([known[p] for p in parts] if not long else [known[p] if p in known else long[p] for p in parts])
         return ends[:4] + body + ends[4:]
 
