@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: More sources than this must be grouped first; the frame is worked out in one row.
 MOST_SOURCES = 10_000
-_BUCKET_ROWS = 10_000
+_BUCKET_ROWS = 2_000
 
 
 def source_weights(docs: DataFrame, *, source_col: str = "source", temperature: float = 0.5, frame: int = 1000) -> DataFrame:
