@@ -19,28 +19,59 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-MOST_LEVELS = 1000
+#: Rounds of placed calls that are gathered before they are written together.
+MOST_LEVELS = 50
+
+
+def _chains(edges: DataFrame) -> DataFrame:
+    """(conv, call, needed, far, late): edges (far 1, late null) with runs of calls that need just one call cut short.
+
+    A call with one need points to the end of its run: the first call there with no need or
+    several. `far` counts the edges between, `late` is the latest turn of the calls passed.
+    Pointers double in each round.
+    """
+    single = edges.groupBy("conv", "call").agg(F.min("needed").alias("needed"), F.min("turn").alias("turn"), F.count("*").alias("n")).filter("n = 1")
+    jumps = checkpointed(single.select("conv", "call", "needed", F.lit(1).alias("far"), F.lit(None).cast("long").alias("late"), "turn"))
+    limit, done = jumps.count().bit_length() + 1, False
+    for _ in range(limit):
+        on = jumps.select("conv", F.col("call").alias("needed"), F.col("needed").alias("next"), F.col("far").alias("more"), F.greatest("late", "turn").alias("passed"))
+        moved = jumps.join(on, ["conv", "needed"], "left")
+        jumps = checkpointed(moved.select("conv", "call", F.coalesce("next", "needed").alias("needed"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.greatest("late", "passed").alias("late"), "turn", F.col("next").isNotNull().alias("hit")))
+        done = jumps.filter("hit").isEmpty()
+        if done:
+            break
+        jumps = jumps.drop("hit")
+    if not done and not jumps.isEmpty():
+        raise ValueError("tool calls depend on each other in a cycle")
+    several = edges.join(single, ["conv", "call"], "left_anti").select("conv", "call", "needed", F.lit(1).alias("far"), F.lit(None).cast("long").alias("late"))
+    return checkpointed(several.union(jumps.select("conv", "call", "needed", "far", "late")))
 
 
 def _levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """(conv, call, level): 0 for calls without dependencies, else one more than the highest of theirs.
+    """(conv, call, level, place): level is 0 for calls without dependencies, else one more than the highest of
+    theirs; place is the latest turn of the call and of all that it needs, directly or not.
 
-    Kahn's rounds: each joins the open edges with the calls placed last round. A cycle, or a
-    chain of over MOST_LEVELS calls, is an error.
+    Kahn's rounds: each joins the open edges with the calls placed last round. A cycle is an error.
     """
-    edges = checkpointed(needs.join(calls.select("conv", "call"), ["conv", "call"], "left_semi").join(calls.select("conv", F.col("call").alias("needed")), ["conv", "needed"], "left_semi").select("conv", "call", "needed").distinct())
-    if edges.isEmpty():
-        return calls.select("conv", "call").distinct().withColumn("level", F.lit(0))
-    level = calls.select("conv", "call").distinct().withColumn("level", F.lit(0))
-    reached = edges
-    for k in range(1, MOST_LEVELS):
-        # calls that still have a dependency chain of length k
-        pushed = checkpointed(reached.select("conv", "call").distinct())
-        if pushed.isEmpty():
-            return level
-        level = checkpointed(level.join(pushed.withColumn("hit", F.lit(True)), ["conv", "call"], "left").select("conv", "call", F.when(F.col("hit"), F.lit(k)).otherwise(F.col("level")).alias("level")))
-        reached = edges.join(pushed.select("conv", F.col("call").alias("needed")), ["conv", "needed"], "left_semi")
-    raise ValueError(f"tool calls depend on each other in a cycle, or in a chain of over {MOST_LEVELS}")
+    known = checkpointed(calls.select("conv", "call", "call_turn"))
+    edges = needs.select("conv", "call", "needed").distinct().join(known.select("conv", "call", F.col("call_turn").alias("turn")), ["conv", "call"])
+    edges = checkpointed(edges.join(known.select("conv", F.col("call").alias("needed")), ["conv", "needed"], "left_semi"))
+    open_edges = checkpointed(_chains(edges).withColumns({"level": F.lit(None).cast("int"), "place": F.lit(None).cast("long")}))
+    front = known.join(edges, ["conv", "call"], "left_anti").select("conv", "call", F.lit(0).alias("level"), F.col("call_turn").alias("place"))
+    placed, gathered = checkpointed(front), []
+    front = placed
+    while not open_edges.isEmpty():
+        if front.isEmpty():
+            raise ValueError("tool calls depend on each other in a cycle")
+        hit = open_edges.join(front.select("conv", F.col("call").alias("needed"), F.col("level").alias("below"), F.col("place").alias("put")), ["conv", "needed"], "left")
+        open_edges = checkpointed(hit.select("conv", "call", "needed", "far", "late", F.coalesce("level", F.col("below") + F.col("far")).alias("level"), F.coalesce("place", F.greatest("put", "late")).alias("place")))
+        ready = open_edges.groupBy("conv", "call").agg(F.max("level").alias("level"), F.max("place").alias("place"), F.count_if(F.col("level").isNull()).alias("open")).filter("open = 0")
+        front = checkpointed(ready.join(known, ["conv", "call"]).select("conv", "call", "level", F.greatest("place", "call_turn").alias("place")))
+        open_edges = checkpointed(open_edges.join(front, ["conv", "call"], "left_anti"))
+        gathered.append(front)
+        if len(gathered) >= MOST_LEVELS:
+            placed, gathered = checkpointed(reduce(DataFrame.union, gathered, placed)), []
+    return reduce(DataFrame.union, gathered, placed)
 
 
 def argument_errors(arguments: Column, schema: dict) -> Column:
@@ -92,10 +123,8 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict], needs: DataFr
     answered = messages.filter(F.col("result_of").isNotNull()).select("conv", F.col("result_of").alias("call"), F.lit(True).alias("answered")).distinct()
     calls = calls.join(answered, ["conv", "call"], "left")
     if needs is not None:
+        # a call never stands before one that it needs: it moves to the latest turn of all of those
         calls = calls.join(_levels(calls, needs), ["conv", "call"])
-        # a call never stands before one that it needs: it moves to the latest turn of those
-        late = needs.join(calls.select("conv", F.col("call").alias("needed"), F.col("call_turn").alias("needed_turn")), ["conv", "needed"]).groupBy("conv", "call").agg(F.max("needed_turn").alias("needed_turn"))
-        calls = calls.join(late, ["conv", "call"], "left").withColumn("place", F.greatest("call_turn", F.coalesce("needed_turn", "call_turn"))).drop("needed_turn")
     else:
         calls = calls.withColumns({"level": F.lit(0), "place": F.col("call_turn")})
     key = F.coalesce("call_id", "result_of")
