@@ -7,66 +7,85 @@ everything else keeps its turn. Arguments are checked against a schema per tool,
 column expressions, and each message is written as canonical JSON: sorted keys, no spaces,
 nulls left out.
 
-One row per message, so a conversation of any length never meets in one task.
+One row per message, so a conversation of any length never meets in one task. Chains of
+calls, the usual shape, are followed by pointers that double in each round, so a chain of n
+calls takes about log2(n) rounds, and every pointer that has reached its end leaves the joins:
+no join gathers a chain at its first call.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
 #: Rounds of placed calls that are gathered before they are written together.
 MOST_LEVELS = 50
+#: Turns of a conversation that are put in order within one task.
+TURN_BLOCK = 1000
+#: Columns of messages that are used; others may have any name.
+MESSAGE = ("conv", "turn", "role", "text", "call_id", "tool", "arguments", "result_of")
+_CYCLE = "tool calls depend on each other in a cycle"
 
 
-def _chains(edges: DataFrame) -> DataFrame:
-    """(conv, call, needed, far, late): edges (far 1, late null) with runs of calls that need just one call cut short.
+def _runs(single: DataFrame) -> DataFrame:
+    """Calls with one need, each pointing to the end of its run: the first call there that has no need or several.
 
-    A call with one need points to the end of its run: the first call there with no need or
-    several. `far` counts the edges between, `late` is the latest turn of the calls passed.
-    Pointers double in each round.
+    In: (conv, call, turn, needed, end_turn, ends), where ends says how many needs the needed
+    call has and end_turn is its turn. Out: the same for the end of the run, with `far`, the
+    edges between, and `late`, the latest turn of the calls passed.
     """
-    single = edges.groupBy("conv", "call").agg(F.min("needed").alias("needed"), F.min("turn").alias("turn"), F.count("*").alias("n")).filter("n = 1")
-    jumps = checkpointed(single.select("conv", "call", "needed", F.lit(1).alias("far"), F.lit(None).cast("long").alias("late"), "turn"))
-    limit, done = jumps.count().bit_length() + 1, False
-    for _ in range(limit):
-        on = jumps.select("conv", F.col("call").alias("needed"), F.col("needed").alias("next"), F.col("far").alias("more"), F.greatest("late", "turn").alias("passed"))
-        moved = jumps.join(on, ["conv", "needed"], "left")
-        jumps = checkpointed(moved.select("conv", "call", F.coalesce("next", "needed").alias("needed"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.greatest("late", "passed").alias("late"), "turn", F.col("next").isNotNull().alias("hit")))
-        done = jumps.filter("hit").isEmpty()
-        if done:
-            break
-        jumps = jumps.drop("hit")
-    if not done and not jumps.isEmpty():
-        raise ValueError("tool calls depend on each other in a cycle")
-    several = edges.join(single, ["conv", "call"], "left_anti").select("conv", "call", "needed", F.lit(1).alias("far"), F.lit(None).cast("long").alias("late"))
-    return checkpointed(several.union(jumps.select("conv", "call", "needed", "far", "late")))
+    columns = ("conv", "call", "turn", "needed", "end_turn", "ends", "far", "late")
+    jumps = checkpointed(single.select(*columns[:6], F.lit(1).alias("far"), F.lit(None).cast("long").alias("late")))
+    closed, going = [jumps.filter("ends <> 1")], jumps.filter("ends = 1")
+    for _ in range(jumps.count().bit_length() + 1):
+        if going.isEmpty():
+            return reduce(DataFrame.union, closed)
+        every = reduce(DataFrame.union, [*closed, going])
+        on = every.select("conv", F.col("call").alias("needed"), F.col("needed").alias("next"), F.col("end_turn").alias("e"), F.col("ends").alias("k"), F.col("far").alias("more"), F.greatest("late", "turn").alias("passed"))
+        moved = going.join(on, ["conv", "needed"]).select("conv", "call", "turn", F.col("next").alias("needed"), F.col("e").alias("end_turn"), F.col("k").alias("ends"), (F.col("far") + F.col("more")).alias("far"), F.greatest("late", "passed").alias("late"))
+        moved = checkpointed(moved)
+        closed, going = [*closed, moved.filter("ends <> 1")], moved.filter("ends = 1")
+    if not going.isEmpty():
+        raise ValueError(_CYCLE)
+    return reduce(DataFrame.union, closed)
 
 
 def _levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """(conv, call, level, place): level is 0 for calls without dependencies, else one more than the highest of
     theirs; place is the latest turn of the call and of all that it needs, directly or not.
 
-    Kahn's rounds: each joins the open edges with the calls placed last round. A cycle is an error.
+    Runs of calls with one need are cut short first. The rest are Kahn's rounds: each joins the
+    open edges with the calls placed last round, so there are as many rounds as levels of calls
+    with several needs. A round that places nothing shows a cycle, which is an error.
     """
-    known = checkpointed(calls.select("conv", "call", "call_turn"))
-    edges = needs.select("conv", "call", "needed").distinct().join(known.select("conv", "call", F.col("call_turn").alias("turn")), ["conv", "call"])
-    edges = checkpointed(edges.join(known.select("conv", F.col("call").alias("needed")), ["conv", "needed"], "left_semi"))
-    open_edges = checkpointed(_chains(edges).withColumns({"level": F.lit(None).cast("int"), "place": F.lit(None).cast("long")}))
-    front = known.join(edges, ["conv", "call"], "left_anti").select("conv", "call", F.lit(0).alias("level"), F.col("call_turn").alias("place"))
-    placed, gathered = checkpointed(front), []
-    front = placed
+    known = calls.select("conv", "call", F.col("call_turn").alias("turn"))
+    edges = needs.select("conv", "call", "needed").distinct().join(known, ["conv", "call"], "left_semi")
+    edges = checkpointed(edges.join(known.select("conv", F.col("call").alias("needed")), ["conv", "needed"], "left_semi").select("conv", "call", "needed"))
+    counted = edges.groupBy("conv", "call").agg(F.count("*").alias("needs"), F.min("needed").alias("needed"))
+    known = checkpointed(known.join(counted, ["conv", "call"], "left").withColumn("needs", F.coalesce("needs", F.lit(0))))
+    ends = known.select("conv", F.col("call").alias("needed"), F.col("turn").alias("end_turn"), F.col("needs").alias("ends"))
+    runs = checkpointed(_runs(known.filter("needs = 1").drop("needs").join(ends, ["conv", "needed"])))
+    front = known.filter("needs = 0").select("conv", "call", F.lit(0).alias("level"), F.col("turn").alias("place"))
+    placed = front.union(runs.filter("ends = 0").select("conv", "call", F.col("far").alias("level"), F.greatest("turn", "late", "end_turn").alias("place")))
+    several = known.filter("needs > 1").select("conv", "call")
+    if several.isEmpty():
+        return placed
+    open_edges = edges.join(several, ["conv", "call"], "left_semi").select("conv", "call", "needed", F.lit(1).alias("far"), F.lit(None).cast("long").alias("late"))
+    open_edges = open_edges.union(runs.filter("ends > 1").select("conv", "call", "needed", "far", "late"))
+    open_edges = checkpointed(open_edges.withColumns({"level": F.lit(None).cast("int"), "place": F.lit(None).cast("long")}))
+    front = placed = checkpointed(placed)
+    turns, gathered = known.select("conv", "call", "turn"), []
     while not open_edges.isEmpty():
         if front.isEmpty():
-            raise ValueError("tool calls depend on each other in a cycle")
+            raise ValueError(_CYCLE)
         hit = open_edges.join(front.select("conv", F.col("call").alias("needed"), F.col("level").alias("below"), F.col("place").alias("put")), ["conv", "needed"], "left")
         open_edges = checkpointed(hit.select("conv", "call", "needed", "far", "late", F.coalesce("level", F.col("below") + F.col("far")).alias("level"), F.coalesce("place", F.greatest("put", "late")).alias("place")))
         ready = open_edges.groupBy("conv", "call").agg(F.max("level").alias("level"), F.max("place").alias("place"), F.count_if(F.col("level").isNull()).alias("open")).filter("open = 0")
-        front = checkpointed(ready.join(known, ["conv", "call"]).select("conv", "call", "level", F.greatest("place", "call_turn").alias("place")))
+        front = checkpointed(ready.join(turns, ["conv", "call"]).select("conv", "call", "level", F.greatest("place", "turn").alias("place")))
         open_edges = checkpointed(open_edges.join(front, ["conv", "call"], "left_anti"))
         gathered.append(front)
         if len(gathered) >= MOST_LEVELS:
@@ -74,6 +93,26 @@ def _levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, gathered, placed)
 
 
+def _calls(messages: DataFrame) -> DataFrame:
+    """(conv, call, call_turn): each call at its first turn."""
+    return messages.filter(F.col("call_id").isNotNull()).groupBy("conv", F.col("call_id").alias("call")).agg(F.min("turn").alias("call_turn"))
+
+
+def previous_calls(messages: DataFrame, *, block: int = TURN_BLOCK) -> DataFrame:
+    """(conv, call, needed) for `link_tool_calls`: each call needs the one before it in its conversation, by turn, then id.
+
+    Calls are ordered within blocks of `block` turns; the first of a block follows the last of
+    the block before, which is looked up among one row per block. So a conversation with most
+    of all rows is spread over many tasks. A call without a turn counts as the first.
+    """
+    calls = checkpointed(_calls(messages).filter("conv is not null").withColumn("block__", F.floor(F.coalesce("call_turn", F.lit(0)) / block)))
+    here = Window.partitionBy("conv", "block__").orderBy(F.asc_nulls_first("call_turn"), "call")
+    within = calls.select("conv", "block__", "call", F.lag("call").over(here).alias("needed"))
+    last = calls.groupBy("conv", "block__").agg(F.max(F.struct("call_turn", "call")).alias("m"))
+    last = last.select("conv", "block__", F.lag("m.call").over(Window.partitionBy("conv").orderBy("block__")).alias("carried"))
+    return within.join(last, ["conv", "block__"]).select("conv", "call", F.coalesce("needed", "carried").alias("needed")).filter("needed is not null")
+
+
 def argument_errors(arguments: Column, schema: dict) -> Column:
     """Array of error texts of JSON arguments against a schema: type object, required, and per property
     type (string, integer, number, boolean), minLength, maxLength, minimum, maximum, enum."""
@@ -83,7 +122,7 @@ def argument_errors(arguments: Column, schema: dict) -> Column:
     kinds = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"]}
     for name in sorted(set(schema.get("properties", {})) | set(schema.get("required", ()))):
         rule = schema.get("properties", {}).get(name, {})
-        part = F.try_variant_get(value, f"$.{name}", "variant")
+        part = F.try_variant_get(value, f"$['{name}']", "variant")
         kind = F.regexp_extract(F.schema_of_variant(part), "^[A-Z]+", 0)
         there = part.isNotNull() & (kind != "VOID")
         if name in schema.get("required", ()):
@@ -109,38 +148,48 @@ def quoted(text: Column) -> Column:
     return F.when(text.isNotNull(), F.substring(body, F.lit(6), F.length(body) - 6))
 
 
+def canonical_arguments(arguments: Column) -> Column:
+    """JSON text with keys in order and no spaces, at every depth; text that is no JSON becomes a JSON string, null stays null."""
+    return F.coalesce(F.to_json(F.try_parse_json(arguments)), quoted(arguments))
+
+
 def link_tool_calls(messages: DataFrame, schemas: dict[str, dict], needs: DataFrame | None = None) -> DataFrame:
-    """One row per message: conv, turn, seq_turn, seq_level, seq_kind, linked, valid, errors, json.
-
-    messages: conv, turn (long), role, text, call_id, tool, arguments (JSON text), result_of.
-    needs: (conv, call, needed) dependencies between calls. Order by (conv, seq_turn,
-    seq_level, seq_kind, turn). `linked` is null but for results (its call exists) and calls
-    (a result exists); `valid` is null but for calls; an unknown tool is an error. Call ids
-    that repeat within a conversation link to the first turn. Null ids link to nothing.
-    Null texts are left out of the JSON. Repeated rows come out once each.
+    """One row per message: conv, turn, seq_turn, seq_level, seq_call, seq_kind, linked, valid, errors, json.
+
+    messages: conv, turn (long), role, text, call_id, tool, arguments (JSON text), result_of;
+    further columns may have any name and are left out. needs: (conv, call, needed)
+    dependencies between calls; those of or on unknown calls don't count, and a cycle is an
+    error. Order by (conv, seq_turn, seq_level, seq_call, seq_kind, turn): a call stands after
+    all that it needs, directly or not. `linked` is null but for results (its call exists) and
+    calls (a result exists); `valid` is null but for calls; an unknown tool is an error. Call
+    ids that repeat within a conversation link to the first turn. Null ids link to nothing.
+    Null texts are left out of the JSON; arguments that are no JSON are invalid and written as
+    a JSON string. Repeated rows come out once each, an empty table gives no rows.
     """
-    calls = messages.filter(F.col("call_id").isNotNull()).groupBy("conv", F.col("call_id").alias("call")).agg(F.min("turn").alias("call_turn"))
+    messages = messages.select(*MESSAGE)
+    calls = _calls(messages)
     answered = messages.filter(F.col("result_of").isNotNull()).select("conv", F.col("result_of").alias("call"), F.lit(True).alias("answered")).distinct()
-    calls = calls.join(answered, ["conv", "call"], "left")
     if needs is not None:
+        calls = checkpointed(calls)
         # a call never stands before one that it needs: it moves to the latest turn of all of those
-        calls = calls.join(_levels(calls, needs), ["conv", "call"])
+        placed = calls.join(_levels(calls.filter("conv is not null"), needs), ["conv", "call"], "left")
+        calls = placed.withColumns({"level": F.coalesce("level", F.lit(0)), "place": F.coalesce("place", "call_turn")})
     else:
         calls = calls.withColumns({"level": F.lit(0), "place": F.col("call_turn")})
-    key = F.coalesce("call_id", "result_of")
-    joined = messages.withColumn("call", key).join(calls, ["conv", "call"], "left")
+    calls = calls.join(answered, ["conv", "call"], "left").withColumn("known", F.lit(True))
+    joined = messages.withColumn("call", F.coalesce("call_id", "result_of")).join(calls, ["conv", "call"], "left")
     is_call, is_result = F.col("call_id").isNotNull(), F.col("call_id").isNull() & F.col("result_of").isNotNull()
-    hit = F.col("call_turn").isNotNull()
+    hit = F.col("known").isNotNull()
     unknown = F.array(F.lit("unknown tool"))
     checks = reduce(lambda out, name: F.when(F.col("tool") == name, argument_errors(F.col("arguments"), schemas[name])).otherwise(out), sorted(schemas), unknown)
-    errors = F.when(is_call, checks)
-    out = joined.withColumns({"errors": errors})
-    call_json = canonical_json({"arguments": F.col("arguments"), "id": quoted(F.col("call_id")), "name": quoted(F.col("tool"))})
+    out = joined.withColumn("errors", F.when(is_call, checks))
+    call_json = canonical_json({"arguments": canonical_arguments(F.col("arguments")), "id": quoted(F.col("call_id")), "name": quoted(F.col("tool"))})
     linked = F.when(is_call, F.coalesce("answered", F.lit(False))).when(is_result, hit)
     return out.select(
         "conv", "turn",
         F.when(hit, F.col("place")).otherwise(F.col("turn")).alias("seq_turn"),
         F.coalesce(F.when(hit, F.col("level")), F.lit(0)).alias("seq_level"),
+        F.when(hit, F.col("call_turn")).otherwise(F.col("turn")).alias("seq_call"),
         F.when(is_result & hit, F.lit(1)).otherwise(F.lit(0)).alias("seq_kind"),
         linked.alias("linked"),
         F.when(is_call, F.size("errors") == 0).alias("valid"),

@@ -82,11 +82,13 @@ OP10 = r"""
 with t as (
   select conv_id, turn, role, text, 'c' || conv_id || '-' || turn as own, 'c' || conv_id || '-' || (turn - 1) as prior from conversations
 ), calls as (
-  select conv_id, own, min(turn) as call_turn from t where role = 'user' and own is not null group by all
+  -- each call needs the one before it: its level is the number of earlier calls of its conversation
+  select *, row_number() over (partition by conv_id order by call_turn) - 1 as level
+  from (select conv_id, own, min(turn) as call_turn from t where role = 'user' and own is not null group by all) first_turns
 ), answered as (
   select distinct conv_id, prior from t where role = 'assistant' and prior is not null
 ), j as (
-  select t.*, c.call_turn, a.prior is not null as answered
+  select t.*, c.call_turn, c.level, a.prior is not null as answered
   from t left join calls c on c.conv_id = t.conv_id and c.own = case when t.role = 'user' then t.own when t.role = 'assistant' then t.prior end
   left join answered a on a.conv_id = t.conv_id and a.prior = t.own
 ), e as (
@@ -95,7 +97,7 @@ with t as (
       case when turn < 0 then 'turn: minimum' end) end as errors
   from j
 )
-select conv_id, turn, coalesce(call_turn, turn) as seq_turn, cast(0 as integer) as seq_level,
+select conv_id, turn, coalesce(call_turn, turn) as seq_turn, cast(coalesce(level, 0) as integer) as seq_level, coalesce(call_turn, turn) as seq_call,
        cast(case when role = 'assistant' and call_turn is not null then 1 else 0 end as integer) as seq_kind,
        case when role = 'user' then answered when role = 'assistant' then call_turn is not null end as linked,
        case when role = 'user' then errors = '' end as valid, errors,

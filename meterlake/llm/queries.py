@@ -72,7 +72,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = chat.turns_as_calls(table(spark, sf_dir, "conversations"))
-    return chat.link_tool_calls(messages, {"reply": chat.REPLY}).withColumnRenamed("conv", "conv_id")
+    linked = chat.link_tool_calls(messages, {"reply": chat.REPLY}, chat.previous_calls(messages))
+    return linked.withColumnRenamed("conv", "conv_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -45,3 +45,66 @@ def test_cycles_are_errors(spark):
     for needs in ([("a", "a")], [("a", "b"), ("b", "a")], [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c")]):
         with pytest.raises(ValueError, match="cycle"):
             placed(spark, [("a", 1), ("b", 2), ("c", 5)], needs)
+
+
+def test_random_graphs_are_ordered(spark):
+    """Every call after all that it needs, each result right behind its call, levels and places as by hand."""
+    import random
+
+    rng, calls, needs, rows = random.Random(3), [], [], []
+    for conv in range(12):
+        n = rng.randint(1, 14)
+        turns = rng.sample(range(2 * n), n)
+        rank = rng.sample(range(n), n)
+        calls += [(conv, f"c{i}", turns[i]) for i in range(n)]
+        needs += [(conv, f"c{i}", f"c{j}") for i in range(n) for j in range(n) if rank[j] < rank[i] and rng.random() < (0.12, 0.5)[conv % 2]]
+    rows = [(v, t, "assistant", None, c, "t", "{}", None) for v, c, t in calls] + [(v, 100 + t, "tool", "r", None, None, None, c) for v, c, t in calls if t % 3]
+    got = chat.link_tool_calls(spark.createDataFrame(rows, MESSAGES), {"t": {}}, spark.createDataFrame(needs + needs[:5], NEEDS)).collect()
+    assert len(got) == len(rows)
+    by, turn = {(v, t): c for v, c, t in calls}, {(v, c): t for v, c, t in calls}
+    of = {k: [n for v, c, n in needs if (v, c) == k] for k in turn}
+
+    def level(k):
+        return max((level((k[0], n)) + 1 for n in of[k]), default=0)
+
+    def place(k):
+        return max([turn[k], *(place((k[0], n)) for n in of[k])])
+
+    order = sorted(got, key=lambda r: (r["conv"], r["seq_turn"], r["seq_level"], r["seq_call"], r["seq_kind"], r["turn"]))
+    seen = set()
+    for at, r in enumerate(order):
+        key = (r["conv"], by[r["conv"], r["turn"] % 100])
+        if r["turn"] < 100:
+            assert (r["seq_level"], r["seq_turn"]) == (level(key), place(key))
+            assert {(key[0], n) for n in of[key]} <= seen
+            seen.add(key)
+        else:
+            assert order[at - 1]["turn"] == r["turn"] - 100 and order[at - 1]["conv"] == r["conv"]
+
+
+def test_previous_calls_across_blocks(spark):
+    rows = [(v, t, "assistant", None, f"c{t}", "t", "{}", None) for v in (1, 2) for t in range(0, 90, 2 + v) if not 30 < t < 60] + [(3, 5, "user", "no call", None, None, None, None)]
+    got = {(r["conv"], r["call"]): r["needed"] for r in chat.previous_calls(spark.createDataFrame(rows, MESSAGES), block=10).collect()}
+    turns = {v: [r[1] for r in rows if r[0] == v] for v in (1, 2)}
+    want = {(v, f"c{b}"): f"c{a}" for v, x in turns.items() for a, b in zip(x, x[1:])}
+    assert got == want
+
+
+def test_working_names_bad_json_and_null_keys(spark):
+    """Extra columns with names that are used inside, arguments that are no JSON, nested keys out of order, null conversations and turns."""
+    rows = [(1, 0, "assistant", None, "a", "t", '{"y": [ {"d":1, "c":"ü"} ], "x":1}', None), (1, 1, "assistant", None, "b", "t", "{bad", None), (1, 2, "tool", "x", None, None, None, "a"),
+            (1, None, "assistant", "", "n", "t", None, None), (None, 3, "assistant", None, "z", "t", "[1, 2]", None), (1, 2, "tool", "x", None, None, None, "a")]
+    m = spark.createDataFrame(rows, MESSAGES)
+    for name in ("level", "answered", "place", "call", "known", "call_turn", "errors", "needed", "turn__", "ends"):
+        m = m.withColumn(name, m.role)
+    for needs in (None, chat.previous_calls(m)):
+        got = chat.link_tool_calls(m, {"t": {"properties": {"x": {"type": "integer"}}}}, needs).collect()
+        assert len(got) == len(rows)
+        by = {(r["conv"], r["turn"]): r for r in got}
+        assert '"arguments":{"x":1,"y":[{"c":"ü","d":1}]}' in by[1, 0]["json"]
+        assert '"arguments":"{bad"' in by[1, 1]["json"] and by[1, 1]["errors"] == "not an object"
+        assert "arguments" not in by[1, None]["json"] and '"content":""' in by[1, None]["json"]
+        assert by[None, 3]["seq_level"] == 0 and by[1, 2]["linked"]
+    assert [by[1, t]["seq_level"] for t in (None, 0, 1)] == [0, 1, 2]
+    assert chat.previous_calls(m.filter("false")).count() == 0
+    assert chat.link_tool_calls(m.filter("false"), {}, chat.previous_calls(m.filter("false"))).count() == 0
