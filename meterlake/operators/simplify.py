@@ -70,6 +70,11 @@ def last_timestamp(lines: DataFrame) -> DataFrame:
     return lines.agg(F.max_by(stamp, F.when(stamp.isNotNull(), F.struct("file_path", "line_number"))).alias("last"))
 
 
+def largest_timestamp(records: DataFrame) -> DataFrame:
+    """(last): the same for a folder to which records were added in the order of their times: parts of later runs may sort before earlier ones."""
+    return records.agg(F.max(text(F.try_parse_json(F.col("value")), "$.attributes['event.timestamp']")).alias("last"))
+
+
 def tail_of(records: DataFrame, last: str | None) -> DataFrame:
     """Records whose timestamp text is greater than `last`; all if there is none."""
     stamp = text(F.try_parse_json(F.col("value")), "$.attributes['event.timestamp']")

@@ -94,8 +94,9 @@ def _again() -> list[Column]:
 
 
 def by_session(priced: DataFrame, time_col: str = "event_timestamp") -> DataFrame:
-    """Per session: usage, last activity, number of models (EXT-03)."""
-    return priced.groupBy("session_id").agg(*sums(), F.max(time_col).alias("last_activity"), F.countDistinct("model_code").alias("models"))
+    """Per session: usage, last activity, number of models and, where events have a version, the versions seen, in order (EXT-03)."""
+    versions = [F.array_join(F.array_sort(F.collect_set("version")), ",").alias("versions")] if "version" in priced.columns else []
+    return priced.groupBy("session_id").agg(*sums(), F.max(time_col).alias("last_activity"), F.countDistinct("model_code").alias("models"), *versions)
 
 
 def chosen_cost(mode: str, reported: Column, calculated: Column) -> Column:
@@ -132,6 +133,14 @@ def usage_blocks(events: DataFrame, key: str, hours: int = 5, time_col: str = "e
     return joined.withColumn("block_start", F.timestamp_add("HOUR", start, epoch)).drop("wall__", "sec__", "run__", "starts__")
 
 
+def gap_blocks(events: DataFrame, key: str, hours: int = 5, time_col: str = "event_timestamp") -> DataFrame:
+    """(key, gap_start, gap_end): pauses longer than a block, from `hours` after the last event to the next one (EXT-04)."""
+    wall = events.select(key, as_wall_clock(events, time_col, "UTC").alias("gap_end"))
+    before = F.lag("gap_end").over(Window.partitionBy(key).orderBy("gap_end"))
+    paused = wall.withColumn("before__", before).filter(F.timestamp_diff("SECOND", F.col("before__"), F.col("gap_end")) > hours * 3600)
+    return paused.select(key, F.timestamp_add("HOUR", F.lit(hours), F.col("before__")).alias("gap_start"), "gap_end")
+
+
 def burn_rate(blocks: DataFrame, key: str, now: Column, hours: int = 5, time_col: str = "event_timestamp") -> DataFrame:
     """Per block: tokens, minutes of use, tokens a minute, whether it is active, and tokens projected to its end (EXT-05)."""
     wall = as_wall_clock(blocks, time_col, "UTC")

@@ -72,7 +72,7 @@ def mismatches(windows: DataFrame, file: list[str], k: int) -> DataFrame:
     return windows.filter(F.col("first_total") != F.col("previous_total")).orderBy(*file, "turn_line").limit(k)
 
 
-def one_id_per_file(rows: DataFrame, file: list[str], line: str, session: Column) -> DataFrame:
+def one_id_per_file(rows: DataFrame, file: list[str], line: str, session: Column, name: str = "session_id") -> DataFrame:
     """Adds session_id: the first one in the file, on every row of it, also earlier ones (JOIN-10)."""
     first = F.min_by(session, F.when(session.isNotNull(), F.col(line))).over(Window.partitionBy(*file))
-    return rows.withColumn("session_id", first)
+    return rows.withColumn(name, first)

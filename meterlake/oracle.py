@@ -31,8 +31,8 @@ def _key(agent: str) -> str:
       when provider_code = 'opencode' and {m} = 'grok-code' then 'xai/grok-code-fast-1' else provider_code || '/' || {m} end"""
 
 
-def _priced(agent: str) -> str:
-    """CTEs up to `priced`: usage with day, report counters and cost."""
+def _priced(agent: str, ctes: str = "", source: str = "usage") -> str:
+    """CTEs up to `priced`: usage (or what further CTEs make of it) with day, report counters and cost."""
     over = "u.input_tokens + u.cache_read_tokens + u.cache_write_tokens > 200000" if agent == "claude" else "u.input_tokens > 200000"
     t = lambda c: f"coalesce(case when {over} then p.{c}_200k end, p.{c}, 0e0)"
     i = "greatest(u.input_tokens - u.cache_read_tokens, 0)" if agent in ("codex", "gemini") else "u.input_tokens"
@@ -48,8 +48,8 @@ def _priced(agent: str) -> str:
         prefix = {"claude": "anthropic/", "codex": "openai/", "gemini": "google/"}[agent]
         model = "case when u.model_code = 'claude-opus-4-7' then 'claude-opus-4-6' else u.model_code end" if agent == "claude" else "u.model_code"
         join = f"left join prices p on p.price_key = '{prefix}' || {model}"
-    return f"""with {USAGE}, named as (
-  select * replace (coalesce(provider_code, 'unknown') as provider_code, coalesce(model_code, 'unknown') as model_code) from usage
+    return f"""with {USAGE}, {ctes + ", " if ctes else ""}named as (
+  select * replace (coalesce(provider_code, 'unknown') as provider_code, coalesce(model_code, 'unknown') as model_code) from {source}
 ), priced as (
   select u.*, cast(u.event_timestamp as date) as day, {i} as shown_input, {o} as shown_output, {cost} as cost from named u {join}
 )"""
@@ -223,7 +223,7 @@ ORACLE_SQL: dict[str, str] = {
       cast(sum(cast(cost as decimal(28,10))) as double) as cost from daily group by 1""",
     "monthly_usage": f"""with daily as ({_by('opencode', 'day')}) select strftime(day, '%Y-%m') as month, {", ".join(f"cast(sum({c}) as bigint) as {c}" for c in ("input_tokens", "cached_tokens", "cache_write_tokens", "output_tokens", "reasoning_tokens", "events"))},
       cast(sum(cast(cost as decimal(28,10))) as double) as cost from daily group by 1""",
-    "session_report": f"{_priced('opencode')} select session_id, {SUMS}, strftime(max(event_timestamp), '%Y-%m-%d %H:%M:%S') as last_activity, count(distinct model_code) as models from priced group by 1",
+    "session_report": f"{_priced('opencode')} select session_id, {SUMS}, strftime(max(event_timestamp), '%Y-%m-%d %H:%M:%S') as last_activity, count(distinct model_code) as models, string_agg(distinct '1.' || event_id % 3, ',' order by '1.' || event_id % 3) as versions from priced group by 1",
     "cost_modes": f"""{_priced('opencode')}, r as (select event_id, cost, case when event_id % 3 <> 0 then cost + case when event_id % 5 = 0 then 0.5e0 else 0e0 end end as reported from priced)
       select event_id, coalesce(reported, cost) as auto, cost as calculate, coalesce(reported, 0e0) as display from r""",
     "raw_log_scan": f"select case event_id % 3 when 0 then 'gemini_cli.api_response' when 1 then 'gemini_cli.api_request' else 'gemini_cli.config' end as name, count(*) as n, cast(sum({K}) as bigint) as input_tokens from events group by 1",

@@ -18,8 +18,8 @@ MISSING = "<missing_session_id>"
 def turn_rows(raw: DataFrame, least: date | None = None) -> DataFrame:
     """Turn and token rows of log lines, with session_id, segment and the turn's own fields.
 
-    Malformed lines are left out, not errors. Totals that are absent, boolean or no whole
-    number are null.
+    session_segment is the turn in which the session line came. Malformed lines are left out,
+    not errors. Totals that are absent, boolean or no whole number are null.
     """
     dated = raw if least is None else scan.from_date(raw, least)
     rows = scan.json_lines(dated).filter(~F.col("malformed"))
@@ -29,13 +29,14 @@ def turn_rows(raw: DataFrame, least: date | None = None) -> DataFrame:
     rows = turns.one_id_per_file(rows, ["file_path"], "line_number", session)
     is_turn = F.coalesce(kind_of == "turn_context", F.lit(False))
     is_token = F.coalesce((kind_of == "event_msg") & (text(v, "$.payload.type") == "token_count"), F.lit(False))
-    rows = rows.filter(is_turn | is_token).select(
-        "file_path", "line_number", F.coalesce("session_id", F.lit(MISSING)).alias("session_id"), is_turn.alias("is_turn"),
+    rows = turns.segments(rows, ["file_path"], "line_number", is_turn)
+    rows = turns.one_id_per_file(rows, ["file_path"], "line_number", F.when(session.isNotNull(), F.col("segment")), "session_segment")
+    return rows.filter(is_turn | is_token).select(
+        "segment", "session_segment", "file_path", "line_number", F.coalesce("session_id", F.lit(MISSING)).alias("session_id"), is_turn.alias("is_turn"),
         F.when(is_turn, text(v, "$.timestamp")).alias("stamp"), F.when(is_turn, F.nullif(text(v, "$.payload.model"), F.lit(""))).alias("model"),
         (is_token & F.coalesce(kind(F.try_variant_get(v, "$.payload.info", "variant")) == "OBJECT", F.lit(False))).alias("has_info"),
         F.when(is_token, whole(v, "$.payload.info.total_token_usage.total_tokens")).alias("total"),
     )
-    return turns.segments(rows, ["file_path"], "line_number", F.col("is_turn"))
 
 
 def _turn_fields() -> list:
@@ -53,9 +54,13 @@ def turn_table(rows: DataFrame) -> DataFrame:
 
 
 def boundary_table(rows: DataFrame) -> DataFrame:
-    """One row per turn with the totals around its start and whether they match or rise."""
-    found = turns.boundaries(rows, ["session_id", "file_path"], "line_number", F.col("is_turn"), "total")
-    fields = rows.filter("segment > 0").groupBy("file_path", "segment").agg(*_turn_fields())
+    """One row per turn with the totals around its start and whether they match or rise.
+
+    A turn that has ended before the session line keeps the name MISSING (JOIN-10).
+    """
+    found = turns.boundaries(rows, ["file_path"], "line_number", F.col("is_turn"), "total")
+    known = F.max("session_segment") <= F.col("segment")
+    fields = rows.filter("segment > 0").groupBy("file_path", "segment").agg(*_turn_fields(), F.when(known, F.max("session_id")).otherwise(MISSING).alias("session_id"))
     previous, first, second = F.col("previous_total"), F.col("first_total"), F.col("second_total")
     return found.join(fields, ["file_path", "segment"]).select(
         "session_id", "file_path", "turn_context_line", "turn_context_timestamp", "model_code", previous.alias("prev_total_tokens"), F.col("previous_line").alias("prev_token_line"),
@@ -78,7 +83,7 @@ def convert_telemetry(spark: SparkSession, raw: list[str], out: str, level: int
     Records need a text time stamp. They are added in the order of their times.
     """
     try:
-        last = simplify.last_timestamp(scan.lines(spark, [out], pattern="*.txt")).first()["last"]
+        last = simplify.largest_timestamp(spark.read.text(out)).first()["last"]
     except AnalysisException:
         last = None
     stamp = text(F.try_parse_json("value"), "$.attributes['event.timestamp']")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import agents, dedupe, incremental
@@ -23,6 +23,10 @@ EVENTS = {
     "codex": ("codex_session_details", ["session_id"], ["event_timestamp", "total_tokens_cumulative"], True),
     "pi": ("pi_usage_events", ["session_id"], ["event_timestamp", "message_id"], False),
 }
+#: Up to so many changed files are read by their paths, beyond by a join over all files.
+MOST_PATHS = 10_000
+#: Up to so many sessions of a batch are named in the scan of the stored events.
+FEW_SESSIONS = 1_000
 _EMPTY = {"scanned": 0, "unchanged": 0, "ingested": 0, "failed": 0, "raw": 0, "skipped": 0, "duplicates": 0, "deduped": 0, "parse_errors": 0, "monotonicity_errors": 0, "delta_errors": 0, "synthetic": 0, "info_null": 0}
 
 
@@ -37,8 +41,31 @@ def _report(warehouse: Warehouse, agent: str, counters: dict[str, int], at: Colu
     return out
 
 
-def _parse(agent: str, lines: DataFrame, roots: list[str]) -> Parsed:
-    return agents.claude(lines, roots) if agent == "claude" else {"codex": agents.codex, "pi": agents.pi}[agent](lines)
+def _parse(agent: str, lines: DataFrame, roots: list[str], files: DataFrame | None = None) -> Parsed:
+    """`files`: the paths that were read; those without any line have no session, which is an error of the file."""
+    parsed = agents.claude(lines, roots) if agent == "claude" else {"codex": agents.codex, "pi": agents.pi}[agent](lines)
+    if files is None:
+        return parsed
+    every = files.select("file_path").join(parsed.files, "file_path", "left")
+    return Parsed(every.withColumn("identity_error", F.coalesce("identity_error", F.when(F.col("session_id").isNull(), F.lit(agents.IDENTITY)))), parsed.rows)
+
+
+def _lines_of(spark: SparkSession, roots: list[str], wanted: DataFrame, n: int, pattern: str) -> DataFrame:
+    """Parsed lines of the wanted files: by path while the paths are few, else of all files that a join keeps."""
+    if n <= MOST_PATHS:
+        raw = scan.lines(spark, sorted(scan.literal(r["file_path"]) for r in wanted.select("file_path").collect()), pattern=pattern)
+    else:
+        raw = scan.lines(spark, roots, pattern=pattern).join(wanted.select("file_path"), "file_path", "left_semi")
+    return scan.json_lines(raw)
+
+
+def _stored_of(warehouse: Warehouse, table: str, sessions: DataFrame) -> DataFrame:
+    """Stored events of the given sessions; while these are few, their ids reach the Parquet scan."""
+    stored, ids = warehouse.read(table), sessions.select("session_id").distinct()
+    few = ids.limit(FEW_SESSIONS + 1).collect()
+    if len(few) <= FEW_SESSIONS:
+        return stored.filter(F.col("session_id").isin([r["session_id"] for r in few]))
+    return stored.join(ids, "session_id", "left_semi")
 
 
 def _checked(agent: str, rows: DataFrame) -> DataFrame:
@@ -74,27 +101,32 @@ def ingest_sessions(warehouse: Warehouse, agent: str, roots: list[str], *, full_
 
     Files whose size and time are those of the last run are skipped; a file with a bad row is
     rejected as a whole and tried again next time. Changed files of one session are taken in
-    path order, one round after another; usually one round does. full_refresh ignores file
-    states and checkpoints. refresh_metadata also derives session metadata of unchanged files anew.
+    path order, one round after another; usually one round does. A file without a session, a
+    blank one too, is rejected. full_refresh ignores file states and checkpoints.
+    refresh_metadata also derives session metadata of unchanged files anew.
     """
     spark, at = warehouse.spark, _now(now)
     states = scan.session_files(spark, roots, pattern)
     prior = warehouse.read(f"{agent}_ingestion_files").select(F.col("session_file_path").alias("file_path"), F.col("file_size_bytes").alias("file_size"), "file_mtime")
     changed = (states if full_refresh else incremental.changed_files(states, prior)).persist()
     counters = dict(_EMPTY, scanned=states.count())
-    paths = [r["file_path"] for r in changed.select("file_path").orderBy("file_path").collect()]
-    counters["unchanged"] = counters["scanned"] - len(paths)
+    n_changed = changed.count()
+    counters["unchanged"] = counters["scanned"] - n_changed
     if refresh_metadata and counters["unchanged"]:
-        every = [r["file_path"] for r in states.select("file_path").collect()]
-        _store_sessions(warehouse, agent, _parse(agent, scan.json_lines(scan.lines(spark, every, pattern=pattern)), roots).files.filter("identity_error is null"), at)
-    if not paths:
+        every = scan.json_lines(scan.lines(spark, roots, pattern=pattern))
+        _store_sessions(warehouse, agent, _parse(agent, every, roots).files.filter("identity_error is null"), at)
+    if not n_changed:
         changed.unpersist()
         return _report(warehouse, agent, counters, at)
-    parsed = scan.json_lines(scan.lines(spark, paths, pattern=pattern)).persist()
-    rounds = incremental.file_rounds(_parse(agent, parsed, roots).files.select("file_path", "session_id"), ["session_id"]).persist()
-    for n in range(1, rounds.agg(F.max("round")).first()[0] + 1):
-        batch = parsed if n == 1 and rounds.filter("round > 1").isEmpty() else parsed.join(rounds.filter(F.col("round") == n).select("file_path"), "file_path", "left_semi")
-        for name, value in _ingest_round(warehouse, agent, batch, changed, roots, full_refresh, at).items():
+    parsed = _lines_of(spark, roots, changed, n_changed, pattern).persist()
+    # a file without a session is a round of its own
+    named = _parse(agent, parsed, roots, changed).files.select("file_path", F.coalesce("session_id", "file_path").alias("session_id"))
+    rounds = incremental.file_rounds(named, ["session_id"]).persist()
+    last = rounds.agg(F.max("round")).first()[0]
+    for n in range(1, last + 1):
+        states_of = changed if last == 1 else changed.join(rounds.filter(F.col("round") == n).select("file_path"), "file_path", "left_semi")
+        batch = parsed if last == 1 else parsed.join(states_of.select("file_path"), "file_path", "left_semi")
+        for name, value in _ingest_round(warehouse, agent, batch, states_of, roots, full_refresh, at).items():
             counters[name] += value
     for df in (parsed, rounds, changed):
         df.unpersist()
@@ -116,9 +148,9 @@ def _sessions(warehouse: Warehouse, agent: str, files: DataFrame, at: Column) ->
 
 def _ingest_round(warehouse: Warehouse, agent: str, batch: DataFrame, states: DataFrame, roots: list[str], full_refresh: bool, at: Column) -> dict[str, int]:
     table, scope, key, inclusive = EVENTS[agent]
-    parsed = _parse(agent, batch, roots)
-    stored = warehouse.read(table)
+    parsed = _parse(agent, batch, roots, states)
     identity = parsed.files.filter("identity_error is null")
+    stored = _stored_of(warehouse, table, identity)
     rows = parsed.rows.filter("raw").join(identity.select("file_path", *scope), "file_path")
     known = stored.withColumnRenamed("agent_id", "scope_agent") if agent == "claude" else stored
     passing = rows if full_refresh else incremental.after_checkpoint(rows, incremental.checkpoints(known, scope, key), scope, key, inclusive=inclusive)
@@ -181,7 +213,7 @@ def ingest_opencode(warehouse: Warehouse, message: DataFrame, session: DataFrame
     return out
 
 
-def ingest_gemini(warehouse: Warehouse, paths: list[str], *, full_refresh: bool = False, now: datetime | None = None) -> DataFrame:
+def ingest_gemini(warehouse: Warehouse, paths: list[str], *, full_refresh: bool = False, pattern: str = "*", now: datetime | None = None) -> DataFrame:
     """Telemetry JSONL files, one per project, into events and the source registry. Any error fails the run before a write.
 
     The registry takes new projects, moved paths and inactive ones. A file whose largest
@@ -190,10 +222,16 @@ def ingest_gemini(warehouse: Warehouse, paths: list[str], *, full_refresh: bool
     from ..operators import registry
 
     spark, at = warehouse.spark, _now(now)
-    raw = scan.lines(spark, paths, pattern="*").persist()
-    parsed = agents.gemini(scan.json_lines(raw))
     sources = warehouse.read("gemini_ingestion_sources")
-    files = raw.select("file_path", "file_size", "file_mtime").distinct().join(parsed.files, "file_path")
+    states = scan.session_files(spark, paths, pattern).persist()
+    # a file as it was at the last run still holds the project it is registered for: it isn't read
+    gate = sources.select(F.col("jsonl_file_path").alias("file_path"), F.col("file_size_bytes").alias("file_size"), "file_mtime", "project_id")
+    known = states.join(gate.filter("false") if full_refresh else gate, ["file_path", "file_size", "file_mtime"])
+    wanted = states.join(known.select("file_path"), "file_path", "left_anti").persist()
+    lines = _lines_of(spark, paths, wanted, wanted.count(), pattern).persist()
+    parsed = agents.gemini(lines)
+    read = wanted.join(parsed.files, "file_path", "left").withColumn("identity_error", F.when(F.col("project_id").isNull(), F.lit(agents.IDENTITY)))
+    files = read.unionByName(known.withColumn("identity_error", F.lit(None).cast("string")))
     found = registry.reconcile(files.select("project_id", F.col("file_path").alias("path")), sources.select("project_id", F.col("jsonl_file_path").alias("path"), "active"))
     if not files.filter("identity_error is not null").isEmpty() or not found.filter(F.col("action").startswith("conflict")).isEmpty() or files.groupBy("project_id").count().filter("count > 1").count():
         raise ValueError("a file has no valid project line, or a path or project is registered elsewhere")
@@ -219,6 +257,6 @@ def ingest_gemini(warehouse: Warehouse, paths: list[str], *, full_refresh: bool
     counters = {"files": files.count(), "unchanged": files.count() - changed.count(), "total": rows.filter("raw").count(), "attempted": new.count()}
     counters["skipped"] = counters["total"] - counters["attempted"]
     out = _report(warehouse, "gemini", counters, at, {"gemini_usage_events": fresh}, {"gemini_ingestion_sources": incremental.upsert(sources, state, ["project_id"], ["jsonl_file_path"], keep=("created_at",))})
-    for df in (raw, changed, rows, progress, new):
+    for df in (states, wanted, lines, changed, rows, progress, new):
         df.unpersist()
     return out

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import views
+from . import agent_queries, fixtures, views
 from .functions import names, strict_json
 from .functions.cost import event_cost
 from .functions.prices import flatten_prices, price_keys, small, with_prices
@@ -24,6 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SINCE, UNTIL, TODAY = date(2024, 1, 5), date(2024, 1, 20), date(2024, 1, 25)
 ZONE = "America/New_York"
+#: Event ids of one log file.
+LOG_EVENTS = 5_000
 
 
 def _dates_as_text(df: DataFrame) -> DataFrame:
@@ -422,9 +424,9 @@ def simplify_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = simplify.telemetry_records(table(spark, sf_dir, "events"))
     out = None
     for level in range(4):
-        part = simplify.simplified(records, level).select("event_id", F.lit(level).alias("level"), F.md5("value").alias("digest"))
+        part = simplify.simplified(records, level).select("event_id", F.lit(level).alias("level"), F.length("value").alias("size"), F.md5("value").alias("digest"))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("level").agg(F.count("*").alias("n"), F.countDistinct("digest").alias("distinct_records"))
+    return out.groupBy("level").agg(F.count("*").alias("n"), F.countDistinct("digest").alias("distinct_records"), F.sum("size").alias("length"), F.min("digest").alias("least"), F.max("digest").alias("most"))
 
 
 @query
@@ -439,7 +441,7 @@ def monthly_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stats.by_session(_priced(spark, sf_dir))
+    found = stats.by_session(_priced(spark, sf_dir).withColumn("version", F.concat(F.lit("1."), (F.col("event_id") % 3).cast("string"))))
     return found.withColumn("last_activity", F.date_format("last_activity", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -457,8 +459,12 @@ def cost_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def usage_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = stats.usage_blocks(views.usage(spark, sf_dir), "user_id")
-    return blocks.groupBy("user_id", F.date_format("block_start", "yyyy-MM-dd HH:mm:ss").alias("block")).agg(F.count("*").alias("n"), F.sum("output_tokens").alias("output_tokens"))
+    """Blocks of use and the gaps between them."""
+    usage = views.usage(spark, sf_dir)
+    named = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias("block")
+    blocks = stats.usage_blocks(usage, "user_id").groupBy("user_id", named("block_start")).agg(F.count("*").alias("n"), F.sum("output_tokens").alias("output_tokens"), F.lit(False).alias("is_gap"))
+    none = F.lit(0).cast("long")
+    return blocks.unionByName(stats.gap_blocks(usage, "user_id").select("user_id", named("gap_start"), none.alias("n"), none.alias("output_tokens"), F.lit(True).alias("is_gap")))
 
 
 @query
@@ -474,28 +480,30 @@ def raw_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def jsonl_scan_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as one JSON-lines log per user, some lines broken: files with a bad line, and the first such line of each."""
+    """Events as JSON-lines logs of each user, some lines broken: bad lines by user, and the first such line of all its logs.
+
+    A user's events are cut into logs of LOG_EVENTS event ids, so one with most of all events is written by many tasks.
+    """
     path = scratch_folder(spark, "logs")
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when((F.col("user_id") % 10 == 0) & (F.col("event_id") % 50 == 0), "{broken").otherwise(F.to_json(F.struct("event_id", "event_type"))).alias("value"))
-    e.repartition("user_id").sortWithinPartitions("user_id", "event_id").select("user_id", "value").write.partitionBy("user_id").text(path)
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("event_id") / LOG_EVENTS).alias("part"), F.when((F.col("user_id") % 10 == 0) & (F.col("event_id") % 50 == 0), "{broken").otherwise(F.to_json(F.struct("event_id", "event_type"))).alias("value"))
+    e.repartition("user_id", "part").sortWithinPartitions("user_id", "part", "event_id").select("user_id", "part", "value").write.partitionBy("user_id", "part").text(path)
     scanned = lines.json_lines(lines.lines(spark, [path], pattern="*.txt"))
-    user = F.regexp_extract("file_path", "user_id=([0-9]+)", 1).cast("long").alias("user_id")
-    return scanned.groupBy(user).agg(F.count("*").alias("n"), F.count_if("malformed").alias("bad"), F.min(F.when(F.col("malformed"), F.col("line_number"))).alias("first_bad"))
+    of_path = lambda name: F.regexp_extract("file_path", f"{name}=([0-9]+)", 1).cast("long").alias(name)
+    logs = scanned.groupBy(of_path("user_id"), of_path("part")).agg(F.count("*").alias("n"), F.count_if("malformed").alias("bad"), F.min(F.when(F.col("malformed"), F.col("line_number"))).alias("first_bad"))
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("user_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = logs.withColumn("first_bad", above + F.col("first_bad"))
+    return placed.groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.min("first_bad").alias("first_bad"))
 
 
 @query
 def claude_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage events as session logs with partial and final lines, ingested; tokens per session from the warehouse."""
     logs, store = scratch_folder(spark, "claude-logs"), scratch_folder(spark, "claude-warehouse")
-    u = views.usage(spark, sf_dir).filter("model_code is not null")
-    tokens = lambda n: F.struct("input_tokens", n.alias("output_tokens"), F.col("cache_read_tokens").alias("cache_read_input_tokens"))
-    name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    line = lambda n, stop: F.to_json(F.struct(
-        F.lit("assistant").alias("type"), name.alias("sessionId"), F.date_format("event_timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.col("message_id").alias("requestId"),
-        F.struct(F.col("message_id").alias("id"), F.col("model_code").alias("model"), F.lit(stop).cast("string").alias("stop_reason"), tokens(n).alias("usage")).alias("message"),
-    ))
-    both = u.select("user_id", "event_id", F.posexplode(F.array(line(F.lit(0).cast("long"), None), line(F.col("output_tokens"), "end_turn"))).alias("n", "value"))
-    both.repartition("user_id").sortWithinPartitions("user_id", "event_id", "n").select("user_id", "value").write.partitionBy("user_id").text(logs)
+    fixtures.write_logs(fixtures.claude_lines(views.usage(spark, sf_dir).filter("model_code is not null")), logs, ["event_id", "n"])
     warehouse = Warehouse(spark, store)
     ingest_sessions(warehouse, "claude", [logs], pattern="*.txt")
     return usage_events(warehouse, "claude").groupBy("session_id").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+
+
+for _query in agent_queries.QUERIES.values():
+    query(_query)

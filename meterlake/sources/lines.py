@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,25 +17,37 @@ STATE = ("_metadata.file_path as file_path", "_metadata.file_size as file_size",
 
 
 def session_files(spark: SparkSession, roots: list[str], pattern: str = "*.jsonl") -> DataFrame:
-    """(file_path, file_size, file_mtime) of the files under all roots, found recursively; contents aren't read."""
+    """(file_path, file_size, file_mtime) of the files under all roots, found recursively; contents aren't read.
+
+    Files of no bytes are not listed, as in every scan.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(roots)
     return files.selectExpr(*STATE)
 
 
-def lines(spark: SparkSession, paths: list[str], *, pattern: str = "*.jsonl", whole_files: bool = True) -> DataFrame:
-    """(file_path, file_size, file_mtime, line_number, value): every line, blank ones too, numbered from 1.
+def literal(file_path: str) -> str:
+    """A path for a reader from the metadata column, which is URL-encoded; pattern characters stand for themselves."""
+    return re.sub(r"([][{}*?\\])", r"\\\1", unquote(file_path))
+
+
+def _numbered(read: DataFrame) -> DataFrame:
+    """(file_path, file_size, file_mtime, n, value): rows of a text scan numbered from 1 in each file, in order.
 
-    whole_files reads a file as one value, right for session logs of some megabytes. Without it a
-    file is split and its lines are numbered in the order of block and place.
+    A split numbers its own rows; the rows of the blocks before it are added from one small row
+    per block, so a file of any size is numbered by many tasks and its text isn't shuffled
+    unless the blocks are too many to broadcast.
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    if whole_files:
-        files = reader.text(paths, wholetext=True).selectExpr(*STATE, "value")
-        body = F.regexp_replace("value", "\n$", "")
-        return files.select("file_path", "file_size", "file_mtime", F.posexplode(F.split(body, "\n")).alias("n", "value")).select("file_path", "file_size", "file_mtime", (F.col("n") + 1).cast("long").alias("line_number"), "value")
-    read = reader.text(paths).selectExpr(*STATE, "_metadata.file_block_start as block__", "monotonically_increasing_id() as place__", "value")
-    number = F.row_number().over(Window.partitionBy("file_path").orderBy("block__", "place__")).cast("long")
-    return read.withColumn("line_number", number).select("file_path", "file_size", "file_mtime", "line_number", "value")
+    part = read.selectExpr(*STATE, "_metadata.file_block_start as block__", "monotonically_increasing_id() as place__", "value")
+    blocks = part.groupBy("file_path", "block__").agg(F.min("place__").alias("first__"), F.count("*").alias("n__"))
+    above = Window.partitionBy("file_path").orderBy("block__").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("file_path", "block__", (F.coalesce(F.sum("n__").over(above), F.lit(0)) + 1 - F.col("first__")).alias("shift__"))
+    return part.join(offsets, ["file_path", "block__"]).select("file_path", "file_size", "file_mtime", (F.col("place__") + F.col("shift__")).alias("n"), "value")
+
+
+def lines(spark: SparkSession, paths: list[str], *, pattern: str = "*.jsonl") -> DataFrame:
+    """(file_path, file_size, file_mtime, line_number, value): every line, blank ones too, numbered from 1."""
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(paths)
+    return _numbered(read).withColumnRenamed("n", "line_number")
 
 
 def json_lines(raw: DataFrame) -> DataFrame:
@@ -50,18 +64,17 @@ def concatenated_objects(spark: SparkSession, paths: list[str], pattern: str = "
     they parse; an unfinished rest is dropped.
     """
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n}\n").text(paths)
-    part = read.selectExpr(*STATE, "_metadata.file_block_start as block__", "monotonically_increasing_id() as place__", "value")
+    part = _numbered(read)
     # every piece was followed by the separator if sizes add up; else the last one is open unless it ends with a brace
-    sizes = part.groupBy("file_path").agg((F.sum(F.octet_length("value") + 3) == F.max("file_size")).alias("closed__"), F.max(F.struct("block__", "place__")).alias("last__"))
+    sizes = part.groupBy("file_path").agg((F.sum(F.octet_length("value") + 3) == F.max("file_size")).alias("closed__"), F.max("n").alias("last__"))
     part = part.join(sizes, "file_path")
-    cut_off = ~F.col("closed__") & (F.struct("block__", "place__") == F.col("last__"))
+    cut_off = ~F.col("closed__") & (F.col("n") == F.col("last__"))
     whole_text = F.when(~cut_off, F.concat("value", F.lit("\n}"))).when(F.col("value").rlike("(?s)\n}\\s*$"), F.col("value"))
-    part = part.withColumn("value", whole_text).filter("value is not null").select("file_path", "block__", "place__", "value", F.try_parse_json("value").isNotNull().alias("ok__"))
+    part = part.withColumn("value", whole_text).filter("value is not null").select("file_path", "n", "value", F.try_parse_json("value").isNotNull().alias("ok__"))
     whole = part.filter("ok__").select("file_path", "value")
-    # pieces that don't parse alone are rare: only they are gathered, by run of neighbours
-    order = Window.partitionBy("file_path").orderBy("block__", "place__")
-    runs = part.withColumn("run__", F.sum(F.col("ok__").cast("int")).over(order)).filter(~F.col("ok__"))
-    joined = runs.groupBy("file_path", "run__").agg(F.array_sort(F.collect_list(F.struct("block__", "place__", "value"))).alias("pieces"))
+    # pieces that don't parse alone are rare: only they are numbered and gathered, by run of neighbours
+    bad = part.filter(~F.col("ok__")).withColumn("run__", F.col("n") - F.row_number().over(Window.partitionBy("file_path").orderBy("n")))
+    joined = bad.groupBy("file_path", "run__").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("pieces"))
     folded = F.expr("""
         aggregate(flatten(transform(pieces, p -> split(p.value, '(?<=^\\\\})\\n'))), named_struct('buffer', '', 'done', cast(array() as array<string>)),
           (a, x) -> if(try_parse_json(concat(a.buffer, if(a.buffer = '', '', '\n'), x)) is not null,

@@ -22,11 +22,13 @@ class Warehouse:
 
     def _last(self) -> tuple[int, dict[str, list[str]]]:
         try:
-            log = self.spark.read.schema("n long, folders string").json(f"{self.path}/_commits")
-            last = log.orderBy(F.desc("n")).first()
+            log = self.spark.read.schema("n long, folders string").json(f"{self.path}/_commits/*")
+            last = log.orderBy(F.desc("n")).head(2)
         except AnalysisException:
-            last = None
-        return (last["n"], json.loads(last["folders"])) if last else (0, {})
+            last = []
+        if len(last) == 2 and last[0]["n"] == last[1]["n"]:
+            raise RuntimeError(f"two runs made commit {last[0]['n']} of {self.path} at once")
+        return (last[0]["n"], json.loads(last[0]["folders"])) if last else (0, {})
 
     def read(self, table: str) -> DataFrame:
         """Rows of the last commit; an empty table if there is none."""
@@ -35,7 +37,10 @@ class Warehouse:
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def commit(self, appends: dict[str, DataFrame] | None = None, snapshots: dict[str, DataFrame] | None = None) -> None:
-        """Write rows to add and whole new tables, then make them the current state in one step."""
+        """Write rows to add and whole new tables, then make them the current state in one step.
+
+        A commit that another run has made since is an error; that run's rows stay.
+        """
         n, folders = self._last()
         for changes, adds in ((appends or {}, True), (snapshots or {}, False)):
             for table, rows in changes.items():
@@ -44,7 +49,7 @@ class Warehouse:
                 rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(folder)
                 folders[table] = [*(folders.get(table, []) if adds else []), folder]
         line = self.spark.range(1).select(F.lit(n + 1).cast("long").alias("n"), F.lit(json.dumps(folders)).alias("folders"))
-        line.write.mode("append").json(f"{self.path}/_commits")
+        line.coalesce(1).write.mode("error").json(f"{self.path}/_commits/{n + 1:08d}")
 
     def compact(self, table: str, files: int, sort: list[str]) -> None:
         """Rewrite a table as fewer files, sorted within each by columns that readers filter on."""

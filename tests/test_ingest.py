@@ -228,3 +228,71 @@ def test_compaction_keeps_rows(spark, tmp_path):
     w.compact("claude_usage_events", 1, ["event_timestamp"])
     assert sorted(map(str, w.read("claude_usage_events").collect())) == before
     assert len(w.read("claude_usage_events").inputFiles()) == 1
+
+
+def test_blank_logs_are_rejected_files(spark, tmp_path):
+    """A log without any event is a failed file, alone or beside good ones, and doesn't hold up others."""
+    w, root = Warehouse(spark, str(tmp_path / "w")), tmp_path / "logs"
+    (root / "p").mkdir(parents=True)
+    for name in ("blank", "other"):
+        (root / f"p/{name}.jsonl").write_text("\n \n")
+    got = counts(ingest_sessions(w, "claude", [str(root)]))
+    assert (got["scanned"], got["failed"], got["parse_errors"], got["ingested"]) == (2, 2, 2, 0)
+    write(root / "p/good.jsonl", claude(1))
+    got = counts(ingest_sessions(w, "claude", [str(root)]))
+    assert (got["scanned"], got["failed"], got["ingested"], got["deduped"]) == (3, 2, 1, 1)
+
+
+def test_odd_paths_and_many_files(spark, tmp_path, monkeypatch):
+    """Paths with blanks and pattern characters, by path list and by join over all files."""
+    from meterlake.plans import ingest
+
+    w, root = Warehouse(spark, str(tmp_path / "w")), tmp_path / "log s"
+    write(root / "p [a]/s{1}.jsonl", claude(1))
+    assert counts(ingest_sessions(w, "claude", [str(root)]))["ingested"] == 1
+    monkeypatch.setattr(ingest, "MOST_PATHS", 0)
+    monkeypatch.setattr(ingest, "FEW_SESSIONS", 0)
+    write(root / "q/s2.jsonl", claude(2, session="s2"))
+    got = counts(ingest_sessions(w, "claude", [str(root)]))
+    assert (got["unchanged"], got["ingested"]) == (1, 1)
+    assert w.read("claude_usage_events").count() == 2
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    from meterlake.sources import lines as scan
+
+    text = [f"line {i}" if i % 3 else "" for i in range(500)]
+    (tmp_path / "x.jsonl").write_text("\n".join(text) + "\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        rows = scan.lines(spark, [str(tmp_path)])
+        assert [r["value"] for r in rows.orderBy("line_number").collect()] == text
+        assert sorted(r["line_number"] for r in rows.collect()) == list(range(1, 501))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_a_commit_made_by_another_run_is_kept(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path / "w"))
+    row = spark.createDataFrame([("a", None, "x", 1)], "agent string, run_at timestamp, counter string, value long")
+    w.commit({"ingest_runs": row})
+    stale = w._last()
+    w.commit({"ingest_runs": row})
+    late = Warehouse(spark, w.path)
+    late._last = lambda: stale
+    with pytest.raises(Exception, match="(?i)exists"):
+        late.commit({"ingest_runs": row})
+    assert w.read("ingest_runs").count() == 2
+
+
+def test_metadata_refresh_without_events(spark, tmp_path):
+    """Session metadata of unchanged files is derived anew; events stay."""
+    w, root = Warehouse(spark, str(tmp_path / "w")), tmp_path / "logs"
+    write(root / "p/s1.jsonl", claude(1))
+    ingest_sessions(w, "claude", [str(root)])
+    stored = w.read("claude_session_metadata").withColumn("cwd", F.lit("/old"))
+    w.commit(snapshots={"claude_session_metadata": stored})
+    got = counts(ingest_sessions(w, "claude", [str(root)], refresh_metadata=True))
+    assert (got["unchanged"], got["ingested"]) == (1, 0)
+    assert w.read("claude_session_metadata").first()["cwd"] == "/w" and w.read("claude_usage_events").count() == 1

@@ -4,9 +4,10 @@ import os
 
 import duckdb
 import pytest
-from meterlake.oracle import ORACLE_SQL
+from meterlake import agent_oracle, oracle
 from meterlake.queries import QUERIES
 
+ORACLE_SQL = oracle.ORACLE_SQL | agent_oracle.ORACLE_SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -29,11 +30,8 @@ def test_query(spark, sf_dir, con, name):
     columns = sorted(df.columns)
     key = lambda row: tuple((x is not None, str(x)) for x in row)
     got = sorted((plain(r) for r in df.select(*columns).collect()), key=key)
-    if name in ORACLE_SQL:
-        want = con.execute(f"select {', '.join(columns)} from ({ORACLE_SQL[name]}) x").fetchall()
-        assert got == sorted(map(plain, want), key=key)
-    elif name not in ("sqlite_scan",):
-        assert got
+    want = con.execute(f"select {', '.join(columns)} from ({ORACLE_SQL[name]}) x").fetchall()
+    assert got == sorted(map(plain, want), key=key)
 
 
 def test_entry(spark):
