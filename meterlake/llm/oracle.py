@@ -45,11 +45,11 @@ with w as (
 ), k as (
   select mean, case when v > 0 then least(greatest(mean * (1 - mean) / v - 1, 1.0), 1e6) else 1e6 end as strength from p
 ), bad as (
-  select source as s, (failed + mean * strength) / (n + strength) as rate from h, k
+  select source as s, (failed + mean * strength) / (n + strength) as rate, mean from h, k
 )
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
        cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
-       not base_failed and not (rate > 0.5 and soft) as kept
+       not base_failed and not (rate > 1.25 * mean and soft) as kept
 from f join bad on f.source is not distinct from bad.s
 """
 

@@ -3,10 +3,14 @@
 Every document is tested by rules over its words and lines. Failures are counted by host
 (the column `source`), each host's failure rate is shrunk toward an empirical beta prior
 fitted to all hosts by moments, and the verdict on bad hosts is joined back: a document goes
-if it fails a hard rule, or if its host is bad and it fails a soft rule itself.
-
-Two passes over the texts: one that only keeps two counts per host, and one that judges. The
-texts are never shuffled; hosts join as a broadcast only while they are few.
+if it fails a hard rule, or if its host is bad and it fails a soft rule itself. A host is bad
+if its shrunk rate is more than `bad_ratio` times the mean of the prior, so the bound follows
+the corpus: among hosts that differ by chance alone, shrinking leaves none beyond it once
+they have some hundreds of documents each, and a small host needs the more failures.
+
+One pass over the texts: its measures are stored, hosts are counted from those, and the
+verdict joins the stored rows. Texts are never shuffled by host; bad hosts join as a broadcast
+while they are few, else the suspects alone are joined, salted, and dropped by row number.
 """
 
 from __future__ import annotations
@@ -17,11 +21,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Words are runs without these characters.
 _SPACE = "[ \\t-\\r]"
 WINDOW = 8
-#: Up to so many bad hosts are broadcast; beyond, the join shuffles.
-FEW_HOSTS = 20_000
+#: Up to so many bad hosts are broadcast; beyond, the join shuffles the suspects, in so many parts of each host.
+FEW_HOSTS, SALTS = 20_000, 32
+MEASURES = ("q_words", "q_word_chars", "q_symbols", "q_lines", "q_dup_lines", "q_repeat_words")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,12 +51,13 @@ def _repeats(hashes: Column) -> Column:
     return _let(F.sort_array(_let(ranked, repeated)), covered)
 
 
-def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with q_words, q_word_chars, q_symbols, q_lines, q_dup_lines, q_repeat_words (long).
+def _measured(docs: DataFrame, carried: Column, host_col: str, text_col: str) -> DataFrame:
+    """(doc, host, q_words, q_word_chars, q_symbols, q_lines, q_dup_lines, q_repeat_words long, base_failed, soft_failed): `doc` is the carried value.
 
     Null and empty texts count as zero words. Window equality is by 64-bit hash within a text.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = docs.select(carried.alias("doc"), F.col(host_col).alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.col("text")
     words = F.array_remove(F.split(text, f"{_SPACE}+"), "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^ \\t-\\r]"))
 
@@ -63,12 +71,11 @@ def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     of_words = _let(words, lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), repeated_words(w).alias("repeats")))
     of_lines = _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("different")))
-    out = docs.withColumns({"q__w": of_words, "q__l": of_lines})
-    values = {
-        "q_words": F.col("q__w.n"), "q_word_chars": F.col("q__w.chars"), "q_symbols": F.size(F.split(text, "[#*$%&|<>]")) - 1,
-        "q_lines": F.col("q__l.n"), "q_dup_lines": F.col("q__l.n") - F.col("q__l.different"), "q_repeat_words": F.col("q__w.repeats"),
-    }
-    return out.select(*docs.columns, *[v.cast("long").alias(k) for k, v in values.items()])
+    out = docs.select("doc", "host", "text", of_words.alias("w"), of_lines.alias("l"))
+    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
+    values = (F.col("w.n"), F.col("w.chars"), symbols, F.col("l.n"), F.col("l.n") - F.col("l.different"), F.col("w.repeats"))
+    out = out.select("doc", "host", *[v.cast("long").alias(k) for k, v in zip(MEASURES, values, strict=True)])
+    return out.withColumns({"base_failed": _any(HARD), "soft_failed": _any(SOFT)})
 
 
 #: Rules of the base: a document that fails one goes.
@@ -88,38 +95,50 @@ def _any(rules: dict) -> Column:
     return reduce(lambda a, b: a | b, (rule() for rule in rules.values()))
 
 
-def host_rates(measured: DataFrame, host_col: str = "source") -> DataFrame:
-    """(host, n, failed, rate): failure rate by host, shrunk by the empirical beta prior.
+def host_rates(rows: DataFrame) -> DataFrame:
+    """(host, n, failed, rate, prior): failure rate by host of rows (host, base_failed, soft_failed), shrunk by the empirical beta prior.
 
     Prior mean and variance are those of the raw rates over hosts; strength
     m (1 - m) / v - 1 is held between 1 and 1e6. A null host is a host of its own.
     """
-    hosts = measured.groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("n"), F.count_if(_any(HARD) | _any(SOFT)).alias("failed"))
+    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("base_failed") | F.col("soft_failed")).alias("failed"))
     raw = F.col("failed") / F.col("n")
     m, v = F.avg(raw), F.var_pop(raw)
     strength = F.when(v > 0, F.least(F.greatest(m * (1 - m) / v - 1, F.lit(1.0)), F.lit(1e6))).otherwise(F.lit(1e6))
     prior = hosts.agg(m.alias("mean"), strength.alias("strength"))
     # the prior is one row, whatever the input
-    return hosts.join(F.broadcast(prior)).select("host", "n", "failed", ((F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("rate"))
-
+    shrunk = (F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))
+    return hosts.join(F.broadcast(prior)).select("host", "n", "failed", shrunk.alias("rate"), F.col("mean").alias("prior"))
+
+
+def _verdicts(docs: DataFrame, carried: Column, bad_ratio: float, host_col: str, text_col: str) -> DataFrame:
+    """Measured rows with `kept`."""
+    rows = stored(_measured(docs, carried, host_col, text_col).withColumn("row", F.monotonically_increasing_id()), "quality")
+    bad = host_rates(rows).filter(F.col("rate") > F.col("prior") * bad_ratio).select(F.col("host").alias("bad_host"))
+    few = bad.limit(FEW_HOSTS + 1).collect()
+    fine = ~F.col("base_failed")
+    if len(few) <= FEW_HOSTS:
+        bad = F.broadcast(rows.sparkSession.createDataFrame(few, bad.schema))
+        hit = rows.join(bad.withColumn("hit", F.lit(True)), F.col("host").eqNullSafe(F.col("bad_host")), "left")
+        return hit.withColumn("kept", fine & ~(F.col("hit").isNotNull() & F.col("soft_failed")))
+    suspects = rows.filter(fine & F.col("soft_failed")).select("row", "host", F.pmod("row", F.lit(SALTS)).alias("salt"))
+    salted = bad.select("bad_host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("bad_salt"))
+    dropped = suspects.join(salted, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("salt") == F.col("bad_salt"))).select("row", F.lit(True).alias("hit"))
+    return rows.join(dropped, "row", "left").withColumn("kept", fine & F.col("hit").isNull())
+
+
+def judge(docs: DataFrame, *, bad_ratio: float = 1.25, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(id, q_words, q_word_chars, q_symbols, q_lines, q_dup_lines, q_repeat_words, base_failed, kept) of every row; booleans are never null.
+
+    Null and empty texts count as zero words and fail, null ids and hosts are values like
+    others, repeated rows come out once each, empty input gives no rows. Only the three named
+    columns are read, so others may have any name.
+    """
+    found = _verdicts(docs, F.col(id_col), bad_ratio, host_col, text_col)
+    return found.select(F.col("doc").alias(id_col), *MEASURES, "base_failed", "kept")
 
-def judge(docs: DataFrame, *, bad_rate: float = 0.5, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """`docs` with the q_ metrics, base_failed and kept (boolean, never null).
 
-    Empty input gives no rows. Columns of `docs` that start with q_ or equal base_failed or
-    kept must be renamed by the caller.
-    """
-    measured = metrics(docs, text_col)
-    bad = host_rates(metrics(docs.select(host_col, text_col), text_col), host_col).filter(F.col("rate") > bad_rate).select(F.col("host").alias("bad__host"), F.lit(True).alias("bad__hit"))
-    rows = bad.limit(FEW_HOSTS + 1).collect()
-    judged = measured.withColumn("base_failed", _any(HARD))
-    if rows:
-        bad = F.broadcast(docs.sparkSession.createDataFrame(rows, bad.schema)) if len(rows) <= FEW_HOSTS else bad
-        judged = judged.join(bad, F.col(host_col).eqNullSafe(F.col("bad__host")), "left")
-    on_bad = F.col("bad__hit").isNotNull() if rows else F.lit(False)
-    return judged.withColumn("kept", ~F.col("base_failed") & ~(on_bad & _any(SOFT))).drop("bad__host", "bad__hit")
-
-
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with the columns of `docs`."""
-    return judge(docs, **options).filter("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, *, bad_ratio: float = 1.25, host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The documents that the rules keep, with the columns of `docs` as they are, whatever their names; repeated rows stay."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return _verdicts(docs, whole, bad_ratio, host_col, text_col).filter("kept").select("doc.*")

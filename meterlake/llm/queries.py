@@ -46,7 +46,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    judged = quality.judge(table(spark, sf_dir, "documents"))
     names = {"q_words": "n_words", "q_word_chars": "word_chars", "q_symbols": "n_symbols", "q_dup_lines": "n_dup_lines", "q_repeat_words": "n_repeat_words"}
     return judged.select("doc_id", *[F.col(k).alias(v) for k, v in names.items()], "base_failed", "kept")
 
