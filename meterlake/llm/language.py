@@ -5,24 +5,25 @@ labels of neighbouring words are learned, and forward-backward gives every word'
 probabilities, so a code-switched text is labelled word by word. A document's prediction is
 the label with the most probability over its words, each weighted by its letters.
 
-The model is fitted on the driver from a bounded sample of labelled rows (`sample_rows` rows
-of up to `sample_chars` characters, by smallest hash of the id); spans of different documents
-are strung together so that changes of language occur in training. Prediction reads every
-whole text. Forward-backward runs over blocks of words of many texts at once: block products
+The model is fitted on the driver from a bounded sample of labelled rows: `sample_rows` in all,
+shared evenly by the labels (one of each label at least), by smallest hash; of a text longer
+than `sample_chars` characters a piece of that length from a random place is learned. Spans of
+different documents are strung together so that changes of language occur in training. The
+gradient is that of the log likelihood: word marginals for the features, pair marginals of
+forward-backward for the transitions. Prediction reads every whole text. Forward-backward runs over blocks of words of many texts at once: block products
 first, then messages between the blocks of a text, then within blocks, which is exact for
 texts of any length.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, map_texts
@@ -30,12 +31,13 @@ from .common import held_out, map_texts
 BITS = 16
 BLOCK = 128
 _MEMO = 300_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_CHUNK = 1 << 17
 UNKNOWN = "und"
 
 
 def letters_of(token: str) -> str:
-    return "".join(_LETTERS.findall(token))
+    """The characters of Unicode category L."""
+    return token if token.isalpha() else "".join(filter(str.isalpha, token))
 
 
 def features(letters: str, lexicon: dict[str, str]) -> list[int]:
@@ -94,10 +96,15 @@ def _normal(x: np.ndarray, axis: int | tuple[int, ...] = -1) -> np.ndarray:
 
 def posteriors(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """Label probabilities of every word; scores: words of texts one after another, sizes: words of each text."""
+    return marginals(scores, sizes, transitions)[0]
+
+
+def marginals(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, *, with_pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Label probabilities of every word, and the expected number of each pair of neighbouring labels if asked for."""
     k = scores.shape[1]
     sizes = sizes[sizes > 0]
     if not len(scores):
-        return np.zeros((0, k), np.float32)
+        return np.zeros((0, k), np.float32), np.zeros((k, k))
     blocks = -(-sizes // BLOCK)
     firsts = np.concatenate(([0], np.cumsum(blocks)[:-1]))
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -132,13 +139,26 @@ def posteriors(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -
             moved = np.where(opening[:, None], now, moved)
         now = np.where(there[:, s, None], _normal(moved * e[:, s]), now)
         alpha[:, s] = now
+    forward = alpha.copy() if with_pairs else None
+    ahead = np.empty_like(e) if with_pairs else None
     beta = out
     for s in range(BLOCK - 1, -1, -1):
         after = beta
         alpha[:, s] *= after
+        if ahead is not None:
+            ahead[:, s] = after * e[:, s]
         moved = _normal((after * e[:, s]) @ t.T)
         beta = np.where(there[:, s, None], moved, beta)
-    return _normal(alpha.reshape(-1, k)[where])
+    found = _normal(alpha.reshape(-1, k)[where])
+    if forward is None:
+        return found, None
+    # a pair's probability: what leads to the first word, the transition, and what the second word and all after it say
+    pairs, left, right = np.zeros((k, k)), forward.reshape(-1, k)[where], ahead.reshape(-1, k)[where]
+    inner = np.flatnonzero(at[1:])
+    for c in range(0, len(inner), _CHUNK):
+        i = inner[c : c + _CHUNK]
+        pairs += _normal((left[i][:, :, None] * t * right[i + 1][:, None, :]).astype(np.float64), (1, 2)).sum(axis=0)
+    return found, pairs
 
 
 def fit(rows: Sequence[tuple[str, str]], *, rounds: int = 40, rate: float = 0.15, decay: float = 1e-4, lexicon_size: int = 400, seed: int = 7) -> Model:
@@ -184,13 +204,10 @@ def fit(rows: Sequence[tuple[str, str]], *, rounds: int = 40, rate: float = 0.15
     for r in range(1, rounds + 1):
         table = np.stack([np.bincount(owner, model.weights[flat, c], len(found)) for c in range(k)], axis=1).astype(np.float32)
         scores = table[at]
-        p = posteriors(scores, sizes, model.transitions)
+        p, expected = marginals(scores, sizes, model.transitions, with_pairs=True)
         wrong = (p - onehot) / len(words)
         by_word = np.stack([np.bincount(at, wrong[:, c], len(found)) for c in range(k)], axis=1)
         g = np.stack([np.bincount(flat, by_word[owner, c], 1 << BITS) for c in range(k)], axis=1) + decay * model.weights / len(words) ** 0.5
-        # expected transitions from the product of neighbouring probabilities and the transition weights
-        joint = p[inner][:, :, None] * np.exp(model.transitions)[None] * p[inner + 1][:, None, :]
-        expected = _normal(joint, (1, 2)).sum(axis=0)
         gt = (expected - pairs) / len(inner) + decay * model.transitions
         for value, grad, (m, v) in zip(parameters, (g, gt), moments, strict=True):
             m += 0.1 * (grad - m)
@@ -200,21 +217,31 @@ def fit(rows: Sequence[tuple[str, str]], *, rounds: int = 40, rate: float = 0.15
 
 
 def training_rows(docs: DataFrame, *, sample_rows: int = 500, sample_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[str, str]]:
-    """Up to `sample_rows` (text, label) rows with a letter, at most `sample_chars` long, by smallest hash of the id."""
-    rows = docs.select(F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("y"), F.xxhash64(id_col).alias("h"))
-    rows = rows.filter(F.col("t").rlike("\\p{L}") & F.col("y").isNotNull() & (F.length("t") <= sample_chars))
-    # hashes first: a task sends sample_rows numbers to the driver, not as many texts
-    chosen = rows.select("h").orderBy("h").limit(sample_rows).collect()
-    if not chosen:
+    """Labelled rows (text, label) with a letter, by label then hash of id and text: sample_rows in all, shared evenly by the labels.
+
+    A label gets one row at least, so there are at most max(sample_rows, number of labels) of
+    up to `sample_chars` characters; a longer text gives a piece from a place that its hash
+    names. Rows that are alike in id, text and label count once.
+    """
+    text, label = F.col(text_col).cast("string"), F.col(label_col).cast("string")
+    rows = docs.select(text.alias("t"), label.alias("y"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.xxhash64(text).alias("h2")).filter(F.col("t").rlike("\\p{L}") & F.col("y").isNotNull())
+    labels = rows.select("y").distinct().count()
+    if not labels:
         return []
-    few = rows.filter(F.col("h") <= chosen[-1]["h"]).select("t", "y", "h").limit(2 * sample_rows).collect()
-    return [(r["t"], r["y"]) for r in sorted(few, key=lambda r: (r["h"], r["t"], r["y"]))[:sample_rows]]
+    # hashes first: a task sends its best few of each label, not as many texts
+    rank = F.row_number().over(Window.partitionBy("y").orderBy("h", "h2"))
+    keys = rows.select("y", "h", "h2").withColumn("n", rank).filter(F.col("n") <= max(1, sample_rows // labels)).select("y", "h", "h2").distinct()
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(keys.collect(), keys.schema))
+    start = F.pmod("h2", F.greatest(F.length("t") - sample_chars, F.lit(0)) + 1) + 1
+    piece = F.substring("t", start.cast("int"), F.lit(sample_chars))
+    few = rows.join(chosen, ["y", "h", "h2"]).groupBy("y", "h", "h2").agg(F.min(piece).alias("t")).collect()
+    return [(r["t"], r["y"]) for r in sorted(few, key=lambda r: (r["h"], r["h2"], r["y"]))]
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, n_switches): label of every whole text.
 
-    A text that is null, empty or without letters is `und` with score 0. n_switches counts
+    A text that is null, empty or without letters (Unicode category L) is `und` with score 0. n_switches counts
     changes of the likeliest label between neighbouring words. One row per input row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
