@@ -127,27 +127,37 @@ def fit(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = NAMES, *, trees:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of up to `sample_rows` labelled rows that aren't held out.
+    """Statistics and labels of up to `sample_rows` labelled rows that aren't held out, in order of their hashes.
 
     The rows are those with the smallest hash of the id, so the ids that are broadcast to the
-    scan of the texts are bounded, and only statistics reach the driver.
+    scan of the texts are bounded, and only statistics reach the driver. An id that repeats
+    counts once, with its smallest label and the text of smallest hash; null ids, labels other
+    than 0 and 1 and labels without a document are left out.
     """
-    ids = labels.filter(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("t__id"), F.col(label_col).cast("double").alias("t__y"))
-    chosen = ids.orderBy(F.xxhash64("t__id"), "t__id", "t__y").limit(sample_rows).collect()
+    ids = labels.filter(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("t__id")).agg(F.min(F.col(label_col).cast("double")).alias("t__y"))
+    chosen = ids.orderBy(F.xxhash64("t__id"), "t__id").limit(sample_rows).collect()
     if not chosen:
         return np.zeros((0, len(NAMES))), np.zeros(0)
     few = docs.sparkSession.createDataFrame(chosen, ids.schema)
-    rows = docs.select(F.col(id_col).alias("t__id"), text_col).join(F.broadcast(few), "t__id")
-    got = statistics(rows, text_col).select("t__y", *[f"s__{k}" for k in NAMES]).orderBy("t__id").limit(4 * sample_rows).collect()
-    return np.array([r[1:] for r in got], float).reshape(-1, len(NAMES)), np.array([r[0] for r in got], float)
+    rows = docs.select(F.col(id_col).alias("t__id"), F.col(text_col).alias("t__text")).join(F.broadcast(few), "t__id")
+    got = statistics(rows, "t__text").groupBy("t__id").agg(F.min(F.struct(F.xxhash64("t__text").alias("h"), "t__y", *[f"s__{k}" for k in NAMES])).alias("r"))
+    got = got.select(F.xxhash64("t__id").alias("h"), "t__id", "r.t__y", *[f"r.s__{k}" for k in NAMES]).orderBy("h", "t__id").collect()
+    return np.array([r[3:] for r in got], float).reshape(-1, len(NAMES)), np.array([r[2] for r in got], float)
 
 
 def score(docs: DataFrame, model: RuleModel, *, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3) -> DataFrame:
-    """(id, held_out, score double, predicted int) of every row; empty and null texts are scored by their zero statistics."""
+    """(id, held_out, score double, predicted int) of every row; empty and null texts are scored by their zero statistics.
+
+    Repeated rows come out once each, a null id isn't held out, other columns may have any
+    name, and an empty table gives no rows.
+    """
     made = statistics(docs.select(id_col, text_col), text_col).select(id_col, held_out(id_col).alias("held_out"), model.column().alias("score"))
     return made.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """`score` with a model fitted on the labelled rows that aren't held out."""
+    """`score` with a model fitted on the labelled rows that aren't held out.
+
+    With fewer than 20 such rows, or labels all alike, every score is the share of label 1 (one half without any).
+    """
     return score(docs, fit(*training_rows(docs, labels, **options)))
