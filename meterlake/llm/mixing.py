@@ -8,6 +8,10 @@ window is met, so after any number of slots a source is less than one block away
 share. Frames repeat. Slots of a source that has run out stay empty: the others follow in the
 same order, and every document is placed exactly once.
 
+Weights are the given targets, rounded to a frame of whole slots. The frame grows with the
+number of sources, so the shares that rounding and the least weight of one slot move are at
+most one slot of the frame for a source, and a twentieth of the whole for all together.
+
 Row numbers within a source come from counts per (source, MD5 prefix) and running sums over
 those, so a source with a third of all rows is numbered by many tasks.
 """
@@ -17,16 +21,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: More sources than this must be grouped first; the frame is worked out in one row.
-MOST_SOURCES = 10_000
+#: The schedule of a frame is worked out in one row, in time sources x slots: more sources than this are an error, and must be grouped first.
+MOST_SOURCES = 2_000
+#: Slots of a frame for each source, at least.
+SLOTS_PER_SOURCE = 20
 _BUCKET_ROWS = 2_000
 
 
+def target_weights(targets: DataFrame, *, source_col: str = "source", weight_col: str = "weight", frame: int = 1000) -> DataFrame:
+    """(key, m): targets (source, weight > 0), one row for each source, as integers of about `frame` slots in all, at least 1.
+
+    Over MOST_SOURCES sources, no or a negative weight, and a source named twice are errors.
+    """
+    rows = targets.select(_key(source_col).alias("key"), F.col(weight_col).cast("double").alias("w"))
+    n, different, bad, total = rows.agg(F.count("*"), F.countDistinct("key"), F.count_if(F.col("w").isNull() | F.isnan("w") | (F.col("w") <= 0)), F.sum("w")).first()
+    if n > MOST_SOURCES:
+        raise ValueError(f"{n} sources, more than {MOST_SOURCES}: group the smaller ones first")
+    if bad or different < n:
+        raise ValueError("every source needs one weight above 0")
+    size = max(frame, SLOTS_PER_SOURCE * n)
+    return rows.select("key", F.greatest(F.lit(1), F.round(size * F.col("w") / F.lit(total or 1.0))).cast("long").alias("m"))
+
+
 def source_weights(docs: DataFrame, *, source_col: str = "source", temperature: float = 0.5, frame: int = 1000) -> DataFrame:
-    """(key, m): target weights, rows ** temperature, as integers of about `frame` in all, at least 1."""
-    counts = docs.groupBy(_key(source_col).alias("key")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum(F.pow("n", F.lit(temperature))).alias("total"))
-    return counts.join(F.broadcast(total)).select("key", F.greatest(F.lit(1), F.round(frame * F.pow("n", F.lit(temperature)) / F.col("total"))).cast("long").alias("m"))
+    """(key, m): weights rows ** temperature of the sources that are there."""
+    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
+    return target_weights(counts.select("source", F.pow("n", F.lit(temperature)).alias("weight")), frame=frame)
 
 
 def _key(source_col: str) -> Column:
@@ -55,33 +75,48 @@ def frame_slots(weights: DataFrame) -> DataFrame:
     return found.select("x.key", "x.m", "w", "slots")
 
 
+def _placed(docs: DataFrame, weights: DataFrame | None, block_rows: int, frame: int, temperature: float, id_col: str, source_col: str) -> DataFrame:
+    """(doc, mix_row, mix_block, mix_slot, mix_block_row): `doc` is the whole row, so its columns may have any name."""
+    plan = frame_slots(weights if weights is not None else source_weights(docs, source_col=source_col, temperature=temperature, frame=frame))
+    rows = docs.select(F.col(id_col).alias("id"), _key(source_col).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).join(plan.select("key", "m"), "key", "left").agg(F.sum("n").alias("n"), F.count_if(F.col("m").isNull()).alias("unknown")).first()
+    if counts["unknown"]:
+        raise ValueError(f"{counts['unknown']} sources have no weight")
+    total, digits = counts["n"] or 0, 1
+    while total > _BUCKET_ROWS * 16**digits:
+        digits += 1
+    no_id = F.concat(F.lit("!"), F.md5(F.xxhash64("doc").cast("string")))
+    hashed = F.coalesce(F.md5(F.col("id").cast("string")), no_id)
+    bucket = F.substring(hashed, F.lit(1), F.when(F.col("id").isNull(), digits + 1).otherwise(digits))
+    marked = rows.select("doc", "id", "key", hashed.alias("md5"), bucket.alias("bucket"))
+    sizes = rows.select("key", bucket.alias("bucket")).groupBy("key", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").join(plan, "key")
+    within = Window.partitionBy("key", "bucket").orderBy("md5", "id")
+    placed = marked.withColumn("n", F.row_number().over(within)).join(starts, ["key", "bucket"])
+    row = F.col("start") + F.col("n") - 1
+    placed = placed.withColumns({"mix_row": row.cast("long"), "mix_block": F.floor(row / block_rows).cast("long"), "mix_block_row": (row % block_rows).cast("long")})
+    slot = F.expr("mix_block div m * w + element_at(slots, cast(mix_block % m as int) + 1)")
+    return placed.select("doc", "mix_row", "mix_block", slot.cast("long").alias("mix_slot"), "mix_block_row")
+
+
+_PLACES = ("mix_row", "mix_block", "mix_slot", "mix_block_row")
+
+
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, block_rows: int = 64, frame: int = 1000, temperature: float = 0.5, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """`docs` with mix_row, mix_block, mix_slot, mix_block_row (long): all rows, each once.
 
-    weights: (key, m) as `source_weights` makes them, one row for each source. Order within
-    a source is by MD5 of the id, then id; repeated rows are placed one after another in any
-    order, null ids first. Empty input gives no rows. Over MOST_SOURCES sources are refused.
+    weights: (key, m) as `target_weights` or `source_weights` makes them, one row for each
+    source; a source of the documents without one is an error. Order within a source is by MD5
+    of the id, then id; rows without an id come first, by a hash of all their columns, so they
+    don't meet in one task; repeated rows are placed one after another in any order. Columns of
+    `docs` with the four names are replaced, others may have any name. Empty input gives no rows.
     """
-    plan = frame_slots(weights if weights is not None else source_weights(docs, source_col=source_col, temperature=temperature, frame=frame))
-    total, digits = docs.count(), 1
-    while total > _BUCKET_ROWS * 16**digits:
-        digits += 1
-    hashed = F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit(""))
-    marked = docs.withColumns({"mix__key": _key(source_col), "mix__md5": hashed}).withColumn("mix__bucket", F.substring("mix__md5", 1, digits))
-    sizes = docs.select(_key(source_col).alias("mix__key"), F.substring(hashed, 1, digits).alias("mix__bucket")).groupBy("mix__key", "mix__bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("mix__key").orderBy("mix__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("mix__start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    starts = starts.join(plan.select(F.col("key").alias("mix__key"), F.col("m").alias("mix__m"), F.col("w").alias("mix__w"), F.col("slots").alias("mix__slots")), "mix__key")
-    within = Window.partitionBy("mix__key", "mix__bucket").orderBy("mix__md5", F.col(id_col))
-    placed = marked.withColumn("mix__n", F.row_number().over(within)).join(starts, ["mix__key", "mix__bucket"])
-    row = F.col("mix__start") + F.col("mix__n") - 1
-    block = F.floor(row / block_rows).cast("long")
-    placed = placed.withColumns({"mix_row": row.cast("long"), "mix_block": block, "mix_block_row": (row % block_rows).cast("long")})
-    slot = F.expr("mix_block div mix__m * mix__w + element_at(mix__slots, cast(mix_block % mix__m as int) + 1)")
-    return placed.withColumn("mix_slot", slot.cast("long")).select(*docs.columns, "mix_row", "mix_block", "mix_slot", "mix_block_row")
-
-
-def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """The documents in the order of their slots, with the columns of `docs`; every row stays."""
-    mixed = mix_sources(docs, **options)
-    return mixed.repartitionByRange("mix_slot", "mix_block_row").sortWithinPartitions("mix_slot", "mix_block_row").select(*docs.columns)
+    placed = _placed(docs.drop(*_PLACES), weights, block_rows, frame, temperature, id_col, source_col)
+    return placed.select("doc.*", *_PLACES)
+
+
+def in_mixed_order(docs: DataFrame, weights: DataFrame | None = None, *, block_rows: int = 64, frame: int = 1000, temperature: float = 0.5, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The documents in the order of their slots, with the columns of `docs` as they are; every row stays, repeated ones too."""
+    placed = _placed(docs, weights, block_rows, frame, temperature, id_col, source_col)
+    return placed.repartitionByRange("mix_slot", "mix_block_row").sortWithinPartitions("mix_slot", "mix_block_row").select("doc.*")

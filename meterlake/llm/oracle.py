@@ -55,9 +55,9 @@ from f join bad on f.source is not distinct from bad.s
 
 OP6 = r"""
 with recursive c as (
-  select case when source is null then '' else '=' || source end as key, count(*) as n from documents group by 1
+  select case when source is null then '' else '=' || source end as key, 1 + coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) as integer), 0) % 7 as weight from documents group by all
 ), m as (
-  select key, cast(greatest(1, round(1000 * pow(n, 0.5) / (select sum(pow(n, 0.5)) from c))) as bigint) as m from c
+  select key, cast(greatest(1, round(greatest(1000, 20 * (select count(*) from c)) * cast(weight as double) / (select sum(weight) from c))) as bigint) as m from c
 ), k as (
   select list(key order by key) as keys, list(m order by key) as ms, cast(sum(m) as bigint) as w from m
 ), edf as (
@@ -74,8 +74,8 @@ with recursive c as (
          row_number() over (partition by source order by coalesce(md5(cast(doc_id as varchar)), ''), doc_id) - 1 as source_row
   from documents
 )
-select doc_id, source, source_row, source_row // 64 as block, (source_row // 64) // m.m * k.w + pos as slot, source_row % 64 as block_row
-from d join m using (key) cross join k join slots on slots.key = d.key and slots.idx = (source_row // 64) % m.m
+select doc_id, source, source_row, source_row // 8 as block, (source_row // 8) // m.m * k.w + pos as slot, source_row % 8 as block_row
+from d join m using (key) cross join k join slots on slots.key = d.key and slots.idx = (source_row // 8) % m.m
 """
 
 OP10 = r"""

@@ -51,8 +51,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(k).alias(v) for k, v in names.items()], "base_failed", "kept")
 
 
+#: Documents of a block in the mix query.
+MIX_BLOCK = 8
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    """Sources mixed to target weights of 1 to 7, by the number in their names."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    number = F.coalesce(F.regexp_extract("source", "([0-9]{1,9})$", 1).try_cast("int"), F.lit(0))
+    targets = docs.select("source").distinct().withColumn("weight", (1 + number % 7).cast("double"))
+    mixed = mixing.mix_sources(docs, mixing.target_weights(targets), block_rows=MIX_BLOCK)
     return mixed.select("doc_id", "source", F.col("mix_row").alias("source_row"), F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_block_row").alias("block_row"))
 
 
