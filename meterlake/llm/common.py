@@ -43,6 +43,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: A key with more than this share of the rows, and this many rows, is hot: its rows are dealt to SALTS tasks.
+HOT_SHARE, HOT_ROWS, SALTS = 0.001, 1_000, 64
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: str, count: str) -> DataFrame:
+    """Inner join of `rows` with `keyed` (one row per key; `count` says how many of `rows` have it) on a column.
+
+    Rows of a hot key are dealt over many tasks, and the key's one row is copied to each. A key
+    is hot above a fixed share of all rows, so the list of hot keys has a fixed bound, whatever the input.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = keyed.filter(F.col(count) > max(HOT_ROWS, total * HOT_SHARE)).select(on).collect()
+    keyed = keyed.drop(count)
+    if not hot:
+        return rows.join(keyed, on)
+    listed = F.broadcast(rows.sparkSession.createDataFrame(hot, keyed.select(on).schema).withColumn("hot__", F.lit(True)))
+    is_hot = F.col("hot__").isNotNull()
+    dealt = rows.join(listed, on, "left").withColumn("salt__", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot__")
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = keyed.join(listed, on, "left").withColumn("salt__", F.explode(copies)).drop("hot__")
+    return dealt.join(copied, [on, "salt__"]).drop("salt__")
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a row is kept from training: crc32 of the id as text, modulo 5, is 0; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts
+from .common import checkpointed, map_texts, spread_join
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -110,8 +110,8 @@ def links(distinct: DataFrame, *, dense_at: int = 128) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components of edges (a, b), by alternating large-star and small-star steps.
 
-    Root is the smallest node. Minima are taken by partial aggregates and joined back, so a
-    hub is never gathered in one task; each round is checkpointed.
+    Root is the smallest node. Minima are taken by partial aggregates and joined back; the
+    edges of a hub are dealt over many tasks for that. Each round is checkpointed.
     """
     now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
 
@@ -121,11 +121,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(now)
     while before[0]:
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        low = checkpointed(both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+        large = spread_join(both.filter("b > a"), low, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         large = checkpointed(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").union(low.select("a", F.col("m").alias("b")))
+        low = checkpointed(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = spread_join(large, low, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").union(low.select("a", F.col("m").alias("b")))
         now = checkpointed(small.distinct())
         after = mark(now)
         if after == before:
@@ -143,13 +143,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, dense_at: int = 128, id_
     unless all its members have null ids. Empty input gives no rows.
     """
     marked = checkpointed(fingerprints(docs, width=width, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("id"), "fp"))
-    distinct = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("rep")))
+    distinct = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), dense_at=dense_at)).withColumnRenamed("node", "fp")
-    tied = checkpointed(roots.join(distinct, "fp"))
-    least = tied.groupBy("root").agg(F.min("rep").alias("lowest"))
-    named = tied.join(least, "root").select("fp", "lowest")
-    named = distinct.join(named, "fp", "left").select("fp", F.coalesce("lowest", "rep").alias("component"))
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    tied = checkpointed(roots.join(distinct.select("fp", "rep"), "fp"))
+    least = checkpointed(tied.groupBy("root").agg(F.min("rep").alias("lowest"), F.count("*").alias("n")))
+    named = spread_join(tied, least, "root", "n").select("fp", "lowest")
+    named = checkpointed(distinct.join(named, "fp", "left").select("fp", F.coalesce("lowest", "rep").alias("component"), "n"))
+    return spread_join(marked, named, "fp", "n").select(F.col("id").alias(id_col), "fp", "component")
 
 
 def hex16(fp: Column) -> Column:
