@@ -1,10 +1,11 @@
 """Operator 1: licence scan with a positional index of rare licence words.
 
 Templates are short licence notices. The document frequency of every template word is
-counted over the whole corpus, and each template is posted under the rarest (highest-IDF)
-words of its mandatory phrases with their offsets. A file looks its licence words up, rarest first; postings give
-start positions (place in the file minus offset in the template), which are intersected over
-the template's rare words, within a slack for notices that are reworded. What survives is
+counted over the whole corpus, and each template is posted under the rarest (highest-IDF) word
+of its mandatory phrases. A file looks up only those words: a template whose rarest word isn't
+there is never touched. The places of that word give start positions (place in the file minus
+offset in the template), which are intersected with those of the template's next rarer words,
+within a slack for notices that are reworded, until none is left. What survives is
 verified: mandatory key phrases must stand, word after word, inside the aligned window, and
 enough of the template's words must be there.
 
@@ -50,6 +51,11 @@ BASE = (_base("cc-by", "cc by"), _base("gpl", "general public license"), _base("
 NOTICES = (
     Template("agpl-3.0", "licensed under the gnu affero general public license version 3", ("gnu affero general public license",)),
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
+    Template("apache-2.0", "apache license version 2 0", ("apache license", "version 2 0")),
+    Template("apache-2.0", "apache license 2 0", ("apache license 2 0",)),
+    Template("apache-2.0", "apache 2 0 license", ("apache 2 0 license",)),
+    Template("bsd", "bsd 2 clause license", ("bsd 2 clause",)),
+    Template("bsd", "bsd 3 clause license", ("bsd 3 clause",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
     Template("bsd", "released under the bsd license", ("bsd license",)),
     Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
@@ -58,10 +64,13 @@ NOTICES = (
     Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
     Template("cc0-1.0", "dedicated to the public domain under cc0 1 0 universal", ("cc0 1 0",)),
     Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
+    Template("gpl-2.0", "gnu general public license as published by the free software foundation either version 2", ("gnu general public license", "version 2")),
+    Template("gpl-3.0", "gnu general public license as published by the free software foundation either version 3", ("gnu general public license", "version 3")),
     Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify",)),
     Template("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
     Template("mit", "released under the mit license", ("mit license",)),
+    Template("mit", "mit license", ("mit license",), 0),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
@@ -74,7 +83,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class RareWordIndex:
-    """Postings of each template's rarest words: word -> (template, offset)."""
+    """Templates by the rarest word of each, and the offsets of its further rare words, rarest first."""
 
     def __init__(self, templates: Sequence[Template], document_frequency: dict[bytes, int], n_documents: int, rare_words: int = 3) -> None:
         self.templates = list(templates)
@@ -89,20 +98,19 @@ class RareWordIndex:
             chosen = sorted(must, key=by_rarity)
             chosen = chosen if t.base else chosen[:rare_words]
             self.rare.append([(w, ws.index(w)) for w in chosen])
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.by_rarest: dict[bytes, list[int]] = defaultdict(list)
         for k, rare in enumerate(self.rare):
-            for w, offset in rare:
-                self.postings[w].append((k, offset))
-        self.vocabulary = frozenset(self.postings)
+            self.by_rarest[rare[0][0]].append(k)
+        self.rarest = frozenset(self.by_rarest)
+        self.vocabulary = frozenset(w for rare in self.rare for w, _ in rare)
 
     def matches(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, start, share of the template's words found) of every verified place."""
-        present = self.vocabulary.intersection(words)
+        present = self.rarest.intersection(words)
         if not present:
             return []
-        looked_up = sorted(present, key=lambda w: (-self.idf[w], w))
-        votes = Counter(k for w in looked_up for k, _ in self.postings[w])
-        live = [k for k, n in votes.items() if n == len(self.rare[k])]
+        there = self.vocabulary.intersection(words)
+        live = [k for w in present for k in self.by_rarest[w] if all(x in there for x, _ in self.rare[k])]
         if not live:
             return []
         wanted = {w for k in live for w, _ in self.rare[k]}
@@ -116,6 +124,8 @@ class RareWordIndex:
             (first, offset), *others = self.rare[k]
             starts = [at - offset for at in places[first]]
             for w, offset in others:
+                if not starts:
+                    break
                 near = {at - offset + d for at in places[w] for d in range(-slack, slack + 1)}
                 starts = [s for s in starts if s in near]
             for s in starts:
@@ -155,7 +165,8 @@ def scan_licenses(docs: DataFrame, templates: Sequence[Template] = BASE + NOTICE
     """(id, n_words, matches array<struct<label, base, start, score>>) of every whole text, matches by start then label.
 
     score is the share of the template's words found at the place; places under `min_share`
-    are dropped. Null and empty texts have no words and no matches. One row per input row.
+    are dropped. Null and empty texts have no words and no matches. One row per input row,
+    repeated ones too; other columns may have any name.
     """
     frequency, total = licence_word_counts(docs, templates, id_col=id_col, text_col=text_col)
     index = RareWordIndex(templates, frequency, total, rare_words)

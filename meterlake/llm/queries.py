@@ -38,7 +38,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
     of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     counts = [of_kind(k).alias(f"n_{k}") for k in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    best = F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0))
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), best.alias("top_score"))
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
