@@ -88,6 +88,24 @@ def quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+def kept_by_quality(rows, ratio=1.25):
+    """Ids that the quality rules keep; rows: id -> (measures, text, host)."""
+    hard = {d: m[0] < 20 or 100 * m[4] > 30 * m[0] for d, (m, *_) in rows.items()}
+    soft = {}
+    for d, (m, t, _) in rows.items():
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (t or "").split("\n"))
+        soft[d] = 10 * m[2] > m[0] or 10 * m[3] > 3 * lines or m[1] < 2 * m[0] or m[1] > 12 * m[0]
+    of = {}
+    for d, (_, _, host) in rows.items():
+        of.setdefault(host, []).append(hard[d] or soft[d])
+    raw = [sum(x) / len(x) for x in of.values()]
+    mean = sum(raw) / len(raw)
+    v = sum((x - mean) ** 2 for x in raw) / len(raw)
+    strength = min(max(mean * (1 - mean) / v - 1, 1.0), 1e6) if v > 0 else 1e6
+    bad = {h for h, x in of.items() if (sum(x) + mean * strength) / (len(x) + strength) > ratio * mean}
+    return {d for d, (_, _, host) in rows.items() if not hard[d] and not (host in bad and soft[d])}
+
+
 def top_k(rows, k=10, every=100):
     """rows: (id, vector); best rows of each query row, as (query, rank, id, score)."""
     import math
