@@ -30,7 +30,9 @@ from .common import held_out, map_texts
 
 BITS = 16
 BLOCK = 128
-_MEMO = 300_000
+_MEMO = 200_000
+#: Words whose features are made at once.
+_WORDS = 50_000
 _CHUNK = 1 << 17
 UNKNOWN = "und"
 
@@ -40,18 +42,37 @@ def letters_of(token: str) -> str:
     return token if token.isalpha() else "".join(filter(str.isalpha, token))
 
 
-def features(letters: str, lexicon: dict[str, str]) -> list[int]:
-    """Hashed features of the letters of a lower-cased word: affixes and n-grams of 1 to 3, lexicon entry."""
-    if not letters:
-        return []
-    marked = f"^{letters}$".encode()
-    raw = letters.encode()
-    out = [b"p" + raw[:n] for n in (1, 2, 3, 4)] + [b"s" + raw[-n:] for n in (1, 2, 3, 4)]
-    out += [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
-    if (known := lexicon.get(letters)) is not None:
-        out.append(b"lex=" + known.encode())
-    mask = (1 << BITS) - 1
-    return [zlib.crc32(x) & mask for x in out]
+def features(letters: Sequence[str], lexicon: dict[str, str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of the letters of lower-cased words, by family: (word number, feature), in order of words.
+
+    Families: n-grams of 2 and 3 bytes of the word with marked ends, prefixes and suffixes of 1
+    to 4 bytes, the lexicon entry. Words without letters have none.
+    """
+    marked = [f"^{x}$".encode() if x else b"" for x in letters]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    data = np.frombuffer(b"".join(marked) + bytes(4), np.uint8).astype(np.uint32)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    windows, out = [data], []
+    for n in range(1, 4):
+        windows.append((windows[-1][:-1] << np.uint32(8)) | data[n:])
+
+    def hashed(n: int, at: np.ndarray, tag: int) -> np.ndarray:
+        code = windows[n - 1][at] + np.uint32(tag * 0x85EBCA6B & 0xFFFFFFFF)
+        code = (code ^ (code >> np.uint32(15))) * np.uint32(0x9E3779B1)
+        return ((code ^ (code >> np.uint32(13))) >> np.uint32(32 - BITS)).astype(np.int64)
+
+    owner, place = np.repeat(np.arange(len(marked)), sizes), np.arange(int(sizes.sum()))
+    for n in (2, 3):
+        inside = place + n <= ends[owner]
+        out.append((owner[inside], hashed(n, place[inside], n)))
+    for n in (1, 2, 3, 4):
+        long = np.flatnonzero(sizes >= n + 2)
+        out += [(long, hashed(n, starts[long] + 1, 10 + n)), (long, hashed(n, ends[long] - 1 - n, 20 + n))]
+    entries = {label: zlib.crc32(b"lex=" + label.encode()) & ((1 << BITS) - 1) for label in set(lexicon.values())}
+    known = [(i, entries[label]) for i, x in enumerate(letters) if (label := lexicon.get(x)) is not None]
+    out.append((np.array([i for i, _ in known], np.int64), np.array([f for _, f in known], np.int64)))
+    return out
 
 
 @dataclass
@@ -75,14 +96,12 @@ class Model:
         new = list(set(tokens).difference(self.rows_))
         if new:
             letters = [letters_of(t) for t in new]
-            found = [features(x, self.lexicon) for x in letters]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
             table = np.zeros((len(new), len(self.labels)), np.float32)
-            flat = np.fromiter((i for f in found for i in f), np.int64, int(sizes.sum()))
-            full = np.flatnonzero(sizes)
-            if len(full):
-                starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
-                table[full] = np.add.reduceat(self.weights[flat], starts, axis=0)
+            for c in range(0, len(new), _WORDS):
+                for owner, flat in features(letters[c : c + _WORDS], self.lexicon):
+                    if len(owner):
+                        starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                        table[c + owner[starts]] += np.add.reduceat(self.weights[flat], starts, axis=0)
             at = len(self.rows_)
             self.rows_.update(zip(new, range(at, at + len(new)), strict=True))
             self._table = np.concatenate([self._table, table])
@@ -190,9 +209,8 @@ def fit(rows: Sequence[tuple[str, str]], *, rounds: int = 40, rate: float = 0.15
     if not words or k == 1:
         return model
     distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    found = [features(letters_of(w), model.lexicon) for w in distinct]
-    sizes_f = np.fromiter(map(len, found), np.int64, len(found))
-    owner, flat = np.repeat(np.arange(len(found)), sizes_f), np.fromiter((i for f in found for i in f), np.int64, int(sizes_f.sum()))
+    found = features([letters_of(w) for w in distinct], model.lexicon)
+    owner, flat = (np.concatenate(x) for x in zip(*found, strict=True))
     at = np.fromiter((distinct[w] for w in words), np.int64, len(words))
     sizes = np.full(max(1, len(words) // BLOCK), min(BLOCK, len(words)), np.int64)
     onehot = np.eye(k, dtype=np.float32)[gold]
@@ -202,11 +220,11 @@ def fit(rows: Sequence[tuple[str, str]], *, rounds: int = 40, rate: float = 0.15
     parameters = [model.weights, model.transitions]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in parameters]
     for r in range(1, rounds + 1):
-        table = np.stack([np.bincount(owner, model.weights[flat, c], len(found)) for c in range(k)], axis=1).astype(np.float32)
+        table = np.stack([np.bincount(owner, model.weights[flat, c], len(distinct)) for c in range(k)], axis=1).astype(np.float32)
         scores = table[at]
         p, expected = marginals(scores, sizes, model.transitions, with_pairs=True)
         wrong = (p - onehot) / len(words)
-        by_word = np.stack([np.bincount(at, wrong[:, c], len(found)) for c in range(k)], axis=1)
+        by_word = np.stack([np.bincount(at, wrong[:, c], len(distinct)) for c in range(k)], axis=1)
         g = np.stack([np.bincount(flat, by_word[owner, c], 1 << BITS) for c in range(k)], axis=1) + decay * model.weights / len(words) ** 0.5
         gt = (expected - pairs) / len(inner) + decay * model.transitions
         for value, grad, (m, v) in zip(parameters, (g, gt), moments, strict=True):
