@@ -8,9 +8,10 @@ if its shrunk rate is more than `bad_ratio` times the mean of the prior, so the
 the corpus: among hosts that differ by chance alone, shrinking leaves none beyond it once
 they have some hundreds of documents each, and a small host needs the more failures.
 
-One pass over the texts: its measures are stored, hosts are counted from those, and the
+The texts are measured once: the measures are stored, hosts are counted from those, and the
 verdict joins the stored rows. Texts are never shuffled by host; bad hosts join as a broadcast
 while they are few, else the suspects alone are joined, salted, and dropped by row number.
+A verdict depends on text and host alone, so documents are kept by two 64-bit hashes of those.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ _SPACE = "[ \\t-\\r]"
 WINDOW = 8
 #: Up to so many bad hosts are broadcast; beyond, the join shuffles the suspects, in so many parts of each host.
 FEW_HOSTS, SALTS = 20_000, 32
+#: Up to so many different dropped texts are told to all tasks by their hashes; beyond, the texts are shuffled by them.
+FEW_DROPPED = 500_000
+LEAST_WORDS = 20
 MEASURES = ("q_words", "q_word_chars", "q_symbols", "q_lines", "q_dup_lines", "q_repeat_words")
 
 
@@ -80,7 +84,7 @@ def _measured(docs: DataFrame, carried: Column, host_col: str, text_col: str) ->
 
 #: Rules of the base: a document that fails one goes.
 HARD: dict[str, Column | Callable[[], Column]] = {
-    "too_short": lambda: F.col("q_words") < 20,
+    "too_short": lambda: F.col("q_words") < LEAST_WORDS,
     "repetitive": lambda: 100 * F.col("q_repeat_words") > 30 * F.col("q_words"),
 }
 #: Rules that count against the host, and against a document of a bad host.
@@ -140,5 +144,12 @@ def judge(docs: DataFrame, *, bad_ratio: float = 1.25, id_col: str = "doc_id", h
 
 def keep_good(docs: DataFrame, *, bad_ratio: float = 1.25, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """The documents that the rules keep, with the columns of `docs` as they are, whatever their names; repeated rows stay."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return _verdicts(docs, whole, bad_ratio, host_col, text_col).filter("kept").select("doc.*")
+    text, host = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(host_col).cast("string")
+    parts = (text, F.coalesce(host, F.lit("")), host.isNull())
+    key = F.struct(F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2"))
+    dropped = _verdicts(docs, key, bad_ratio, host_col, text_col).filter(~F.col("kept")).select("doc.k1", "doc.k2").distinct()
+    few = F.broadcast(dropped) if dropped.count() <= FEW_DROPPED else dropped
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key"))
+    # short texts, the likeliest to repeat without end, go before the join
+    words = F.size(F.array_remove(F.split(F.coalesce(F.col(f"doc.`{text_col}`").cast("string"), F.lit("")), f"{_SPACE}+"), ""))
+    return whole.filter(words >= LEAST_WORDS).join(few, (F.col("key.k1") == F.col("k1")) & (F.col("key.k2") == F.col("k2")), "left_anti").select("doc.*")

@@ -36,6 +36,7 @@ def test_bad_hosts_by_broadcast_and_by_salted_join(spark, hosts, monkeypatch):
     want = wanted([tuple(r) for r in hosts.collect()], 1.25)
     assert {r["doc_id"] for r in quality.keep_good(hosts).collect()} == want
     monkeypatch.setattr(quality, "FEW_HOSTS", 0)
+    monkeypatch.setattr(quality, "FEW_DROPPED", 0)
     assert {r["doc_id"] for r in quality.keep_good(hosts).collect()} == want
     assert {r["doc_id"] for r in quality.judge(hosts).filter("kept").collect()} == want
 
