@@ -61,11 +61,11 @@ def claude_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found("claude", *_claude(spark, sf_dir))
 
 
-def _codex(spark: SparkSession, sf_dir: str) -> tuple[Warehouse, list[DataFrame]]:
+def _codex(spark: SparkSession, sf_dir: str, runs: int = 2) -> tuple[Warehouse, list[DataFrame]]:
     logs, warehouse = scratch_folder(spark, "codex-logs"), Warehouse(spark, scratch_folder(spark, "codex"))
     fixtures.blank_log(spark, logs)
     fixtures.write_logs(fixtures.codex_lines(spark, sf_dir), logs, ["event_id", "n"])
-    return warehouse, [ingest_sessions(warehouse, "codex", [logs], pattern="*.txt") for _ in range(2)]
+    return warehouse, [ingest_sessions(warehouse, "codex", [logs], pattern="*.txt") for _ in range(runs)]
 
 
 def codex_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def codex_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codex_daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(_codex(spark, sf_dir)[0], "codex", spark, ("day", "model_code"))
+    return _report(_codex(spark, sf_dir, 1)[0], "codex", spark, ("day", "model_code"))
 
 
 def _pi(spark: SparkSession, sf_dir: str) -> tuple[Warehouse, list[DataFrame]]:
@@ -98,13 +98,13 @@ def pi_daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(_pi(spark, sf_dir)[0], "pi", spark, ("day", "provider_code", "model_code"))
 
 
-def _gemini(spark: SparkSession, sf_dir: str) -> tuple[Warehouse, list[DataFrame]]:
-    """Three runs over Gemini files: earlier events, all events in files that have moved, and the same again."""
+def _gemini(spark: SparkSession, sf_dir: str, runs: int = 3) -> tuple[Warehouse, list[DataFrame]]:
+    """Up to three runs over Gemini files: earlier events, all events in files that have moved, and the same again."""
     warehouse, lines = Warehouse(spark, scratch_folder(spark, "gemini")), fixtures.gemini_lines(spark, sf_dir)
     cut = (lines.agg(F.max("event_id")).first()[0] or 0) * fixtures.EARLIER // 10
     first = fixtures.write_logs(lines.filter(F.col("event_id") < cut), scratch_folder(spark, "gemini-logs"), ["event_id", "n"])
     moved = fixtures.write_logs(lines, scratch_folder(spark, "gemini-logs"), ["event_id", "n"])
-    return warehouse, [ingest_gemini(warehouse, [path], pattern="*.txt") for path in (first, moved, moved)]
+    return warehouse, [ingest_gemini(warehouse, [path], pattern="*.txt") for path in (first, moved, moved)[:runs]]
 
 
 def gemini_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,13 +112,13 @@ def gemini_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gemini_daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(_gemini(spark, sf_dir)[0], "gemini", spark, ("day", "model_code"))
+    return _report(_gemini(spark, sf_dir, 2)[0], "gemini", spark, ("day", "model_code"))
 
 
-def _opencode(spark: SparkSession, sf_dir: str) -> tuple[Warehouse, list[DataFrame]]:
-    """Three runs over OpenCode tables: the earlier messages, all with some updated, and a store that is behind."""
+def _opencode(spark: SparkSession, sf_dir: str, runs: int = 3) -> tuple[Warehouse, list[DataFrame]]:
+    """Up to three runs over OpenCode tables: the earlier messages, all with some updated, and a store that is behind."""
     warehouse = Warehouse(spark, scratch_folder(spark, "opencode"))
-    return warehouse, [ingest_opencode(warehouse, *fixtures.opencode_tables(spark, sf_dir, late=late)) for late in (False, True, False)]
+    return warehouse, [ingest_opencode(warehouse, *fixtures.opencode_tables(spark, sf_dir, late=late)) for late in (False, True, False)[:runs]]
 
 
 def opencode_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ def opencode_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def opencode_daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(_opencode(spark, sf_dir)[0], "opencode", spark, ("day", "provider_code", "model_code"))
+    return _report(_opencode(spark, sf_dir, 2)[0], "opencode", spark, ("day", "provider_code", "model_code"))
 
 
 def _turn_rows(spark: SparkSession, sf_dir: str, least: date | None = None) -> tuple[DataFrame, DataFrame]:

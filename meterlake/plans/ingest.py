@@ -149,6 +149,8 @@ def _sessions(warehouse: Warehouse, agent: str, files: DataFrame, at: Column) ->
 def _ingest_round(warehouse: Warehouse, agent: str, batch: DataFrame, states: DataFrame, roots: list[str], full_refresh: bool, at: Column) -> dict[str, int]:
     table, scope, key, inclusive = EVENTS[agent]
     parsed = _parse(agent, batch, roots, states)
+    # lines are parsed once; errors, counters and events are all read from the parsed rows
+    parsed = Parsed(parsed.files.persist(), parsed.rows.persist())
     identity = parsed.files.filter("identity_error is null")
     stored = _stored_of(warehouse, table, identity)
     rows = parsed.rows.filter("raw").join(identity.select("file_path", *scope), "file_path")
@@ -164,21 +166,21 @@ def _ingest_round(warehouse: Warehouse, agent: str, batch: DataFrame, states: Da
     events = named.select(*[f.name for f in TABLES[table].schema], "file_path")
     fresh = incremental.insert_ignore(stored, events, list(TABLES[table].key), ["file_path"]).drop("file_path")
     done = identity.join(errors, "file_path", "left_anti")
-    count = lambda df, c=None: int((df.agg(F.sum(c)).first()[0] if c else df.count()) or 0)
     by_class = {r["error"]: r["n"] for r in errors.groupBy("error").agg(F.count("*").alias("n")).collect()}
     kept_files = done.select("file_path")
     raw_rows = parsed.rows.join(kept_files, "file_path", "left_semi")
     counted = raw_rows.agg(F.count_if("raw").alias("raw"), *[F.count_if(c).alias(c) for c in ("synthetic", "info_null") if c in raw_rows.columns]).first().asDict()
     new_rows = passing.join(kept_files, "file_path", "left_semi")
+    folds = good.agg(F.count("*").alias("n"), F.sum("duplicates").alias("duplicates")).first()
     out = {
-        "ingested": count(done), "failed": sum(by_class.values()), "skipped": int(counted["raw"] or 0) - count(new_rows), "duplicates": count(good, "duplicates"), "deduped": count(good),
+        "ingested": done.count(), "failed": sum(by_class.values()), "skipped": int(counted["raw"] or 0) - new_rows.count(), "duplicates": int(folds["duplicates"] or 0), "deduped": folds["n"],
         "monotonicity_errors": by_class.get(ORDER, 0), "delta_errors": by_class.get(DELTA, 0), **{k: int(v or 0) for k, v in counted.items()},
     }
     out["parse_errors"] = out["failed"] - out["monotonicity_errors"] - out["delta_errors"]
     files = states.join(kept_files, "file_path", "left_semi").select(F.col("file_path").alias("session_file_path"), F.col("file_size").alias("file_size_bytes"), "file_mtime", at.alias("ingested_at"))
     state_table = f"{agent}_ingestion_files"
     warehouse.commit({table: fresh}, {f"{agent}_session_metadata": _sessions(warehouse, agent, done, at), state_table: incremental.upsert(warehouse.read(state_table), files, ["session_file_path"], ["file_mtime"])})
-    for df in (passing, folded, errors):
+    for df in (passing, folded, errors, parsed.rows, parsed.files):
         df.unpersist()
     return out
 
