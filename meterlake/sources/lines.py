@@ -44,10 +44,18 @@ def _numbered(read: DataFrame) -> DataFrame:
     return part.join(offsets, ["file_path", "block__"]).select("file_path", "file_size", "file_mtime", (F.col("place__") + F.col("shift__")).alias("n"), "value")
 
 
-def lines(spark: SparkSession, paths: list[str], *, pattern: str = "*.jsonl") -> DataFrame:
-    """(file_path, file_size, file_mtime, line_number, value): every line, blank ones too, numbered from 1."""
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(paths)
-    return _numbered(read).withColumnRenamed("n", "line_number")
+def lines(spark: SparkSession, paths: list[str], *, pattern: str = "*.jsonl", whole_files: bool = False) -> DataFrame:
+    """(file_path, file_size, file_mtime, line_number, value): every line, blank ones too, numbered from 1.
+
+    Files are read in splits. whole_files reads each file as one value and once only, for trees
+    of files that are known to be small.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    if whole_files:
+        files = reader.text(paths, wholetext=True).selectExpr(*STATE, "value")
+        numbered = F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("n", "value")
+        return files.select("file_path", "file_size", "file_mtime", numbered).select("file_path", "file_size", "file_mtime", (F.col("n") + 1).cast("long").alias("line_number"), "value")
+    return _numbered(reader.option("lineSep", "\n").text(paths)).withColumnRenamed("n", "line_number")
 
 
 def json_lines(raw: DataFrame) -> DataFrame:
