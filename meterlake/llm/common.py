@@ -47,18 +47,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 HOT_SHARE, HOT_ROWS, SALTS = 0.001, 1_000, 64
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, on: str, count: str) -> DataFrame:
-    """Inner join of `rows` with `keyed` (one row per key; `count` says how many of `rows` have it) on a column.
+def hot_above(total: int) -> float:
+    """Rows of a key from which it is hot, among so many rows in all."""
+    return max(HOT_ROWS, total * HOT_SHARE)
 
-    Rows of a hot key are dealt over many tasks, and the key's one row is copied to each. A key
-    is hot above a fixed share of all rows, so the list of hot keys has a fixed bound, whatever the input.
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: str, counts: DataFrame) -> DataFrame:
+    """Inner join of `rows` with `keyed` (one row per key) on a column.
+
+    counts: (key, n), how many of `rows` have each key. Rows of a hot key are dealt over many
+    tasks, and the key's one row is copied to each. A key is hot above a fixed share of all
+    rows, so the list of hot keys has a fixed bound, whatever the input. Where no key is hot,
+    one small query over `counts` is all that is added to a plain join.
     """
-    total = keyed.agg(F.sum(count)).first()[0] or 0
-    hot = keyed.filter(F.col(count) > max(HOT_ROWS, total * HOT_SHARE)).select(on).collect()
-    keyed = keyed.drop(count)
-    if not hot:
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    least = hot_above(total or 0)
+    if (most or 0) <= least:
         return rows.join(keyed, on)
-    listed = F.broadcast(rows.sparkSession.createDataFrame(hot, keyed.select(on).schema).withColumn("hot__", F.lit(True)))
+    hot = counts.filter(F.col("n") > least).select(on)
+    listed = F.broadcast(rows.sparkSession.createDataFrame(hot.collect(), hot.schema).withColumn("hot__", F.lit(True)))
     is_hot = F.col("hot__").isNotNull()
     dealt = rows.join(listed, on, "left").withColumn("salt__", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot__")
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

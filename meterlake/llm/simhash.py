@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts, spread_join
+from .common import checkpointed, hot_above, map_texts, spread_join
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -116,19 +116,24 @@ def components(edges: DataFrame) -> DataFrame:
     now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
 
     def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        """Number of edges, sum of their hashes, most edges of a smaller end."""
+        ends = e.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        return tuple(ends.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.max("n")).first())
 
     before = mark(now)
     while before[0]:
-        both = now.union(now.select("b", "a"))
-        low = checkpointed(both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
-        large = spread_join(both.filter("b > a"), low, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        large = checkpointed(large)
-        low = checkpointed(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
-        small = spread_join(large, low, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").union(low.select("a", F.col("m").alias("b")))
+        both = now.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        upper = both.filter("b > a")
+        # a root has the edges to all of its component; the larger end of an edge has few to smaller ones
+        hub = before[2] > hot_above(before[0])
+        large = spread_join(upper, checkpointed(low), "a", now.groupBy(F.col("b").alias("a")).agg(F.count("*").alias("n"))) if hub else upper.join(low, "a")
+        large = checkpointed(large.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").union(low.select("a", F.col("m").alias("b")))
         now = checkpointed(small.distinct())
         after = mark(now)
-        if after == before:
+        if after[:2] == before[:2]:
             break
         before = after
     found = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
@@ -146,10 +151,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, dense_at: int = 128, id_
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), dense_at=dense_at)).withColumnRenamed("node", "fp")
     tied = checkpointed(roots.join(distinct.select("fp", "rep"), "fp"))
-    least = checkpointed(tied.groupBy("root").agg(F.min("rep").alias("lowest"), F.count("*").alias("n")))
-    named = spread_join(tied, least, "root", "n").select("fp", "lowest")
-    named = checkpointed(distinct.join(named, "fp", "left").select("fp", F.coalesce("lowest", "rep").alias("component"), "n"))
-    return spread_join(marked, named, "fp", "n").select(F.col("id").alias(id_col), "fp", "component")
+    least = tied.groupBy("root").agg(F.min("rep").alias("lowest"), F.count("*").alias("n"))
+    named = spread_join(tied, least.drop("n"), "root", least).select("fp", "lowest")
+    named = distinct.join(named, "fp", "left").select("fp", F.coalesce("lowest", "rep").alias("component"))
+    return spread_join(marked, named, "fp", distinct).select(F.col("id").alias(id_col), "fp", "component")
 
 
 def hex16(fp: Column) -> Column:

@@ -11,7 +11,7 @@ def test_spread_join_equals_a_plain_join(spark, monkeypatch, hot_rows):
     rows = spark.range(3000).select(F.col("id").alias("v"), F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 50).alias("k")).repartition(4)
     keyed = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top")).filter("k <> 9")
     want = rows.join(keyed.drop("n"), "k")
-    assert sorted(map(tuple, common.spread_join(rows, keyed, "k", "n").collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, common.spread_join(rows, keyed.drop("n"), "k", keyed).collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_one_group_of_100000_equal_texts(spark):
