@@ -109,4 +109,36 @@ select conv_id, turn, coalesce(call_turn, turn) as seq_turn, cast(coalesce(level
 from e
 """
 
-ORACLE_SQL = {"op4_topk": OP4, "op5_quality_rules": OP5, "op6_mix_sources": OP6, "op10_chat_format": OP10}
+OP12 = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), o as (
+  select conv_id, list({'role': role, 'text': text} order by turn nulls first, role, sha256(length(role) || ':' || role || text)) as ts from t group by conv_id
+), h as (
+  -- CRC-32 of the decimal id: 8 steps for each byte
+  select conv_id, ts, (4294967295 - list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(conv_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [cast(0 as bigint) for _ in range(8)]), lambda a, b: xor(a >> 1, 3988292384 * (a & 1))))) % 4 as h
+  from o
+), r as (
+  select h.conv_id, list_concat(coalesce(list_slice(b.ts, 1, h), []), coalesce(list_slice(h.ts, h + 1, len(h.ts)), [])) as ts
+  from h left join o b on b.conv_id = h.conv_id - h.conv_id % 20
+), p as (
+  select conv_id, len(ts) as n, d, list_slice(ts, 1, d) as pre from (select conv_id, ts, unnest(range(0, len(ts) + 1)) as d from r)
+), v as (
+  select d, pre, min(conv_id) as conv_id, count(*) as n_convs, array_to_string(list(conv_id order by conv_id) filter (n = d), ',') as ends,
+         max(n) = d as childless, case when d > 0 then len(regexp_extract_all(pre[d].text, '[^\x20\x09-\x0D]+')) else 0 end as words
+  from p group by d, pre
+), below as (
+  -- each node with all its ancestors, itself included
+  select u.childless, (u.n_convs - 1) * u.words as saved, u.d as depth, a as d, list_slice(u.pre, 1, a) as pre
+  from (select *, unnest(range(0, d + 1)) as a from v) u
+), sums as (
+  select d, pre, count(*) filter (childless) as n_leaves, count(*) filter (depth = d + 1) as n_children, sum(saved) as saved_tokens from below group by d, pre
+)
+select v.conv_id, cast(v.d as bigint) as depth, up.conv_id as parent_conv_id, v.n_convs, n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens,
+       sha256(coalesce(v.ends, '')) as ends_sha256
+from v join sums on sums.d = v.d and sums.pre = v.pre
+left join v up on up.d = v.d - 1 and up.pre = list_slice(v.pre, 1, v.d - 1)
+"""
+
+ORACLE_SQL = {"op4_topk": OP4, "op5_quality_rules": OP5, "op6_mix_sources": OP6, "op10_chat_format": OP10, "op12_prefix_trie": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, licenses, mixing, pieces, pii, quality, rules, simhash, topk
+from . import align, byte_bpe, chat, language, licenses, mixing, pieces, pii, quality, rules, simhash, topk, trie
 from .common import table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -85,9 +85,27 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumnRenamed("conv", "conv_id")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return trie.prefix_trie(turns, trie.head_plan(turns))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.align_tokenizers(table(spark, sf_dir, "documents"), a, public_tokenizers.PATTERN, b)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_simhash, op3_pii, op4_topk, op5_quality_rules, op6_mix_sources, op7_quality_classifier, op8_language_id, op9_sentencepiece, op10_chat_format)
+    for f in (op1_license_scan, op2_simhash, op3_pii, op4_topk, op5_quality_rules, op6_mix_sources, op7_quality_classifier, op8_language_id, op9_sentencepiece, op10_chat_format, op11_byte_bpe, op12_prefix_trie, op13_token_alignment)
 }
 
 
