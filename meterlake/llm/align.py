@@ -7,7 +7,7 @@ Ends that both sides share come from an Acero hash join on (document, end); they
 tokens into groups, and every pair of tokens whose bytes overlap is a link.
 
 How many documents hold a pair linked is counted in two steps: `Table.group_by` counts within
-a block of some 32 MB of text, and Spark merges those counts. A block keeps a list of its
+a block of some 16 MB of text, and Spark merges those counts. A block keeps a list of its
 different pairs, and documents refer to it by number, so totals go back to a block once per
 different pair and not once per link: a pair that every document has is one row per block.
 """
@@ -31,10 +31,10 @@ from pyspark.sql.types import StructType
 
 from .byte_bpe import ByteModel, byte_model
 from .common import _slices, stored
-from .pieces import SPACE, PieceModel
+from .pieces import _MEMO, _SHORT, SPACE, PieceModel
 
 #: Bytes of text that are aligned at a time, and of a block whose pairs are counted together; one text may be longer.
-SLICE_BYTES, BLOCK_BYTES = 4_000_000, 32_000_000
+SLICE_BYTES, BLOCK_BYTES = 1_000_000, 16_000_000
 #: Pairs of a block in one row.
 _PAIRS_ROW = 20_000
 _AB = 32
@@ -53,10 +53,30 @@ class LibraryPieces(PieceModel):
         super().__init__(path)
         self._library = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def _encoded(self, part: str) -> bytes:
-        if part[0] != SPACE or part == SPACE:  # the library puts a space before what it gets, but nothing before nothing
-            return super()._encoded(part)
-        return array("I", self._library.encode(part[1:].replace(SPACE, " "))).tobytes()
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of whole texts without end ids; none for an empty one."""
+        cut = [self._cut.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self._known) > _MEMO:
+            self._older, self._known = self._known, {}
+        known, older = self._known, self._older
+        fresh, here = [], []
+        for part in set().union(*cut).difference(known):
+            ids = older.get(part)
+            if ids is not None:
+                known[part] = ids
+            elif part[0] != SPACE or part == SPACE:  # the library puts a space before what it gets, but nothing before nothing
+                known[part] = self._encoded(part)
+            else:
+                fresh.append(part)
+            if len(part) > _SHORT:
+                here.append(part)
+        for part, ids in zip(fresh, self._library.encode([p[1:].replace(SPACE, " ") for p in fresh], num_threads=1), strict=True):
+            known[part] = array("I", ids).tobytes()
+        get = known.__getitem__
+        out = [b"".join(map(get, c)) for c in cut]
+        for part in here:
+            del known[part]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -79,7 +99,7 @@ class Aligner:
     def _encoded(self, texts: Sequence[bytes]) -> tuple[list[bytes], list[bytes]]:
         """Ids of both sides; none where a text is empty or the tokens of a side don't spell it."""
         strings = [t.decode("utf-8", "replace") for t in texts]
-        ids = self.a.encode_all([" " + s if s else "" for s in strings]), [self.b.encode(s)[4:-4] for s in strings]
+        ids = self.a.encode_all([" " + s if s else "" for s in strings]), self.b.encode_all(strings)
         whole = b"".join([b" " + t for t in texts if t])
         if all(self._spelled(side, k) == whole for k, side in enumerate(ids)):
             return ids
@@ -122,11 +142,11 @@ class Aligner:
         of_a = np.repeat(np.arange(len(a)), links)
         of_b = np.arange(len(of_a)) - np.repeat(np.cumsum(links) - links - first, links)
         pair = a[of_a].astype(np.int64) << _AB | b[of_b]
-        counted = pa.table({"doc": a_doc[of_a], "pair": pair}).group_by(["doc", "pair"], **_ONE_THREAD).aggregate([([], "count_all")])
+        counted = pa.table({"doc": a_doc[of_a].astype(np.int32), "pair": pair}).group_by(["doc", "pair"], **_ONE_THREAD).aggregate([([], "count_all")])
         return {
             "n_a": n_a, "n_b": n_b, "n_links": np.bincount(a_doc, links, docs).astype(np.int64),
             "n_groups": count(a_doc[a_last]), "groups": self._groups(a, a_group, a_last, b, b_group, b_last, n_a + n_b),
-            "counted": (counted.column("doc").to_numpy(), counted.column("pair").to_numpy(), counted.column("count_all").to_numpy()),
+            "counted": (counted.column("doc").to_numpy(), counted.column("pair").to_numpy(), counted.column("count_all").to_numpy().astype(np.int32)),
         }
 
     def _groups(self, a: np.ndarray, a_group: np.ndarray, a_last: np.ndarray, b: np.ndarray, b_group: np.ndarray, b_last: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -159,7 +179,7 @@ class _Block:
         self.ids.append(ids)
         for name, values in columns.items():
             self.columns.setdefault(name, []).append(pa.array(values))
-        self.doc.append(doc + self.docs)
+        self.doc.append(doc + np.int32(self.docs))
         self.pair.append(pair)
         self.links.append(links)
         self.docs += len(ids)
@@ -196,7 +216,7 @@ def _blocks(docs: DataFrame, a_path: str, pattern: str, b_path: str, id_col: str
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(byte_model(a_path, pattern), library_pieces(b_path))
+        aligner = Aligner(byte_model(a_path, pattern, _MEMO), library_pieces(b_path))
         # blocks of a task are numbered within the task, so a repeated task numbers them alike
         number = TaskContext.get().partitionId() << 32
         block = _Block(number)

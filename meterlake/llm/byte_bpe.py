@@ -114,10 +114,10 @@ class PerfectHash:
 class ByteModel:
     """Tokens and ranks of a byte-level vocabulary, with exact encode and decode. ranks: token -> rank, which is its id."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = _MEMO) -> None:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every byte must be a token")
-        self.ranks = ranks
+        self.ranks, self._memo = ranks, memo
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.tokens[i] = token
@@ -261,7 +261,7 @@ class ByteModel:
     def encode_all(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
         cut = [_CUT.findall(t) for t in texts]
-        if len(self._known) > _MEMO:
+        if len(self._known) > self._memo:
             self._older, self._known = self._known, {}
         known = self._known
         new = set().union(*cut).difference(known)
@@ -313,9 +313,9 @@ def read_json(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def byte_model(path: str, pattern: str) -> ByteModel:
+def byte_model(path: str, pattern: str, memo: int = _MEMO) -> ByteModel:
     """One model per Python worker, path and pattern."""
-    return ByteModel(read_json(path) if path.endswith(".json") else read_ranks(path), pattern)
+    return ByteModel(read_json(path) if path.endswith(".json") else read_ranks(path), pattern, memo)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -81,9 +81,8 @@ def test_both_tiers_merge_alike(library):
     assert model.merge_many([]) == [] and model.whole([]).tolist() == []
 
 
-def test_memory_of_pieces_turns_over(monkeypatch, library):
-    monkeypatch.setattr(byte_bpe, "_MEMO", 3)
-    model = byte_bpe.ByteModel(byte_bpe.read_ranks(RANKS), PATTERN)
+def test_memory_of_pieces_turns_over(library):
+    model = byte_bpe.ByteModel(byte_bpe.read_ranks(RANKS), PATTERN, memo=3)
     for text in texts() * 2:
         assert np.frombuffer(model.encode_all([text or ""])[0], "<u4").tolist() == library.encode_ordinary(text or "")
 
