@@ -23,13 +23,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .byte_bpe import ByteModel, byte_model
+from .byte_bpe import ByteModel, read_vocabulary
 from .common import _slices, stored
 from .pieces import _MEMO, _SHORT, SPACE, PieceModel
 
@@ -79,6 +80,24 @@ class LibraryPieces(PieceModel):
         return out
 
 
+class LibraryBytes(ByteModel):
+    """The model of operator 11, with the tiktoken library for pieces that aren't remembered."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        super().__init__(ranks, pattern, _MEMO)
+        self._library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        encode = self._library.encode_ordinary
+        return [array("I", encode(p)).tobytes() for p in parts]
+
+
+@lru_cache(maxsize=2)
+def library_bytes(path: str, pattern: str) -> LibraryBytes:
+    """One model per Python worker, path and pattern."""
+    return LibraryBytes(read_vocabulary(path), pattern)
+
+
 @lru_cache(maxsize=2)
 def library_pieces(path: str) -> LibraryPieces:
     """One model per Python worker and path."""
@@ -216,7 +235,7 @@ def _blocks(docs: DataFrame, a_path: str, pattern: str, b_path: str, id_col: str
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(byte_model(a_path, pattern, _MEMO), library_pieces(b_path))
+        aligner = Aligner(library_bytes(a_path, pattern), library_pieces(b_path))
         # blocks of a task are numbered within the task, so a repeated task numbers them alike
         number = TaskContext.get().partitionId() << 32
         block = _Block(number)

@@ -20,7 +20,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -121,25 +121,33 @@ class ByteModel:
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.tokens[i] = token
-        listed = list(ranks)
-        self._hash = PerfectHash(listed)
-        self._listed = pa.array(listed, pa.binary())
-        self._ids = np.array([ranks[t] for t in listed], np.int64)
-        self._bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = sorted((ranks[t[:k]] << 20 | ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
-        self._pairs, self._joined = np.array([p for p, _ in pairs] or [-1], np.int64), np.array([i for _, i in pairs] or [-1], np.int64)
         self._pattern = regex.compile(pattern)
         # two generations: what is still in use moves from the older one to the younger one
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
+    @cached_property
+    def _tier_one(self) -> tuple[PerfectHash, pa.Array, np.ndarray]:
+        """The perfect hash, its tokens, and their ids."""
+        listed = list(self.ranks)
+        return PerfectHash(listed), pa.array(listed, pa.binary()), np.array([self.ranks[t] for t in listed], np.int64)
+
+    @cached_property
+    def _tier_two(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the bytes; pairs of ids that join to a token, sorted, and its rank."""
+        ranks = self.ranks
+        pairs = sorted((ranks[t[:k]] << 20 | ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
+        found = np.array(pairs or [(-1, -1)], np.int64)
+        return np.array([ranks[bytes([b])] for b in range(256)], np.int64), found[:, 0].copy(), found[:, 1].copy()
+
     def whole(self, pre_tokens: Sequence[bytes]) -> np.ndarray:
         """Id of each pre-token that is a token itself, else -1 (tier one)."""
         if not len(pre_tokens):
             return np.empty(0, np.int64)
-        at = self._hash.find(pre_tokens)
-        same = pc.equal(self._listed.take(pa.array(at)), pa.array(pre_tokens, pa.binary()))
-        return np.where(same.to_numpy(zero_copy_only=False), self._ids[at], -1)
+        table, listed, ids = self._tier_one
+        at = table.find(pre_tokens)
+        same = pc.equal(listed.take(pa.array(at)), pa.array(pre_tokens, pa.binary()))
+        return np.where(same.to_numpy(zero_copy_only=False), ids[at], -1)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token by merging the adjacent pair of lowest rank, again and again (tier two)."""
@@ -182,9 +190,10 @@ class ByteModel:
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, -1 if it is no token."""
+        _, pairs, joined = self._tier_two
         key = left << 20 | right
-        at = np.minimum(self._pairs.searchsorted(key), len(self._pairs) - 1)
-        return np.where(self._pairs[at] == key, self._joined[at], -1)
+        at = np.minimum(pairs.searchsorted(key), len(pairs) - 1)
+        return np.where(pairs[at] == key, joined[at], -1)
 
     def merge_many(self, pieces: Sequence[bytes]) -> list[bytes]:
         """Ids, as bytes, of each of many short pre-tokens: as `merge`, with one heap for all."""
@@ -193,7 +202,7 @@ class ByteModel:
         n = len(word)
         ends = np.cumsum(sizes)
         # place n stands for "none" before and after each pre-token
-        ids = np.append(self._bytes[np.frombuffer(b"".join(pieces), np.uint8)], _NONE)
+        ids = np.append(self._tier_two[0][np.frombuffer(b"".join(pieces), np.uint8)], _NONE)
         after, before, alive = np.arange(1, n + 2), np.arange(-1, n), np.ones(n + 1, bool)
         after[ends - 1] = after[n] = before[(ends - sizes)[sizes > 0]] = n
         pair = self._rank(ids, ids[after])
@@ -312,10 +321,15 @@ def read_json(path: str) -> dict[bytes, int]:
     return ranks
 
 
+def read_vocabulary(path: str) -> dict[bytes, int]:
+    """Ranks of a tokenizer file (.json) or of a file of ranks."""
+    return read_json(path) if path.endswith(".json") else read_ranks(path)
+
+
 @lru_cache(maxsize=2)
-def byte_model(path: str, pattern: str, memo: int = _MEMO) -> ByteModel:
+def byte_model(path: str, pattern: str) -> ByteModel:
     """One model per Python worker, path and pattern."""
-    return ByteModel(read_json(path) if path.endswith(".json") else read_ranks(path), pattern, memo)
+    return ByteModel(read_vocabulary(path), pattern)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
