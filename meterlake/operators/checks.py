@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scans
 from .incremental import checkpoints
 
 
@@ -17,14 +18,18 @@ def missing_by(rows: DataFrame, column: str, by: str) -> DataFrame:
     return rows.filter(F.col(column).isNull()).groupBy(by).agg(F.count("*").alias("n"))
 
 
-def not_rising(rows: DataFrame, scope: list[str], order: str, total: str) -> DataFrame:
-    before = F.lag(total).over(Window.partitionBy(*scope).orderBy(order))
-    return rows.withColumn("before", before).filter(F.col(total) <= F.col("before"))
+def _with_before(rows: DataFrame, scope: list[str], order: str, total: str, width: int) -> DataFrame:
+    """Adds `before`, the total on the row before in the scope."""
+    found = scans.last_set(rows, scope, order, F.struct(F.col(total).alias("v")), "before", inclusive=False, width=width)
+    return found.withColumn("before", F.col("before.v"))
 
 
-def wrong_increment(rows: DataFrame, scope: list[str], order: str, total: str, increment: str) -> DataFrame:
-    before = F.lag(total).over(Window.partitionBy(*scope).orderBy(order))
-    return rows.withColumn("before", before).filter(F.col(total) - F.col("before") != F.col(increment))
+def not_rising(rows: DataFrame, scope: list[str], order: str, total: str, *, width: int = scans.WIDTH) -> DataFrame:
+    return _with_before(rows, scope, order, total, width).filter(F.col(total) <= F.col("before"))
+
+
+def wrong_increment(rows: DataFrame, scope: list[str], order: str, total: str, increment: str, *, width: int = scans.WIDTH) -> DataFrame:
+    return _with_before(rows, scope, order, total, width).filter(F.col(total) - F.col("before") != F.col(increment))
 
 
 def rows_and_sessions(rows: DataFrame, session: str = "session_id") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def fold_final(rows: DataFrame, keys: list[str], order: str, usage: Column, is_final: Column) -> DataFrame:
     """One row per key: the first, replaced by each later *final* row whose usage differs from the kept one.
@@ -33,15 +35,15 @@ def first_per_cumulative(rows: DataFrame, scope: list[str], total: str, order: s
     return marked.filter("first__ = 1").drop("s__", "first__", "differs__")
 
 
-def order_checks(rows: DataFrame, scope: list[str], order: str, total: str, pairs: list[tuple[Column, Column]]) -> DataFrame:
+def order_checks(rows: DataFrame, scope: list[str], order: str, total: str, pairs: list[tuple[Column, Column]], *, width: int = scans.WIDTH) -> DataFrame:
     """Adds `falls` (the total doesn't rise on the row before) and `bad_delta` (a total less the one
     before isn't the reported increment). pairs: (total, increment). The first row is exempt."""
-    ahead = Window.partitionBy(*scope).orderBy(order)
-    falls = F.coalesce(F.col(total) <= F.lag(total).over(ahead), F.lit(False))
+    totals = F.struct(F.col(total).alias("t"), *[now.alias(f"t{k}") for k, (now, _) in enumerate(pairs)])
+    rows = scans.last_set(rows, scope, order, totals, "before__", inclusive=False, width=width)
     bad = F.lit(False)
-    for now, step in pairs:
-        bad = bad | F.coalesce(now - F.lag(now).over(ahead) != step, F.lit(False))
-    return rows.withColumns({"falls": falls, "bad_delta": bad})
+    for k, (now, step) in enumerate(pairs):
+        bad = bad | F.coalesce(now - F.col(f"before__.t{k}") != step, F.lit(False))
+    return rows.withColumns({"falls": F.coalesce(F.col(total) <= F.col("before__.t"), F.lit(False)), "bad_delta": bad}).drop("before__")
 
 
 def repeated_keys(rows: DataFrame, keys: list[str], line: str) -> DataFrame:

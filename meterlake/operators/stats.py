@@ -109,36 +109,72 @@ def cost_mismatches(priced: DataFrame, reported: str, tolerance: float = 1e-6) -
     return priced.withColumn("difference", F.col(reported) - F.col("cost")).filter(F.abs("difference") > tolerance)
 
 
+#: Hours of a stretch whose blocks are chained in one row.
+STRETCH = 1024
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def _by_hour(events: DataFrame, key: str, time_col: str) -> DataFrame:
+    """(key, hour__, first__, last__): UTC hours with events, and the first and last time in them."""
+    wall = events.select(key, as_wall_clock(events, time_col, "UTC").alias("wall__"))
+    return wall.groupBy(key, _hour("wall__").alias("hour__")).agg(F.min("wall__").alias("first__"), F.max("wall__").alias("last__"))
+
+
+def _hour(wall: str) -> Column:
+    return F.floor(F.timestamp_diff("SECOND", F.lit(_EPOCH).cast("timestamp_ntz"), F.col(wall)) / 3600).cast("long")
+
+
+def block_hours(hours_of: DataFrame, key: str, hours: int = 5) -> DataFrame:
+    """(key, hour__, start__): the first hour of the block that each hour is in, of distinct hours by key.
+
+    A block starts at the first hour that is `hours` or more after the start before it, so a
+    pause of that length starts one too. A stretch of hours is a function from the first hour
+    at which a block may start in it (one of 0 to hours - 1, by what came before) to that of
+    the next stretch. Those functions are worked out for all stretches side by side, then
+    composed along each key, one small row per stretch of STRETCH hours, and each stretch is
+    gone through once more from where it really begins.
+    """
+    if hours > STRETCH:
+        raise ValueError(f"blocks of up to {STRETCH} hours")
+    inside = F.col("hour__") - F.floor(F.col("hour__") / STRETCH) * STRETCH
+    of_stretch = hours_of.groupBy(key, F.floor(F.col("hour__") / STRETCH).alias("stretch__")).agg(F.array_sort(F.collect_list(inside)).alias("h"))
+    outcome = f"transform(sequence(0L, {hours - 1}L), c -> greatest(aggregate(h, c, (next, x) -> if(x >= next, x + {hours}L, next)) - {STRETCH}L, 0L))"
+    of_stretch = of_stretch.withColumn("out__", F.expr(outcome))
+    chain = of_stretch.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("stretch__", "out__"))).alias("s"))
+    begin = """aggregate(s, struct(cast(array() as array<struct<stretch__: bigint, begin__: bigint>>) as found, -2L as stretch, 0L as next),
+      (a, x) -> transform(array(if(x.stretch__ = a.stretch + 1, a.next, 0L)), c -> struct(
+        concat(a.found, array(struct(x.stretch__ as stretch__, c as begin__))) as found, x.stretch__ as stretch, element_at(x.out__, cast(c + 1 as int)) as next))[0],
+      a -> a.found)"""
+    begins = chain.select(key, F.inline(F.expr(begin)))
+    walk = f"""aggregate(h, struct(cast(array() as array<struct<hour__: bigint, start__: bigint>>) as found, begin__ as next),
+      (a, x) -> struct(concat(a.found, array(struct(x as hour__, if(x >= a.next, x, a.next - {hours}L) as start__))) as found, if(x >= a.next, x + {hours}L, a.next) as next),
+      a -> a.found)"""
+    walked = of_stretch.join(begins, [key, "stretch__"]).select(key, "stretch__", F.inline(F.expr(walk)))
+    offset = F.col("stretch__") * STRETCH
+    return walked.select(key, (offset + F.col("hour__")).alias("hour__"), (offset + F.col("start__")).alias("start__"))
+
+
 def usage_blocks(events: DataFrame, key: str, hours: int = 5, time_col: str = "event_timestamp") -> DataFrame:
     """Blocks of use per key: a block starts at the UTC hour of its first event and takes later events
     until `hours` after its start or a pause of `hours` (EXT-04). Adds block_start (wall clock, UTC).
 
-    A block's start depends on the block before it. Pauses cut the events into runs by a
-    window; within a run the starts are chained over its distinct hours only, which a fold over
-    the hours of the run works out, so its memory follows the length of a run in hours.
+    Only distinct hours are chained; events find their block by key and hour, so those of one
+    key are spread over many tasks.
     """
-    wall = events.withColumn("wall__", as_wall_clock(events, time_col, "UTC"))
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    seconds = F.timestamp_diff("SECOND", epoch, F.col("wall__"))
-    timed = wall.withColumn("sec__", seconds)
-    order = Window.partitionBy(key).orderBy("sec__")
-    pause = F.coalesce(F.col("sec__") - F.lag("sec__").over(order) > hours * 3600, F.lit(True))
-    runs = timed.withColumn("run__", F.sum(pause.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    firsts = runs.groupBy(key, "run__", F.floor(F.col("sec__") / 3600).cast("long").alias("hour__")).agg(F.min("sec__").alias("first__"))
-    chain = firsts.groupBy(key, "run__").agg(F.array_sort(F.collect_list("hour__")).alias("h"))
-    starts = F.expr(f"aggregate(h, cast(array() as array<bigint>), (a, x) -> if(size(a) = 0 or x >= element_at(a, -1) + {hours}, concat(a, array(x)), a))")
-    chain = chain.withColumn("starts__", starts).drop("h")
-    joined = runs.join(chain, [key, "run__"])
-    start = F.array_max(F.filter("starts__", lambda s: s <= F.floor(F.col("sec__") / 3600)))
-    return joined.withColumn("block_start", F.timestamp_add("HOUR", start, epoch)).drop("wall__", "sec__", "run__", "starts__")
+    starts = block_hours(_by_hour(events, key, time_col), key, hours)
+    timed = events.withColumn("wall__", as_wall_clock(events, time_col, "UTC")).withColumn("hour__", _hour("wall__"))
+    epoch = F.lit(_EPOCH).cast("timestamp_ntz")
+    return timed.join(starts, [key, "hour__"]).withColumn("block_start", F.timestamp_add("HOUR", F.col("start__"), epoch)).drop("wall__", "hour__", "start__")
 
 
 def gap_blocks(events: DataFrame, key: str, hours: int = 5, time_col: str = "event_timestamp") -> DataFrame:
-    """(key, gap_start, gap_end): pauses longer than a block, from `hours` after the last event to the next one (EXT-04)."""
-    wall = events.select(key, as_wall_clock(events, time_col, "UTC").alias("gap_end"))
-    before = F.lag("gap_end").over(Window.partitionBy(key).orderBy("gap_end"))
-    paused = wall.withColumn("before__", before).filter(F.timestamp_diff("SECOND", F.col("before__"), F.col("gap_end")) > hours * 3600)
-    return paused.select(key, F.timestamp_add("HOUR", F.lit(hours), F.col("before__")).alias("gap_start"), "gap_end")
+    """(key, gap_start, gap_end): pauses longer than a block, from `hours` after the last event to the next one (EXT-04).
+
+    A pause spans hours, so the first and last event of each hour are all that is ordered by key.
+    """
+    before = F.lag("last__").over(Window.partitionBy(key).orderBy("hour__"))
+    paused = _by_hour(events, key, time_col).withColumn("before__", before).filter(F.timestamp_diff("SECOND", F.col("before__"), F.col("first__")) > hours * 3600)
+    return paused.select(key, F.timestamp_add("HOUR", F.lit(hours), F.col("before__")).alias("gap_start"), F.col("first__").alias("gap_end"))
 
 
 def burn_rate(blocks: DataFrame, key: str, now: Column, hours: int = 5, time_col: str = "event_timestamp") -> DataFrame:

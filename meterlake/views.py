@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.prices import price_table
+from .operators import scans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +46,8 @@ def prices(spark: SparkSession) -> DataFrame:
 def cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals per user in event order, with planted repeats, wrong increments and falls."""
     e = table(spark, sf_dir, "events").withColumn("inc", F.when(F.col("event_id") % 7 == 0, F.lit(0).cast("long")).otherwise(k_of_props() + 1))
-    running = F.sum("inc").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
-    total = running - F.when(F.col("event_id") % 211 == 2, 500).otherwise(0)
+    e = scans.running_sum(e, ["user_id"], "event_id", F.col("inc"), "running")
+    total = F.col("running") - F.when(F.col("event_id") % 211 == 2, 500).otherwise(0)
     return e.select("user_id", "event_id", "ts", "event_type", (F.col("inc") + F.when(F.col("event_id") % 97 == 1, 1).otherwise(0)).cast("long").alias("last_tokens"), total.cast("long").alias("total_tokens"))
 
 
