@@ -1,7 +1,10 @@
 """Warehouse of Parquet snapshots with one commit per run (SNK-01..12, SNK-18).
 
-A run writes new folders, then one manifest line that names the folders of every table. Readers
+A run writes new folders, then one manifest that names the folders of every table. Readers
 see the last manifest only, so events and file states of a run appear together or not at all.
+A manifest is written whole under a hidden name and then renamed to its number, which fails
+if that number is taken: a run that dies leaves nothing that readers or later runs look at,
+and of two runs at once the second one gets an error and changes nothing.
 """
 
 from __future__ import annotations
@@ -9,26 +12,53 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TABLES
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's path of a file, and its file system."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _glob(spark: SparkSession, pattern: str) -> list[str]:
+    at, files = _files(spark, pattern)
+    return sorted(s.getPath().toString() for s in files.globStatus(at) or [])
+
+
+def _rename_new(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a file; a file of the new name is an error and stays as it is."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    fs = jvm.org.apache.hadoop.fs
+    at = fs.Path(old)
+    context = fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(at, fs.Path(new), gateway.new_array(getattr(fs, "Options$Rename"), 0))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at, files = _files(spark, path)
+    files.delete(at, True)
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _manifest(self, n: int) -> str:
+        return f"{self.path}/_commits/{n:08d}.json"
+
     def _last(self) -> tuple[int, dict[str, list[str]]]:
-        try:
-            log = self.spark.read.schema("n long, folders string").json(f"{self.path}/_commits/*")
-            last = log.orderBy(F.desc("n")).head(2)
-        except AnalysisException:
-            last = []
-        if len(last) == 2 and last[0]["n"] == last[1]["n"]:
-            raise RuntimeError(f"two runs made commit {last[0]['n']} of {self.path} at once")
-        return (last[0]["n"], json.loads(last[0]["folders"])) if last else (0, {})
+        """Number and folders of the last commit: names are listed, and only the last manifest is read."""
+        found = _glob(self.spark, f"{self.path}/_commits/[0-9]*.json")
+        if not found:
+            return 0, {}
+        row = self.spark.read.schema("n long, folders string").json(max(found)).first()
+        return row["n"], json.loads(row["folders"])
 
     def read(self, table: str) -> DataFrame:
         """Rows of the last commit; an empty table if there is none."""
@@ -39,17 +69,32 @@ class Warehouse:
     def commit(self, appends: dict[str, DataFrame] | None = None, snapshots: dict[str, DataFrame] | None = None) -> None:
         """Write rows to add and whole new tables, then make them the current state in one step.
 
-        A commit that another run has made since is an error; that run's rows stay.
+        A commit that another run has made since is an error; that run's rows stay, and this
+        one can be made again.
         """
         n, folders = self._last()
+        run = uuid.uuid4().hex[:8]
         for changes, adds in ((appends or {}, True), (snapshots or {}, False)):
             for table, rows in changes.items():
-                folder = f"{self.path}/{table}/{n + 1:08d}-{uuid.uuid4().hex[:8]}"
+                folder = f"{self.path}/{table}/{n + 1:08d}-{run}"
                 schema = TABLES[table].schema
                 rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(folder)
                 folders[table] = [*(folders.get(table, []) if adds else []), folder]
-        line = self.spark.range(1).select(F.lit(n + 1).cast("long").alias("n"), F.lit(json.dumps(folders)).alias("folders"))
-        line.coalesce(1).write.mode("error").json(f"{self.path}/_commits/{n + 1:08d}")
+        self._publish(n + 1, folders, run)
+
+    def _publish(self, n: int, folders: dict[str, list[str]], run: str) -> None:
+        """Make a manifest the last one, unless another run has made one of that number."""
+        hidden = f"{self.path}/_commits/.new-{n:08d}-{run}"
+        line = self.spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(json.dumps(folders)).alias("folders"))
+        line.coalesce(1).write.json(hidden)
+        try:
+            _rename_new(self.spark, _glob(self.spark, f"{hidden}/part-*")[0], self._manifest(n))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                raise RuntimeError(f"another run has made commit {n} of {self.path} since this one began; nothing of this run is stored") from None
+            raise
+        finally:
+            _delete(self.spark, hidden)
 
     def compact(self, table: str, files: int, sort: list[str]) -> None:
         """Rewrite a table as fewer files, sorted within each by columns that readers filter on."""
