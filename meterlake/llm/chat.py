@@ -15,6 +15,7 @@ no join gathers a chain at its first call.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -113,27 +114,125 @@ def previous_calls(messages: DataFrame, *, block: int = TURN_BLOCK) -> DataFrame
     return within.join(last, ["conv", "block__"]).select("conv", "call", F.coalesce("needed", "carried").alias("needed")).filter("needed is not null")
 
 
+#: Keywords of schemas that are checked, and those that say nothing about values; any other is an error.
+CHECKED = {"type", "enum", "properties", "required", "additionalProperties", "items", "minLength", "maxLength", "pattern", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minItems", "maxItems"}
+SILENT = {"title", "description", "default", "examples", "$schema", "$id", "$comment"}
+_NUMBERS = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
+#: Digits that a number keeps.
+_DIGITS = 38
+
+
+def _refuse_unknown(schema: dict, path: str = "") -> None:
+    """Errors for what isn't checked, before anything runs."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"{path or 'schema'}: a schema must be an object")
+    if unknown := sorted(set(schema) - CHECKED - SILENT):
+        raise ValueError(f"{path or 'schema'}: unknown keywords {', '.join(unknown)}")
+    kinds = schema.get("type", [])
+    if wrong := [k for k in ([kinds] if isinstance(kinds, str) else kinds) if k not in _KINDS]:
+        raise ValueError(f"{path or 'schema'}: unknown type {wrong[0]}")
+    if any(isinstance(x, (dict, list)) for x in schema.get("enum", ())):
+        raise ValueError(f"{path or 'schema'}: enum of objects or arrays")
+    for name, part in schema.get("properties", {}).items():
+        if "'" in name or "\\" in name:
+            raise ValueError(f"{path}{name}: property names with quotes or backslashes")
+        _refuse_unknown(part, f"{path}{name}.")
+    for key in ("items", "additionalProperties"):
+        if not isinstance(schema.get(key, True), bool):
+            _refuse_unknown(schema[key], f"{path}{key}.")
+
+
+#: Whether a value of a kind (as VARIANT names it) and with a number, if it is one, is of a JSON type.
+_KINDS: dict[str, Callable[[Column, Column], Column]] = {
+    "string": lambda kind, number: kind == "STRING",
+    "boolean": lambda kind, number: kind == "BOOLEAN",
+    "integer": lambda kind, number: (kind == "BIGINT") | (kind.isin(*_NUMBERS) & (number == F.floor(number))),
+    "number": lambda kind, number: kind.isin(*_NUMBERS),
+    "object": lambda kind, number: kind == "OBJECT",
+    "array": lambda kind, number: kind == "ARRAY",
+    "null": lambda kind, number: kind == "VOID",
+}
+
+
+def _equal(kind: Column, text: Column, number: Column, wanted: object) -> Column:
+    """Whether a value is a constant of an enum."""
+    if wanted is None:
+        return kind == "VOID"
+    if isinstance(wanted, bool):
+        return (kind == "BOOLEAN") & (text == str(wanted).lower())
+    if isinstance(wanted, str):
+        return (kind == "STRING") & (text == wanted)
+    return kind.isin(*_NUMBERS) & (number == F.lit(float(wanted)))
+
+
+def _errors(value: Column, schema: dict, path: str) -> Column:
+    """Array of error texts of a value, null where none applies; an absent value has none."""
+    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else list(kinds)
+    # a JSON null counts as absent, unless null is a type here
+    there = value.isNotNull() & ((kind != "VOID") | F.lit("null" in kinds))
+    name = path or "value"
+    found = []
+
+    def add(wrong: Column, message: str) -> None:
+        found.append(F.when(there & F.coalesce(wrong, F.lit(False)), F.lit(f"{name}: {message}")))
+
+    if kinds:
+        right = reduce(lambda a, b: a | b, (_KINDS[k](kind, number) for k in kinds))
+        add(~F.coalesce(right, F.lit(False)), f"not {' or '.join(kinds)}")
+    is_text, is_number, is_array, is_object = kind == "STRING", kind.isin(*_NUMBERS), kind == "ARRAY", kind == "OBJECT"
+    items = F.try_variant_get(F.when(is_array, value), "$", "array<variant>")
+    tests = {
+        "minLength": lambda x: is_text & (F.length(text) < x), "maxLength": lambda x: is_text & (F.length(text) > x), "pattern": lambda x: is_text & ~text.rlike(x),
+        "minimum": lambda x: is_number & (number < x), "maximum": lambda x: is_number & (number > x),
+        "exclusiveMinimum": lambda x: is_number & (number <= x), "exclusiveMaximum": lambda x: is_number & (number >= x),
+        "minItems": lambda x: is_array & (F.size(items) < x), "maxItems": lambda x: is_array & (F.size(items) > x),
+        "enum": lambda x: ~reduce(lambda a, b: a | b, (F.coalesce(_equal(kind, text, number, w), F.lit(False)) for w in x), F.lit(False)),
+    }
+    for key, test in tests.items():
+        if key in schema:
+            add(test(schema[key]), key)
+    parts = [F.array(*found).cast("array<string>")] if found else []
+    none, inside = F.array().cast("array<string>"), f"{path}." if path else ""
+    properties = schema.get("properties", {})
+    for key in sorted(set(properties) | set(schema.get("required", ()))):
+        part = F.try_variant_get(F.when(is_object, value), f"$['{key}']", "variant")
+        if key in schema.get("required", ()):
+            missing = is_object & (part.isNull() | (F.schema_of_variant(part) == "VOID") & F.lit("null" not in properties.get(key, {}).get("type", [])))
+            parts.append(F.array(F.when(F.coalesce(missing, F.lit(False)), F.lit(f"{inside}{key}: missing"))))
+        if key in properties:
+            parts.append(_errors(part, properties[key], f"{inside}{key}"))
+    more = schema.get("additionalProperties", True)
+    if more is not True:
+        others = F.map_filter(F.try_variant_get(F.when(is_object, value), "$", "map<string,variant>"), lambda k, _: ~k.isin(*properties) if properties else F.lit(True))
+        if more is False:
+            parts.append(F.transform(F.array_sort(F.map_keys(others)), lambda k: F.concat(F.lit(inside), k, F.lit(": not allowed"))))
+        else:
+            parts.append(F.flatten(F.transform(F.map_values(others), lambda v: _errors(v, more, f"{inside}*"))))
+    if isinstance(schema.get("items"), dict):
+        parts.append(F.flatten(F.transform(items, lambda v: _errors(v, schema["items"], f"{path}[]"))))
+    return F.concat(*[F.coalesce(p, none) for p in parts]) if parts else none
+
+
 def argument_errors(arguments: Column, schema: dict) -> Column:
-    """Array of error texts of JSON arguments against a schema: type object, required, and per property
-    type (string, integer, number, boolean), minLength, maxLength, minimum, maximum, enum."""
+    """Array of error texts of JSON arguments, which must be an object, against a JSON schema, at every depth.
+
+    Keywords are those of CHECKED; those of SILENT are passed over, and any other is a
+    ValueError. A number with no fraction is an integer. A JSON null counts as absent unless
+    `null` is one of the types. Errors of array items are named path[], of additional
+    properties path.*, each once. A number of more than 38 digits can't be kept as it is,
+    which is an error too.
+    """
+    _refuse_unknown(schema)
     value = F.try_parse_json(arguments)
     is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
-    errors = [F.when(~is_object, F.lit("not an object"))]
-    kinds = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"]}
-    for name in sorted(set(schema.get("properties", {})) | set(schema.get("required", ()))):
-        rule = schema.get("properties", {}).get(name, {})
-        part = F.try_variant_get(value, f"$['{name}']", "variant")
-        kind = F.regexp_extract(F.schema_of_variant(part), "^[A-Z]+", 0)
-        there = part.isNotNull() & (kind != "VOID")
-        if name in schema.get("required", ()):
-            errors.append(F.when(is_object & ~F.coalesce(there, F.lit(False)), F.lit(f"{name}: missing")))
-        if "type" in rule:
-            errors.append(F.when(there & ~kind.isin(kinds[rule["type"]]), F.lit(f"{name}: not {rule['type']}")))
-        text, number = F.try_variant_get(part, "$", "string"), F.try_variant_get(part, "$", "double")
-        for key, wrong in (("minLength", lambda x: F.length(text) < x), ("maxLength", lambda x: F.length(text) > x), ("minimum", lambda x: number < x), ("maximum", lambda x: number > x), ("enum", lambda x: ~text.isin(list(x)))):
-            if key in rule:
-                errors.append(F.when(there & wrong(rule[key]), F.lit(f"{name}: {key}")))
-    return F.filter(F.array(*errors), lambda e: e.isNotNull())
+    bare = F.regexp_replace(arguments, r'"(?:[^"\\]|\\.)*+"', "")
+    long = is_object & F.regexp_replace(bare, r"(?<=[0-9])\.(?=[0-9])", "").rlike(f"[0-9]{{{_DIGITS + 1}}}")
+    top = F.array(F.when(~is_object, F.lit("not an object")), F.when(long, F.lit(f"number of more than {_DIGITS} digits")))
+    inside = _errors(F.when(is_object, value), {k: v for k, v in schema.items() if k != "type"}, "")
+    return F.array_distinct(F.filter(F.concat(top, inside), lambda e: e.isNotNull()))
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:
@@ -149,18 +248,23 @@ def quoted(text: Column) -> Column:
 
 
 def canonical_arguments(arguments: Column) -> Column:
-    """JSON text with keys in order and no spaces, at every depth; text that is no JSON becomes a JSON string, null stays null."""
+    """JSON text with keys in order and no spaces, at every depth; text that is no JSON becomes a JSON string, null stays null.
+
+    Numbers are written as VARIANT holds them: those of up to 38 digits with all their digits,
+    longer ones rounded, which `argument_errors` reports.
+    """
     return F.coalesce(F.to_json(F.try_parse_json(arguments)), quoted(arguments))
 
 
 def link_tool_calls(messages: DataFrame, schemas: dict[str, dict], needs: DataFrame | None = None) -> DataFrame:
-    """One row per message: conv, turn, seq_turn, seq_level, seq_call, seq_kind, linked, valid, errors, json.
+    """One row per message: conv, turn, seq_turn, seq_level, seq_call, seq_id, seq_kind, linked, valid, errors, json.
 
     messages: conv, turn (long), role, text, call_id, tool, arguments (JSON text), result_of;
     further columns may have any name and are left out. needs: (conv, call, needed)
     dependencies between calls; those of or on unknown calls don't count, and a cycle is an
-    error. Order by (conv, seq_turn, seq_level, seq_call, seq_kind, turn): a call stands after
-    all that it needs, directly or not. `linked` is null but for results (its call exists) and
+    error. Order by (conv, seq_turn, seq_level, seq_call, seq_id, seq_kind, turn), nulls first:
+    a call stands after all that it needs, directly or not, and its results right behind it,
+    also where several calls share a turn (seq_id is the call's id). `linked` is null but for results (its call exists) and
     calls (a result exists); `valid` is null but for calls; an unknown tool is an error. Call
     ids that repeat within a conversation link to the first turn. Null ids link to nothing.
     Null texts are left out of the JSON; arguments that are no JSON are invalid and written as
@@ -177,7 +281,9 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict], needs: DataFr
     else:
         calls = calls.withColumns({"level": F.lit(0), "place": F.col("call_turn")})
     calls = calls.join(answered, ["conv", "call"], "left").withColumn("known", F.lit(True))
-    joined = messages.withColumn("call", F.coalesce("call_id", "result_of")).join(calls, ["conv", "call"], "left")
+    # only calls and results go through the join: other messages have no key to be dealt by
+    marked = messages.withColumn("call", F.coalesce("call_id", "result_of"))
+    joined = marked.filter("call is not null").join(calls, ["conv", "call"], "left").unionByName(marked.filter("call is null"), allowMissingColumns=True)
     is_call, is_result = F.col("call_id").isNotNull(), F.col("call_id").isNull() & F.col("result_of").isNotNull()
     hit = F.col("known").isNotNull()
     unknown = F.array(F.lit("unknown tool"))
@@ -190,6 +296,7 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict], needs: DataFr
         F.when(hit, F.col("place")).otherwise(F.col("turn")).alias("seq_turn"),
         F.coalesce(F.when(hit, F.col("level")), F.lit(0)).alias("seq_level"),
         F.when(hit, F.col("call_turn")).otherwise(F.col("turn")).alias("seq_call"),
+        F.when(hit, F.col("call")).alias("seq_id"),
         F.when(is_result & hit, F.lit(1)).otherwise(F.lit(0)).alias("seq_kind"),
         linked.alias("linked"),
         F.when(is_call, F.size("errors") == 0).alias("valid"),

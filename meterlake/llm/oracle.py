@@ -41,15 +41,15 @@ with w as (
 ), h as (
   select source, count(*) as n, count(*) filter (where base_failed or soft) as failed from f group by source
 ), p as (
-  select avg(failed / n) as mean, var_pop(failed / n) as v from h
+  select avg(failed / n) as mean, var_pop(failed / n) - avg(failed / n) * (1 - avg(failed / n)) * avg(1 / n) as v from h
 ), k as (
   select mean, case when v > 0 then least(greatest(mean * (1 - mean) / v - 1, 1.0), 1e6) else 1e6 end as strength from p
 ), bad as (
-  select source as s, (failed + mean * strength) / (n + strength) as rate, mean from h, k
+  select source as s, (failed + mean * strength) / (n + strength) as rate, mean, n + strength + 1 as wide from h, k
 )
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
        cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
-       not base_failed and not (rate > 1.25 * mean and soft) as kept
+       not base_failed and not (rate - 1.645 * sqrt(rate * (1 - rate) / wide) > 1.25 * mean and soft) as kept
 from f join bad on f.source is not distinct from bad.s
 """
 
@@ -88,7 +88,7 @@ with t as (
 ), answered as (
   select distinct conv_id, prior from t where role = 'assistant' and prior is not null
 ), j as (
-  select t.*, c.call_turn, c.level, a.prior is not null as answered
+  select t.*, c.call_turn, c.level, c.own as called, a.prior is not null as answered
   from t left join calls c on c.conv_id = t.conv_id and c.own = case when t.role = 'user' then t.own when t.role = 'assistant' then t.prior end
   left join answered a on a.conv_id = t.conv_id and a.prior = t.own
 ), e as (
@@ -97,7 +97,7 @@ with t as (
       case when turn < 0 then 'turn: minimum' end) end as errors
   from j
 )
-select conv_id, turn, coalesce(call_turn, turn) as seq_turn, cast(coalesce(level, 0) as integer) as seq_level, coalesce(call_turn, turn) as seq_call,
+select conv_id, turn, coalesce(call_turn, turn) as seq_turn, cast(coalesce(level, 0) as integer) as seq_level, coalesce(call_turn, turn) as seq_call, called as seq_id,
        cast(case when role = 'assistant' and call_turn is not null then 1 else 0 end as integer) as seq_kind,
        case when role = 'user' then answered when role = 'assistant' then call_turn is not null end as linked,
        case when role = 'user' then errors = '' end as valid, errors,

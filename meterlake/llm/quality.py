@@ -4,9 +4,10 @@ Every document is tested by rules over its words and lines. Failures are counted
 (the column `source`), each host's failure rate is shrunk toward an empirical beta prior
 fitted to all hosts by moments, and the verdict on bad hosts is joined back: a document goes
 if it fails a hard rule, or if its host is bad and it fails a soft rule itself. A host is bad
-if its shrunk rate is more than `bad_ratio` times the mean of the prior, so the bound follows
-the corpus: among hosts that differ by chance alone, shrinking leaves none beyond it once
-they have some hundreds of documents each, and a small host needs the more failures.
+if its rate is more than `bad_ratio` times the mean of the prior with a posterior probability
+of 95 %. The spread that chance alone gives to raw rates is taken off before the prior is
+fitted: hosts that differ by chance have a prior so narrow that none of them is bad, and a
+small host needs the more failures.
 
 The texts are measured once: the measures are stored, hosts are counted from those, and the
 verdict joins the stored rows. Texts are never shuffled by host; bad hosts join as a broadcast
@@ -32,6 +33,8 @@ FEW_HOSTS, SALTS = 20_000, 32
 #: Up to so many different dropped texts are told to all tasks by their hashes; beyond, the texts are shuffled by them.
 FEW_DROPPED = 500_000
 LEAST_WORDS = 20
+#: Standard deviations below the mean that a normal value exceeds with a probability of 95 %.
+SURE = 1.645
 MEASURES = ("q_words", "q_word_chars", "q_symbols", "q_lines", "q_dup_lines", "q_repeat_words")
 
 
@@ -100,25 +103,31 @@ def _any(rules: dict) -> Column:
 
 
 def host_rates(rows: DataFrame) -> DataFrame:
-    """(host, n, failed, rate, prior): failure rate by host of rows (host, base_failed, soft_failed), shrunk by the empirical beta prior.
+    """(host, n, failed, rate, sure, prior): failure rate by host of rows (host, base_failed, soft_failed), shrunk by the empirical beta prior.
 
-    Prior mean and variance are those of the raw rates over hosts; strength
-    m (1 - m) / v - 1 is held between 1 and 1e6. A null host is a host of its own.
+    Mean m and variance of the prior are those of the raw rates over hosts, the variance less
+    what drawing n documents of a host at rate m adds, m (1 - m) / n on average. Strength
+    m (1 - m) / v - 1 is held between 1 and 1e6, and 1e6 if no variance is left. `sure` is the
+    rate that a host exceeds with a probability of 95 %, by the normal approximation of its
+    posterior. A null host is a host of its own.
     """
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("base_failed") | F.col("soft_failed")).alias("failed"))
     raw = F.col("failed") / F.col("n")
-    m, v = F.avg(raw), F.var_pop(raw)
+    m = F.avg(raw)
+    v = F.var_pop(raw) - m * (1 - m) * F.avg(1 / F.col("n"))
     strength = F.when(v > 0, F.least(F.greatest(m * (1 - m) / v - 1, F.lit(1.0)), F.lit(1e6))).otherwise(F.lit(1e6))
     prior = hosts.agg(m.alias("mean"), strength.alias("strength"))
     # the prior is one row, whatever the input
     shrunk = (F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    return hosts.join(F.broadcast(prior)).select("host", "n", "failed", shrunk.alias("rate"), F.col("mean").alias("prior"))
+    found = hosts.join(F.broadcast(prior)).withColumn("rate", shrunk)
+    sure = F.col("rate") - SURE * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("strength") + 1))
+    return found.select("host", "n", "failed", "rate", sure.alias("sure"), F.col("mean").alias("prior"))
 
 
 def _verdicts(docs: DataFrame, carried: Column, bad_ratio: float, host_col: str, text_col: str) -> DataFrame:
     """Measured rows with `kept`."""
     rows = stored(_measured(docs, carried, host_col, text_col).withColumn("row", F.monotonically_increasing_id()), "quality")
-    bad = host_rates(rows).filter(F.col("rate") > F.col("prior") * bad_ratio).select(F.col("host").alias("bad_host"))
+    bad = host_rates(rows).filter(F.col("sure") > F.col("prior") * bad_ratio).select(F.col("host").alias("bad_host"))
     few = bad.limit(FEW_HOSTS + 1).collect()
     fine = ~F.col("base_failed")
     if len(few) <= FEW_HOSTS:

@@ -93,7 +93,7 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    return trie.prefix_trie(turns, trie.head_plan(turns))
+    return trie.prefix_trie(turns, trie.head_plan(turns)).drop("turn_conv", "turn_index")
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

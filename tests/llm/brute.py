@@ -88,6 +88,20 @@ def quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+def bad_hosts(counts, ratio=1.25):
+    """Hosts whose failure rate exceeds the bound with 95 %; counts: host -> (failed, n)."""
+    raw = [f / n for f, n in counts.values()]
+    mean = sum(raw) / len(raw)
+    v = sum((x - mean) ** 2 for x in raw) / len(raw) - mean * (1 - mean) * sum(1 / n for _, n in counts.values()) / len(counts)
+    strength = min(max(mean * (1 - mean) / v - 1, 1.0), 1e6) if v > 0 else 1e6
+    bad = set()
+    for h, (f, n) in counts.items():
+        rate = (f + mean * strength) / (n + strength)
+        if rate - 1.645 * (rate * (1 - rate) / (n + strength + 1)) ** 0.5 > ratio * mean:
+            bad.add(h)
+    return bad
+
+
 def kept_by_quality(rows, ratio=1.25):
     """Ids that the quality rules keep; rows: id -> (measures, text, host)."""
     hard = {d: m[0] < 20 or 100 * m[4] > 30 * m[0] for d, (m, *_) in rows.items()}
@@ -98,11 +112,7 @@ def kept_by_quality(rows, ratio=1.25):
     of = {}
     for d, (_, _, host) in rows.items():
         of.setdefault(host, []).append(hard[d] or soft[d])
-    raw = [sum(x) / len(x) for x in of.values()]
-    mean = sum(raw) / len(raw)
-    v = sum((x - mean) ** 2 for x in raw) / len(raw)
-    strength = min(max(mean * (1 - mean) / v - 1, 1.0), 1e6) if v > 0 else 1e6
-    bad = {h for h, x in of.items() if (sum(x) + mean * strength) / (len(x) + strength) > ratio * mean}
+    bad = bad_hosts({h: (sum(x), len(x)) for h, x in of.items()}, ratio)
     return {d for d, (_, _, host) in rows.items() if not hard[d] and not (host in bad and soft[d])}
 
 

@@ -2,6 +2,7 @@
 
 import pytest
 from meterlake.llm import chat
+from pyspark.sql import functions as F
 
 MESSAGES = "conv long, turn long, role string, text string, call_id string, tool string, arguments string, result_of string"
 NEEDS = "conv long, call string, needed string"
@@ -47,21 +48,22 @@ def test_cycles_are_errors(spark):
             placed(spark, [("a", 1), ("b", 2), ("c", 5)], needs)
 
 
-def test_random_graphs_are_ordered(spark):
-    """Every call after all that it needs, each result right behind its call, levels and places as by hand."""
+@pytest.mark.parametrize("alike", [False, True])
+def test_random_graphs_are_ordered(spark, alike):
+    """Every call after all that it needs, each result right behind its call, levels and places as by hand; with several calls a turn, too."""
     import random
 
     rng, calls, needs, rows = random.Random(3), [], [], []
     for conv in range(12):
         n = rng.randint(1, 14)
-        turns = rng.sample(range(2 * n), n)
+        turns = [rng.randrange(4) for _ in range(n)] if alike else rng.sample(range(2 * n), n)
         rank = rng.sample(range(n), n)
         calls += [(conv, f"c{i}", turns[i]) for i in range(n)]
         needs += [(conv, f"c{i}", f"c{j}") for i in range(n) for j in range(n) if rank[j] < rank[i] and rng.random() < (0.12, 0.5)[conv % 2]]
-    rows = [(v, t, "assistant", None, c, "t", "{}", None) for v, c, t in calls] + [(v, 100 + t, "tool", "r", None, None, None, c) for v, c, t in calls if t % 3]
+    rows = [(v, t, "assistant", c, c, "t", "{}", None) for v, c, t in calls] + [(v, 100 + t, "tool", c, None, None, None, c) for v, c, t in calls if int(c[1:]) % 3 or not alike]
     got = chat.link_tool_calls(spark.createDataFrame(rows, MESSAGES), {"t": {}}, spark.createDataFrame(needs + needs[:5], NEEDS)).collect()
     assert len(got) == len(rows)
-    by, turn = {(v, t): c for v, c, t in calls}, {(v, c): t for v, c, t in calls}
+    turn = {(v, c): t for v, c, t in calls}
     of = {k: [n for v, c, n in needs if (v, c) == k] for k in turn}
 
     def level(k):
@@ -70,16 +72,64 @@ def test_random_graphs_are_ordered(spark):
     def place(k):
         return max([turn[k], *(place((k[0], n)) for n in of[k])])
 
-    order = sorted(got, key=lambda r: (r["conv"], r["seq_turn"], r["seq_level"], r["seq_call"], r["seq_kind"], r["turn"]))
+    order = sorted(got, key=lambda r: (r["conv"], r["seq_turn"], r["seq_level"], r["seq_call"], r["seq_id"], r["seq_kind"], r["turn"]))
     seen = set()
     for at, r in enumerate(order):
-        key = (r["conv"], by[r["conv"], r["turn"] % 100])
+        key = (r["conv"], r["seq_id"])
+        assert (r["seq_level"], r["seq_turn"]) == (level(key), place(key))
         if r["turn"] < 100:
-            assert (r["seq_level"], r["seq_turn"]) == (level(key), place(key))
             assert {(key[0], n) for n in of[key]} <= seen
             seen.add(key)
         else:
-            assert order[at - 1]["turn"] == r["turn"] - 100 and order[at - 1]["conv"] == r["conv"]
+            assert (order[at - 1]["conv"], order[at - 1]["seq_id"], order[at - 1]["turn"]) == (*key, turn[key])
+
+
+def test_parallel_calls_of_one_turn(spark):
+    rows = [(1, 0, "assistant", None, c, "t", "{}", None) for c in ("a", "b")] + [(1, n, "tool", "r", None, None, None, c) for n, c in ((1, "b"), (2, "a"))] + [(1, 0, "user", "hi", None, None, None, None)]
+    got = chat.link_tool_calls(spark.createDataFrame(rows, MESSAGES), {"t": {}}).collect()
+    order = sorted(got, key=lambda r: (r["seq_turn"], r["seq_level"], r["seq_call"], r["seq_id"] or "", r["seq_kind"], r["turn"]))
+    assert [(r["seq_id"], r["seq_kind"]) for r in order] == [(None, 0), ("a", 0), ("a", 1), ("b", 0), ("b", 1)]
+
+
+SCHEMA = {
+    "type": "object", "title": "T", "required": ["q", "n"], "additionalProperties": False,
+    "properties": {
+        "q": {"type": "string", "pattern": "^[a-z]+$"}, "n": {"type": "integer", "exclusiveMinimum": 0, "exclusiveMaximum": 10}, "x": {"type": ["number", "null"]},
+        "tags": {"type": "array", "items": {"type": "string", "maxLength": 2}, "minItems": 1, "maxItems": 2},
+        "in": {"type": "object", "required": ["k"], "properties": {"k": {"enum": [1, "a", True, None]}}, "additionalProperties": {"type": "boolean"}},
+    },
+}
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ('{"q": "ab", "n": 1.0}', []), ('{"q": "ab", "n": 1}', []), ('{"q": "ab", "n": 1.5}', ["n: not integer"]), ('{"q": "A", "n": 0}', ["n: exclusiveMinimum", "q: pattern"]),
+    ('{"n": null, "q": 1, "n2": 1}', ["n2: not allowed", "n: missing", "q: not string"]), ('{"q": "a", "n": 10}', ["n: exclusiveMaximum"]), ('{"q": "a", "n": 1e0, "x": null}', []),
+    ('{"q": "a", "n": 1, "x": "y"}', ["x: not number or null"]), ('{"q": "a", "n": 1, "tags": []}', ["tags: minItems"]), ('{"q": "a", "n": 1, "tags": ["abc", 1, "abcd"]}', ["tags: maxItems", "tags[]: maxLength", "tags[]: not string"]),
+    ('{"q": "a", "n": 1, "tags": {"0": "a"}}', ["tags: not array"]), ('{"q": "a", "n": 1, "in": {"k": 1.0, "more": true}}', []), ('{"q": "a", "n": 1, "in": {"k": "b", "more": 1}}', ["in.*: not boolean", "in.k: enum"]),
+    ('{"q": "a", "n": 1, "in": {}}', ["in.k: missing"]), ('{"q": "a", "n": 1, "in": {"k": true}}', []), ("[1]", ["not an object"]), ("{bad", ["not an object"]), (None, ["not an object"]), ('{"q":"a","q":"b","n":1}', ["not an object"]),
+    ('{"q": "a", "n": 1, "x": 12345678901234567890123456789012345678901234567890}', ["number of more than 38 digits"]), ('{"q": "a", "n": 1, "x": 1.5}', []),
+])
+def test_schemas_at_every_depth(spark, text, want):
+    row = spark.createDataFrame([(text,)], "a string").select(chat.argument_errors(F.col("a"), SCHEMA).alias("e")).first()
+    assert sorted(row["e"]) == sorted(want)
+
+
+def test_a_number_in_a_string_may_be_long(spark):
+    row = spark.createDataFrame([('{"a": "\\"' + "1" * 60 + '"}',)], "a string").select(chat.argument_errors(F.col("a"), {}).alias("e")).first()
+    assert row["e"] == []
+
+
+@pytest.mark.parametrize("schema", [{"oneOf": []}, {"properties": {"a": {"format": "date"}}}, {"items": {"type": "date"}}, {"properties": {"a'b": {}}}, {"properties": {"a": 1}}, {"enum": [{}]}])
+def test_what_is_not_checked_is_refused(schema):
+    with pytest.raises(ValueError):
+        chat.argument_errors(F.lit("{}"), schema)
+
+
+def test_long_numbers_keep_their_digits_or_are_invalid(spark):
+    rows = [(1, t, "assistant", None, f"c{t}", "t", '{"x":' + "9" * digits + "}", None) for t, digits in ((0, 30), (1, 50))]
+    got = {r["turn"]: r for r in chat.link_tool_calls(spark.createDataFrame(rows, MESSAGES), {"t": {}}).collect()}
+    assert got[0]["valid"] and "9" * 30 in got[0]["json"]
+    assert not got[1]["valid"] and got[1]["errors"] == "number of more than 38 digits"
 
 
 def test_previous_calls_across_blocks(spark):

@@ -1,5 +1,8 @@
 """Host verdicts and odd tables of the quality rules."""
 
+import random
+
+import brute
 import pytest
 from meterlake.llm import quality
 from pyspark.sql import functions as F
@@ -11,7 +14,7 @@ DOUBTFUL = FINE + " #" * 8
 @pytest.fixture(scope="module")
 def hosts(spark):
     """Hosts with few, some and many failing documents; each has fine and doubtful ones; the failing ones of three hosts are equal texts."""
-    rows = [(h * 1000 + i, "short" if i < bad else (DOUBTFUL if i % 2 else FINE), None if h == 3 else f"h{h}") for h, bad in enumerate((0, 1, 2, 30, 36, 1)) for i in range(60)]
+    rows = [(h * 1000 + i, "short" if i < bad else (DOUBTFUL if i % 2 else FINE), None if h == 3 else f"h{h}") for h, bad in enumerate((0, 1, 2, 56, 58, 1)) for i in range(60)]
     return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
 
 
@@ -23,11 +26,7 @@ def wanted(rows, ratio):
         hard, soft = len(words) < 20, 10 * t.count("#") > len(words)
         of.setdefault(h, []).append((d, hard, soft))
         failed[h] = failed.get(h, 0) + (hard or soft)
-    raw = [failed[h] / len(of[h]) for h in of]
-    mean = sum(raw) / len(raw)
-    v = sum((x - mean) ** 2 for x in raw) / len(raw)
-    strength = min(max(mean * (1 - mean) / v - 1, 1.0), 1e6) if v > 0 else 1e6
-    bad = {h for h in of if (failed[h] + mean * strength) / (len(of[h]) + strength) > ratio * mean}
+    bad = brute.bad_hosts({h: (failed[h], len(of[h])) for h in of}, ratio)
     assert 0 < len(bad) < len(of)
     return {d for h, ds in of.items() for d, hard, soft in ds if not hard and not (h in bad and soft)}
 
@@ -69,3 +68,24 @@ def test_a_very_long_text(spark):
     got = quality.judge(spark.createDataFrame([(1, text, "s"), (None, None, None)], "doc_id long, text string, source string")).orderBy("doc_id").collect()
     assert (got[1]["q_words"], got[1]["q_repeat_words"], got[1]["kept"]) == (300_008, 16, True)
     assert (got[0]["q_words"], got[0]["kept"]) == (0, False)
+
+
+def judged(spark, rates, n, seed):
+    """Rates of hosts whose documents fail by chance, and the hosts that are bad."""
+    rng = random.Random(seed)
+    rows = [(h, rng.random() < rate, False) for h, rate in enumerate(rates) for _ in range(n)]
+    found = quality.host_rates(spark.createDataFrame(rows, "host long, base_failed boolean, soft_failed boolean")).collect()
+    counts = {r["host"]: (r["failed"], r["n"]) for r in found}
+    bad = {r["host"] for r in found if r["sure"] > 1.25 * r["prior"]}
+    assert bad == brute.bad_hosts(counts)
+    return bad
+
+
+def test_hosts_that_differ_by_chance_are_not_bad(spark):
+    for seed in range(6):
+        assert judged(spark, [0.15] * 20, 50, seed) == set()
+
+
+def test_a_planted_bad_host_is_found(spark):
+    for seed in range(4):
+        assert judged(spark, [0.15] * 19 + [0.7], 50, seed) == {19}
