@@ -217,6 +217,8 @@ CONVERSION = f"""with {TELEMETRY}, {CUT}, one as (
 select 'counter' as step, 'first run' as name, count(*) filter (where early) as n, cast(null as bigint) as length, cast(null as varchar) as least, cast(null as varchar) as most from two
 union all select 'counter', 'second run', count(*) filter (where taken and not early), null, null, null from two
 union all select 'counter', 'misplaced', 0, null, null, null
+union all select 'counter', 'failed with metadata on line 1', 0, null, null, null
+union all select 'counter', 'failed with metadata on line 2', 1, null, null, null
 union all select 'converted', name, count(*), cast(sum(length(v)) as bigint), min(md5(v)), max(md5(v)) from done group by 2
 union all select 'copy', name, count(*), cast(sum(length(short)) as bigint), min(md5(short)), max(md5(short)) from done where name = 'gemini_cli.api_response' and complete group by 2"""
 

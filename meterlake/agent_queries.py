@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 from functools import reduce
 
@@ -184,6 +185,17 @@ def _raw_log(spark: SparkSession, records: DataFrame, path: str) -> None:
     records.select(opened.alias("value")).write.mode("append").text(path)
 
 
+def _fails(run: Callable[[], None], message: str) -> bool:
+    """Whether a run ends in an error with this message."""
+    try:
+        run()
+    except Exception as e:  # noqa: BLE001
+        if message not in str(e):
+            raise
+        return True
+    return False
+
+
 def telemetry_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw log converted twice, the second time with later records; then a simplified copy of the result."""
     raw, out, copy = (scratch_folder(spark, n) for n in ("raw", "converted", "copy"))
@@ -195,9 +207,12 @@ def telemetry_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
         added.append(analysis.convert_telemetry(spark, [raw], out, 2))
     done = scan.lines(spark, [out], pattern="*.txt")
     misplaced = simplify.misplaced_metadata(done).count()
-    sinks.write_lines(simplify.simplified(done.select("value"), 3), copy)
+    sinks.write_lines(simplify.simplified(done, 3), copy)
+    metadata = F.to_json(F.struct(F.lit(simplify.METADATA).alias("record_type")))
+    first, second = (done.withColumn("value", F.when(F.col("line_number") == n, metadata).otherwise(F.col("value"))) for n in (1, 2))
+    failed = [int(_fails(lambda d=d: sinks.write_lines(simplify.simplified(d, 3), scratch_folder(spark, "copy")), simplify.MISPLACED)) for d in (first, second)]
     of = lambda df, step: df.groupBy(simplify.name_of(F.try_parse_json("value")).alias("name")).agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("length"), F.min(F.md5("value")).alias("least"), F.max(F.md5("value")).alias("most")).withColumn("step", F.lit(step))
-    counted = spark.createDataFrame([("first run", added[0]), ("second run", added[1]), ("misplaced", misplaced)], "name string, n long")
+    counted = spark.createDataFrame([("first run", added[0]), ("second run", added[1]), ("misplaced", misplaced), ("failed with metadata on line 1", failed[0]), ("failed with metadata on line 2", failed[1])], "name string, n long")
     counted = counted.select("name", "n", *[F.lit(None).cast(t).alias(c) for c, t in (("length", "long"), ("least", "string"), ("most", "string"))], F.lit("counter").alias("step"))
     return _union([counted, of(done, "converted"), of(spark.read.text(copy), "copy")])
 

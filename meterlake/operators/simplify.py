@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strict_json import at, has, text
 
 RESPONSE, REQUEST = "gemini_cli.api_response", "gemini_cli.api_request"
 METADATA = "gemini_cli.project_metadata"
+MISPLACED = "metadata record after the first line"
 # Attributes that level 3 keeps; a record without one of them is dropped.
 KEPT_ATTRIBUTES = (
     "event.timestamp",
@@ -34,9 +35,13 @@ def simplified(records: DataFrame, level: int) -> DataFrame:
 
     0: as they are. 1: API responses and requests only. 2: of those, attributes and _body only;
     a record without either is dropped. 3: API responses only, with the kept attributes.
+    Where records have a line_number, a metadata record on another line than the first is an
+    error when the result is read.
     """
     if level not in (0, 1, 2, 3):
         raise ValueError("level must be 0, 1, 2 or 3")
+    if "line_number" in records.columns:
+        records = records.withColumn("value", F.when(_misplaced(), F.raise_error(F.concat(F.lit(f"{MISPLACED} at line "), F.col("line_number").cast("string")))).otherwise(F.col("value")))
     if level == 0:
         return records
     v = F.try_parse_json(F.col("value"))
@@ -59,19 +64,17 @@ def simplified(records: DataFrame, level: int) -> DataFrame:
     return kept.withColumn("value", F.when(metadata, F.col("value")).otherwise(short))
 
 
-def misplaced_metadata(lines: DataFrame) -> DataFrame:
-    """Lines other than the first that hold a metadata record; there should be none."""
-    return lines.filter((F.col("line_number") > 1) & (text(F.try_parse_json(F.col("value")), "$.record_type") == METADATA))
+def _misplaced() -> Column:
+    return (F.col("line_number") > 1) & F.coalesce(text(F.try_parse_json(F.col("value")), "$.record_type") == METADATA, F.lit(False))
 
 
-def last_timestamp(lines: DataFrame) -> DataFrame:
-    """(last): text timestamp of the last record by (part, line) that has one."""
-    stamp = text(F.try_parse_json(F.col("value")), "$.attributes['event.timestamp']")
-    return lines.agg(F.max_by(stamp, F.when(stamp.isNotNull(), F.struct("file_path", "line_number"))).alias("last"))
+def misplaced_metadata(lines: DataFrame) -> DataFrame:
+    """Lines other than the first that hold a metadata record; there should be none."""
+    return lines.filter(_misplaced())
 
 
 def largest_timestamp(records: DataFrame) -> DataFrame:
-    """(last): the same for a folder to which records were added in the order of their times: parts of later runs may sort before earlier ones."""
+    """(last): largest text timestamp of a folder to which records were added in the order of their times."""
     return records.agg(F.max(text(F.try_parse_json(F.col("value")), "$.attributes['event.timestamp']")).alias("last"))
 
 

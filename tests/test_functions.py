@@ -142,16 +142,22 @@ def test_simplify(spark):
     full = {a: 1 for a in simplify.KEPT_ATTRIBUTES} | {"event.name": simplify.RESPONSE, "more": 2}
     import json
 
-    lines = [{"attributes": full, "_body": {"t": 1}, "x": 1}, {"attributes": {"event.name": simplify.REQUEST}, "_body": 1}, {"attributes": {"event.name": simplify.RESPONSE}}, {"attributes": {"event.name": "other"}, "_body": 1}, {"record_type": simplify.METADATA}]
+    lines = [{"record_type": simplify.METADATA}, {"attributes": full, "_body": {"t": 1}, "x": 1}, {"attributes": {"event.name": simplify.REQUEST}, "_body": 1}, {"attributes": {"event.name": simplify.RESPONSE}}, {"attributes": {"event.name": "other"}, "_body": 1}]
     df = spark.createDataFrame([("f", i + 1, json.dumps(x)) for i, x in enumerate(lines)], "file_path string, line_number long, value string")
     assert [simplify.simplified(df, n).count() for n in range(4)] == [5, 4, 3, 2]
-    kept = json.loads(simplify.simplified(df, 3).orderBy("line_number").first()["value"])
+    kept = json.loads(simplify.simplified(df, 3).filter("line_number > 1").first()["value"])
     assert set(kept) == {"attributes", "_body"} and tuple(kept["attributes"]) == simplify.KEPT_ATTRIBUTES
-    assert simplify.misplaced_metadata(df).count() == 1
+    assert simplify.misplaced_metadata(df).count() == 0
+    late = df.withColumn("line_number", F.col("line_number") + 1)
+    assert simplify.misplaced_metadata(late).count() == 1
+    for level in range(4):
+        with pytest.raises(Exception, match="metadata record after the first line at line 2"):
+            simplify.simplified(late, level).select("value").collect()
+    assert simplify.simplified(late.drop("line_number"), 1).count() == 4
     with pytest.raises(ValueError):
         simplify.simplified(df, 4)
     stamped = spark.createDataFrame([("f", i, '{"attributes":{"event.timestamp":"' + t + '"}}') for i, t in enumerate("bca")], "file_path string, line_number long, value string")
-    assert simplify.last_timestamp(stamped).first()["last"] == "a"
+    assert simplify.largest_timestamp(stamped).first()["last"] == "c"
     assert simplify.tail_of(stamped, "a").count() == 2
 
 
