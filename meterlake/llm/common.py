@@ -43,6 +43,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Free what finished steps have left: Spark removes the shuffle files and broadcasts of plans once the driver's JVM has collected those plans."""
+    spark.sparkContext._jvm.System.gc()
+
+
 #: A key with more than this share of the rows, and this many rows, is hot: its rows are dealt to SALTS tasks.
 HOT_SHARE, HOT_ROWS, SALTS = 0.001, 1_000, 64
 
