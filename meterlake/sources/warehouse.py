@@ -91,7 +91,7 @@ class Warehouse:
             _rename_new(self.spark, _glob(self.spark, f"{hidden}/part-*")[0], self._manifest(n))
         except Py4JJavaError as e:
             if "FileAlreadyExistsException" in str(e.java_exception):
-                raise RuntimeError(f"another run has made commit {n} of {self.path} since this one began; nothing of this run is stored") from None
+                raise RuntimeError(f"commit {n} of {self.path} exists: another run has made it since this one began; nothing of this run is stored") from None
             raise
         finally:
             _delete(self.spark, hidden)
