@@ -34,10 +34,10 @@ def _now(now: datetime | None) -> Column:
     return F.lit(now or datetime.now(timezone.utc))
 
 
-def _report(warehouse: Warehouse, agent: str, counters: dict[str, int], at: Column, extra: dict[str, DataFrame] | None = None, snapshots: dict[str, DataFrame] | None = None) -> DataFrame:
+def _report(warehouse: Warehouse, agent: str, counters: dict[str, int], at: Column, extra: dict[str, DataFrame] | None = None, changed: dict[str, DataFrame] | None = None) -> DataFrame:
     out = warehouse.spark.createDataFrame(list(counters.items()), "counter string, value long")
     run = out.select(F.lit(agent).alias("agent"), at.alias("run_at"), "counter", "value")
-    warehouse.commit({**(extra or {}), "ingest_runs": run}, snapshots)
+    warehouse.commit({**(extra or {}), "ingest_runs": run}, changed=changed)
     return out
 
 
@@ -134,16 +134,23 @@ def ingest_sessions(warehouse: Warehouse, agent: str, roots: list[str], *, full_
 
 
 def _store_sessions(warehouse: Warehouse, agent: str, files: DataFrame, at: Column) -> None:
-    warehouse.commit(snapshots={f"{agent}_session_metadata": _sessions(warehouse, agent, files, at)})
+    warehouse.commit(changed={f"{agent}_session_metadata": _sessions(warehouse, agent, files, at)})
+
+
+def _upserted(warehouse: Warehouse, name: str, rows: DataFrame, order: list[Column | str]) -> DataFrame:
+    """All rows of the buckets that the given rows fall in, with these in place of the stored ones of their keys."""
+    table = TABLES[name]
+    new = rows.select(*[f.name for f in table.schema])
+    return incremental.upsert(warehouse.near(name, new), new, list(table.key), order, keep=table.keep)
 
 
 def _sessions(warehouse: Warehouse, agent: str, files: DataFrame, at: Column) -> DataFrame:
-    """Session table after the given files; rows that didn't change keep their time."""
+    """Changed buckets of the session table after the given files; rows that didn't change keep their time."""
     name = f"{agent}_session_metadata"
-    table, stored = TABLES[name], warehouse.read(name)
+    table = TABLES[name]
     values = [f.name for f in table.schema if f.name not in ("session_id", "ingested_at")]
     new = files.withColumn("session_file_path", F.col("file_path")).select("session_id", *values, at.alias("ingested_at"))
-    return incremental.upsert(stored, incremental.changed_rows(stored, new, ["session_id"], values), ["session_id"], [F.desc("session_file_path")])
+    return _upserted(warehouse, name, incremental.changed_rows(warehouse.near(name, new), new, ["session_id"], values), [F.desc("session_file_path")])
 
 
 def _ingest_round(warehouse: Warehouse, agent: str, batch: DataFrame, states: DataFrame, roots: list[str], full_refresh: bool, at: Column) -> dict[str, int]:
@@ -178,8 +185,7 @@ def _ingest_round(warehouse: Warehouse, agent: str, batch: DataFrame, states: Da
     }
     out["parse_errors"] = out["failed"] - out["monotonicity_errors"] - out["delta_errors"]
     files = states.join(kept_files, "file_path", "left_semi").select(F.col("file_path").alias("session_file_path"), F.col("file_size").alias("file_size_bytes"), "file_mtime", at.alias("ingested_at"))
-    state_table = f"{agent}_ingestion_files"
-    warehouse.commit({table: fresh}, {f"{agent}_session_metadata": _sessions(warehouse, agent, done, at), state_table: incremental.upsert(warehouse.read(state_table), files, ["session_file_path"], ["file_mtime"])})
+    warehouse.commit({table: fresh, f"{agent}_ingestion_files": files}, changed={f"{agent}_session_metadata": _sessions(warehouse, agent, done, at)})
     for df in (passing, folded, errors, parsed.rows, parsed.files):
         df.unpersist()
     return out
@@ -205,12 +211,12 @@ def ingest_opencode(warehouse: Warehouse, message: DataFrame, session: DataFrame
         raise ValueError(f"malformed message {bad.orderBy('message_id').first()['message_id']}")
     timed = rows.withColumns({"ingested_at": at, "updated_at": at})
     sessions = timed.dropDuplicates(["session_id"])
-    snapshots = {
-        "opencode_sessions": incremental.upsert(warehouse.read("opencode_sessions"), sessions.select(*[f.name for f in TABLES["opencode_sessions"].schema]), ["session_id"], ["project_id"], keep=("ingested_at",)),
-        "opencode_message_usage": incremental.upsert(stored, timed.select(*[f.name for f in TABLES["opencode_message_usage"].schema]), ["message_id"], ["session_id"]),
+    changed = {
+        "opencode_sessions": _upserted(warehouse, "opencode_sessions", sessions, ["project_id"]),
+        "opencode_message_usage": _upserted(warehouse, "opencode_message_usage", timed, ["session_id"]),
     }
     counters |= {"rows": rows.count(), "sessions": sessions.count()}
-    out = _report(warehouse, "opencode", counters, at, snapshots=snapshots)
+    out = _report(warehouse, "opencode", counters, at, changed=changed)
     rows.unpersist()
     return out
 
@@ -258,7 +264,7 @@ def ingest_gemini(warehouse: Warehouse, paths: list[str], *, full_refresh: bool
     state = progress.select("project_id", F.col("file_path").alias("jsonl_file_path"), F.lit(True).alias("active"), F.col("file_size").alias("file_size_bytes"), "file_mtime", top["event_timestamp"].alias("last_ingested_event_timestamp"), top["model_code"].alias("last_ingested_model_code"), at.alias("created_at"), at.alias("updated_at"))
     counters = {"files": files.count(), "unchanged": files.count() - changed.count(), "total": rows.filter("raw").count(), "attempted": new.count()}
     counters["skipped"] = counters["total"] - counters["attempted"]
-    out = _report(warehouse, "gemini", counters, at, {"gemini_usage_events": fresh}, {"gemini_ingestion_sources": incremental.upsert(sources, state, ["project_id"], ["jsonl_file_path"], keep=("created_at",))})
+    out = _report(warehouse, "gemini", counters, at, {"gemini_usage_events": fresh}, {"gemini_ingestion_sources": _upserted(warehouse, "gemini_ingestion_sources", state, ["jsonl_file_path"])})
     for df in (states, wanted, lines, changed, rows, progress, new):
         df.unpersist()
     return out

@@ -9,7 +9,10 @@ from pyspark.sql.types import StructType
 
 @dataclass(frozen=True)
 class Table:
-    """A warehouse table. on_conflict: "ignore" keeps the stored row, "update" replaces it."""
+    """A warehouse table. on_conflict: "ignore" keeps the stored row, "update" replaces it.
+
+    "latest": rows are only added, and of one key the row of the last `ingested_at` counts.
+    """
 
     ddl: str
     key: tuple[str, ...]
@@ -21,7 +24,7 @@ class Table:
         return StructType.fromDDL(self.ddl)
 
 
-_FILES = Table("session_file_path string, file_size_bytes long, file_mtime timestamp, ingested_at timestamp", ("session_file_path",), "update")
+_FILES = Table("session_file_path string, file_size_bytes long, file_mtime timestamp, ingested_at timestamp", ("session_file_path",), "latest")
 
 TABLES: dict[str, Table] = {
     "claude_session_metadata": Table("session_id string, project_name string, slug string, cwd string, version string, session_file_path string, ingested_at timestamp", ("session_id",), "update"),

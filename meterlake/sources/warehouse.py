@@ -5,15 +5,20 @@ see the last manifest only, so events and file states of a run appear together o
 A manifest is written whole under a hidden name and then renamed to its number, which fails
 if that number is taken: a run that dies leaves nothing that readers or later runs look at,
 and of two runs at once the second one gets an error and changes nothing.
+
+A table whose rows are replaced ("update") lies in hash buckets of its key, one folder each:
+a run writes the buckets again that its rows fall in, and the manifest keeps the folders of
+all others. File states ("latest") are only added to; readers take the last row of each key.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TABLES
@@ -45,9 +50,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+_BUCKET = re.compile(r"/bucket_of_([0-9]+)=([0-9]+)/?$")
+
+
 class Warehouse:
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    """`buckets`: the number for tables that have no rows yet; stored tables keep theirs until they are compacted.
+
+    A bucket is written by one task, so the number should grow with the tables: at 128 MB a
+    bucket, 1,000 buckets hold 128 GB of sessions or messages.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _manifest(self, n: int) -> str:
         return f"{self.path}/_commits/{n:08d}.json"
@@ -60,26 +74,63 @@ class Warehouse:
         row = self.spark.read.schema("n long, folders string").json(max(found)).first()
         return row["n"], json.loads(row["folders"])
 
-    def read(self, table: str) -> DataFrame:
-        """Rows of the last commit; an empty table if there is none."""
-        folders = self._last()[1].get(table, [])
+    def _rows(self, table: str, folders: list[str]) -> DataFrame:
         schema = TABLES[table].schema
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def commit(self, appends: dict[str, DataFrame] | None = None, snapshots: dict[str, DataFrame] | None = None) -> None:
-        """Write rows to add and whole new tables, then make them the current state in one step.
-
-        A commit that another run has made since is an error; that run's rows stay, and this
-        one can be made again.
+    def read(self, table: str) -> DataFrame:
+        """Rows of the last commit; an empty table if there is none."""
+        rows = self._rows(table, self._last()[1].get(table, []))
+        if TABLES[table].on_conflict != "latest":
+            return rows
+        key = TABLES[table].key
+        values = [c for c in rows.columns if c not in key]
+        last = F.max(F.struct(F.col("ingested_at").alias("at"), F.struct(*values).alias("values"))).alias("last")
+        return rows.groupBy(*key).agg(last).select(*key, "last.values.*")
+
+    def _bucket(self, table: str, folders: list[str]) -> tuple[str, Column]:
+        """Name of the bucket column of a stored table, and a row's bucket."""
+        found = [m for f in folders if (m := _BUCKET.search(f))]
+        n = int(found[0][1]) if found else self.buckets
+        return f"bucket_of_{n}", F.pmod(F.xxhash64(*[F.col(f.name).cast(f.dataType) for f in TABLES[table].schema if f.name in TABLES[table].key]), F.lit(n)).cast("int")
+
+    def near(self, table: str, rows: DataFrame) -> DataFrame:
+        """Stored rows of the buckets that `rows` fall in; no other bucket is read. What comes to the driver are bucket numbers."""
+        folders = self._last()[1].get(table, [])
+        _, bucket = self._bucket(table, folders)
+        hit = {r["b"] for r in rows.select(bucket.alias("b")).distinct().collect()}
+        return self._rows(table, [f for f in folders if int(_BUCKET.search(f)[2]) in hit])
+
+    def _write(self, table: str, rows: DataFrame, folder: str, folders: list[str], sort: list[str]) -> list[str]:
+        """Write rows, and give the folders that hold them: one, or one a bucket."""
+        named = rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table].schema])
+        if TABLES[table].on_conflict != "update":
+            named.write.parquet(folder)
+            return [folder]
+        name, bucket = self._bucket(table, folders)
+        dealt = named.withColumn(name, bucket).repartition(name).sortWithinPartitions(name, *sort)
+        dealt.write.partitionBy(name).parquet(folder)
+        return _glob(self.spark, f"{folder}/{name}=*")
+
+    def commit(self, appends: dict[str, DataFrame] | None = None, snapshots: dict[str, DataFrame] | None = None, changed: dict[str, DataFrame] | None = None, sort: list[str] | None = None) -> None:
+        """Write rows to add, whole new tables and changed buckets, then make them the current state in one step.
+
+        `changed` has all rows, old and new, of each bucket that it has a row of (see `near`);
+        the other buckets stay as they are. A commit that another run has made since is an
+        error; that run's rows stay, and this one can be made again.
         """
         n, folders = self._last()
         run = uuid.uuid4().hex[:8]
-        for changes, adds in ((appends or {}, True), (snapshots or {}, False)):
+        for changes, kind in ((appends or {}, "add"), (snapshots or {}, "replace"), (changed or {}, "change")):
             for table, rows in changes.items():
-                folder = f"{self.path}/{table}/{n + 1:08d}-{run}"
-                schema = TABLES[table].schema
-                rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(folder)
-                folders[table] = [*(folders.get(table, []) if adds else []), folder]
+                if kind != "replace" and (kind == "change") != (TABLES[table].on_conflict == "update"):
+                    raise ValueError(f"{table} can't take rows to {kind}")
+                old = folders.get(table, [])
+                new = self._write(table, rows, f"{self.path}/{table}/{n + 1:08d}-{run}", old if kind == "change" else [], sort or [])
+                if kind == "change":
+                    rewritten = {_BUCKET.search(f)[0] for f in new}
+                    old = [f for f in old if _BUCKET.search(f)[0] not in rewritten]
+                folders[table] = new if kind == "replace" else [*old, *new]
         self._publish(n + 1, folders, run)
 
     def _publish(self, n: int, folders: dict[str, list[str]], run: str) -> None:
@@ -97,8 +148,14 @@ class Warehouse:
             _delete(self.spark, hidden)
 
     def compact(self, table: str, files: int, sort: list[str]) -> None:
-        """Rewrite a table as fewer files, sorted within each by columns that readers filter on."""
-        self.commit(snapshots={table: self.read(table).repartitionByRange(files, *sort).sortWithinPartitions(*sort)})
+        """Rewrite a table as fewer files, sorted within each by columns that readers filter on.
+
+        A table of buckets gets one file for each of this warehouse's number of buckets.
+        """
+        rows = self.read(table)
+        if TABLES[table].on_conflict != "update":
+            rows = rows.repartitionByRange(files, *sort).sortWithinPartitions(*sort)
+        self.commit(snapshots={table: rows}, sort=sort)
 
 
 def usage_events(warehouse: Warehouse, agent: str) -> DataFrame:
