@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,9 +63,9 @@ def uuid_text(value: Column) -> Column:
 
 
 def project_name(path: Column, roots: list[str]) -> Column:
-    """First part of the path under the first root that holds it; null outside all roots."""
+    """First part of the path under the first root that holds it; null outside all roots. Local paths and roots may be file: URIs."""
     plain = F.regexp_replace(path, "^file:/+", "/")
-    under = [F.when(plain.startswith(r := root.rstrip("/") + "/"), F.split_part(F.substr(plain, F.lit(len(r) + 1)), F.lit("/"), F.lit(1))) for root in roots]
+    under = [F.when(plain.startswith(r := re.sub("^file:/+", "/", root).rstrip("/") + "/"), F.split_part(F.substr(plain, F.lit(len(r) + 1)), F.lit("/"), F.lit(1))) for root in roots]
     return F.coalesce(*under) if under else F.lit(None).cast("string")
 
 

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import agent_queries, fixtures, views
+from . import agent_queries, fixtures, rule_queries, views
 from .functions import names, strict_json
 from .functions.cost import event_cost
 from .functions.prices import flatten_prices, price_keys, small, with_prices
@@ -505,5 +505,5 @@ def claude_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_events(warehouse, "claude").groupBy("session_id").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
 
 
-for _query in agent_queries.QUERIES.values():
+for _query in [*agent_queries.QUERIES.values(), *rule_queries.QUERIES.values()]:
     query(_query)

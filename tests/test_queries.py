@@ -4,10 +4,10 @@ import os
 
 import duckdb
 import pytest
-from meterlake import agent_oracle, oracle
+from meterlake import agent_oracle, oracle, rule_oracle
 from meterlake.queries import QUERIES
 
-ORACLE_SQL = oracle.ORACLE_SQL | agent_oracle.ORACLE_SQL
+ORACLE_SQL = oracle.ORACLE_SQL | agent_oracle.ORACLE_SQL | rule_oracle.ORACLE_SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
