@@ -207,7 +207,9 @@ def test_opencode_increment_and_refresh(spark, tmp_path):
     got = counts(ingest_opencode(w, *opencode_tables(spark, db)))
     assert (got["rows"], got["fast_skip"]) == (0, 0)
     opencode_store(db, oc("m3", 3000))
+    before = w._last()[1]["opencode_message_usage"]
     assert counts(ingest_opencode(w, *opencode_tables(spark, db)))["rows"] == 1
+    assert len(set(w._last()[1]["opencode_message_usage"]) - set(before)) == 1  # the bucket of m3 is written, no other
     assert w.read("opencode_message_usage").count() == 3
     assert w.read("opencode_sessions").first()["session_directory"] == "None"
     opencode_store(db, oc("m1", 4000, 99))
