@@ -8,6 +8,10 @@ window is met, so after any number of slots a source is less than one block away
 share. Frames repeat. Slots of a source that has run out stay empty: the others follow in the
 same order, and every document is placed exactly once.
 
+The schedule of a large frame is worked out by halves (`frame_places`): which jobs run in a range
+of slots, then in which half of it, down to single slots. It is the schedule that taking one slot
+after another gives.
+
 Weights are the given targets, rounded to a frame of whole slots. The frame grows with the
 number of sources, so the shares that rounding and the least weight of one slot move are at
 most one slot of the frame for a source, and a twentieth of the whole for all together.
@@ -21,8 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The schedule of a frame is worked out in one row, in time sources x slots: more sources than this are an error, and must be grouped first.
-MOST_SOURCES = 2_000
+from .common import checkpointed
+
+#: Sources x slots up to which a frame is folded in one row; beyond, its slots are dealt by halves over many tasks, with the same result.
+FOLD_STEPS = 50_000
 #: Slots of a frame for each source, at least.
 SLOTS_PER_SOURCE = 20
 _BUCKET_ROWS = 2_000
@@ -31,12 +37,10 @@ _BUCKET_ROWS = 2_000
 def target_weights(targets: DataFrame, *, source_col: str = "source", weight_col: str = "weight", frame: int = 1000) -> DataFrame:
     """(key, m): targets (source, weight > 0), one row for each source, as integers of about `frame` slots in all, at least 1.
 
-    Over MOST_SOURCES sources, no or a negative weight, and a source named twice are errors.
+    No or a negative weight, and a source named twice, are errors.
     """
     rows = targets.select(_key(source_col).alias("key"), F.col(weight_col).cast("double").alias("w"))
     n, different, bad, total = rows.agg(F.count("*"), F.countDistinct("key"), F.count_if(F.col("w").isNull() | F.isnan("w") | (F.col("w") <= 0)), F.sum("w")).first()
-    if n > MOST_SOURCES:
-        raise ValueError(f"{n} sources, more than {MOST_SOURCES}: group the smaller ones first")
     if bad or different < n:
         raise ValueError("every source needs one weight above 0")
     size = max(frame, SLOTS_PER_SOURCE * n)
@@ -75,9 +79,65 @@ def frame_slots(weights: DataFrame) -> DataFrame:
     return found.select("x.key", "x.m", "w", "slots")
 
 
+#: Ranges of up to 2 ** 10 slots are dealt within one partition.
+_LOCAL = 10
+
+
+def frame_places(weights: DataFrame) -> DataFrame:
+    """(key, j, slot): the slot of the j-th block of each source, the schedule of `frame_slots` for frames of any size.
+
+    Slots are the leaves of a binary tree. Going up, a job (one block of a source) is `used` in a
+    node if it would run there with no jobs handed over from earlier slots: of the jobs used in the
+    right half and those that the left half had no slot for, the earliest deadlines get the right
+    half's slots. Going down, the jobs of a node are dealt to its halves: the left one takes the
+    earliest deadlines of those released before the node or used in the left half, the right one
+    takes the rest. A job is one narrow row, and each level ranks them within nodes; below _LOCAL
+    levels all nodes of a partition are ranked without a shuffle. No weights give no rows.
+    """
+    w = weights.agg(F.sum("m")).first()[0] or 0
+    height = max(w - 1, 0).bit_length()
+    jobs = weights.select("key", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("j"))
+    release, deadline = F.expr(f"j * {w}L div m"), F.expr(f"((j + 1) * {w}L + m - 1) div m")
+    jobs = jobs.select("key", "j", release.alias("release"), deadline.alias("deadline"))
+
+    def rank(*node: str) -> Column:
+        return F.row_number().over(Window.partitionBy(*node).orderBy("deadline", "key"))
+
+    def size(start: Column, level: int) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(1 << level), F.lit(w) - start))
+
+    # bit l of `used`: the job runs in its own node of 2 ** l slots without jobs handed over
+    rows = jobs.withColumn("part", F.shiftright("release", _LOCAL)).repartition("part")
+    rows = rows.withColumn("used", (rank("part", "release") == 1).cast("long"))
+    for level in range(height):
+        if level >= _LOCAL:
+            rows = rows.withColumn("part", F.shiftright("release", level + 1))
+        right = F.shiftright("release", level).bitwiseAND(1)
+        was = F.shiftright("used", level).bitwiseAND(1)
+        rows = rows.withColumns({"node": F.shiftright("release", level + 1), "open": right == was})
+        start = F.shiftleft("node", level + 1) + (1 << level)
+        now = F.when(F.col("open"), (rank("part", "node", "open") <= size(start, level)).cast("long")).otherwise(was)
+        rows = rows.withColumn("used", F.col("used").bitwiseOR(F.shiftleft(now, level + 1)))
+    rows = rows.withColumn("slot", F.lit(0).cast("long"))
+    for level in reversed(range(height)):
+        if level >= _LOCAL:
+            rows = rows.withColumn("part", F.col("slot"))
+        elif level == _LOCAL - 1:
+            rows = rows.withColumn("part", F.col("slot")).repartition("part")
+        start = F.shiftleft("slot", level + 1)
+        own = (F.shiftright("release", level) == 2 * F.col("slot")) & (F.shiftright("used", level).bitwiseAND(1) == 1)
+        rows = rows.withColumn("open", (F.col("release") < start) | own)
+        left = F.col("open") & (rank("part", "slot", "open") <= size(start, level))
+        rows = rows.withColumn("slot", 2 * F.col("slot") + F.when(left, 0).otherwise(1))
+    return rows.select("key", "j", "slot")
+
+
 def _placed(docs: DataFrame, weights: DataFrame | None, block_rows: int, frame: int, temperature: float, id_col: str, source_col: str) -> DataFrame:
     """(doc, mix_row, mix_block, mix_slot, mix_block_row): `doc` is the whole row, so its columns may have any name."""
-    plan = frame_slots(weights if weights is not None else source_weights(docs, source_col=source_col, temperature=temperature, frame=frame))
+    weights = weights if weights is not None else source_weights(docs, source_col=source_col, temperature=temperature, frame=frame)
+    sources, frame_size = weights.agg(F.count("*"), F.sum("m")).first()
+    small = sources * (frame_size or 0) <= FOLD_STEPS
+    plan = frame_slots(weights) if small else checkpointed(weights.select("key", "m", F.lit(frame_size).alias("w")))
     rows = docs.select(F.col(id_col).alias("id"), _key(source_col).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).join(plan.select("key", "m"), "key", "left").agg(F.sum("n").alias("n"), F.count_if(F.col("m").isNull()).alias("unknown")).first()
     if counts["unknown"]:
@@ -96,7 +156,11 @@ def _placed(docs: DataFrame, weights: DataFrame | None, block_rows: int, frame:
     placed = marked.withColumn("n", F.row_number().over(within)).join(starts, ["key", "bucket"])
     row = F.col("start") + F.col("n") - 1
     placed = placed.withColumns({"mix_row": row.cast("long"), "mix_block": F.floor(row / block_rows).cast("long"), "mix_block_row": (row % block_rows).cast("long")})
-    slot = F.expr("mix_block div m * w + element_at(slots, cast(mix_block % m as int) + 1)")
+    if small:
+        slot = F.expr("mix_block div m * w + element_at(slots, cast(mix_block % m as int) + 1)")
+    else:
+        places = checkpointed(frame_places(plan)).withColumnRenamed("slot", "place")
+        placed, slot = placed.withColumn("j", F.expr("mix_block % m")).join(places, ["key", "j"]), F.expr("mix_block div m * w + place")
     return placed.select("doc", "mix_row", "mix_block", slot.cast("long").alias("mix_slot"), "mix_block_row")
 
 

@@ -1,5 +1,7 @@
 """Target weights of the mix, its bounds, and odd tables."""
 
+import random
+
 import brute
 import pytest
 from meterlake.llm import mixing
@@ -51,12 +53,45 @@ def test_weights_that_cannot_be_met_are_errors(spark, docs):
     for wrong in (t.union(t.limit(1)), t.withColumn("weight", F.lit(0.0)), t.withColumn("weight", F.lit(None).cast("double"))):
         with pytest.raises(ValueError, match="weight above 0"):
             mixing.target_weights(wrong)
-    many = spark.range(mixing.MOST_SOURCES + 1).select(F.col("id").cast("string").alias("source"), F.lit(1.0).alias("weight"))
-    with pytest.raises(ValueError, match="more than"):
-        mixing.target_weights(many)
 
 
 def test_many_small_sources_leave_a_large_one_its_share(spark):
     rows = [("big", 1000.0), *[(f"s{i}", 1.0) for i in range(1000)]]
     m = {r["key"]: r["m"] for r in mixing.target_weights(spark.createDataFrame(rows, "source string, weight double")).collect()}
     assert abs(m["=big"] / sum(m.values()) - 0.5) < 0.05
+
+
+def slots_by_halves(spark, m):
+    places = mixing.frame_places(spark.createDataFrame(list(m.items()), "key string, m long")).collect()
+    return [r["key"] for r in sorted(places, key=lambda r: r["slot"])], sorted(r["slot"] for r in places)
+
+
+def test_halves_give_the_schedule_of_one_slot_after_another(spark):
+    draw = random.Random(3)
+    frames = [{"=a": 1}, {"=a": 5}, {"=a": 2, "=b": 1}, {"=a": 700, "=b": 1, "": 1}, {f"={i}": 1 for i in range(100)}]
+    frames += [{f"={i}": draw.choice((1, 1, 2, 7, 60)) for i in range(draw.randint(2, 40))} for _ in range(6)]
+    frames.append({"=hot": 1200, **{f"={i}": draw.randint(1, 9) for i in range(300)}})  # over two ranges that are dealt within a partition
+    for m in frames:
+        got, slots = slots_by_halves(spark, m)
+        assert slots == list(range(sum(m.values()))) and got == brute.mixed_slots(m)
+    assert slots_by_halves(spark, {"=a": 1})[0] == ["=a"] and mixing.frame_places(spark.createDataFrame([], "key string, m long")).isEmpty()
+
+
+def test_a_large_frame_places_documents_like_a_small_one(spark, docs, monkeypatch):
+    weights = mixing.target_weights(targets(spark))
+    places = lambda: sorted((r["mix_slot"], r["mix_block_row"], str(r["doc_id"]), str(r["source"])) for r in mixing.mix_sources(docs, weights, block_rows=4).collect())
+    want = places()
+    monkeypatch.setattr(mixing, "FOLD_STEPS", 0)
+    assert places() == want
+    assert mixing.mix_sources(docs.filter("false")).count() == 0
+
+
+def test_twenty_thousand_sources_stay_within_a_block_of_their_targets(spark):
+    sources = spark.range(20_000).select(F.col("id").cast("string").alias("source"), F.when(F.col("id") == 0, 10_000.0).otherwise(1.0 + F.col("id") % 5).alias("weight"))
+    weights = mixing.target_weights(sources)
+    w = weights.agg(F.sum("m")).first()[0]
+    placed = mixing.frame_places(weights).join(weights, "key").persist()
+    assert placed.count() == w and placed.select("slot").distinct().count() == w
+    # each block lies in its window, which is what keeps the deviation below one block after any number of slots
+    assert placed.filter(f"slot < j * {w} div m or slot >= ((j + 1) * {w} + m - 1) div m").isEmpty()
+    placed.unpersist()
