@@ -73,15 +73,19 @@ def misplaced_metadata(lines: DataFrame) -> DataFrame:
     return lines.filter(_misplaced())
 
 
+def stamp() -> Column:
+    """Text timestamp of a record in the column value."""
+    return text(F.try_parse_json(F.col("value")), "$.attributes['event.timestamp']")
+
+
 def largest_timestamp(records: DataFrame) -> DataFrame:
     """(last): largest text timestamp of a folder to which records were added in the order of their times."""
-    return records.agg(F.max(text(F.try_parse_json(F.col("value")), "$.attributes['event.timestamp']")).alias("last"))
+    return records.agg(F.max(stamp()).alias("last"))
 
 
 def tail_of(records: DataFrame, last: str | None) -> DataFrame:
     """Records whose timestamp text is greater than `last`; all if there is none."""
-    stamp = text(F.try_parse_json(F.col("value")), "$.attributes['event.timestamp']")
-    return records if last is None else records.filter(stamp > F.lit(last))
+    return records if last is None else records.filter(stamp() > F.lit(last))
 
 
 def telemetry_records(events: DataFrame) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strict_json import kind, text, whole
-from ..operators import simplify, sinks, turns
+from ..operators import incremental, simplify, sinks, turns
 from ..sources import lines as scan
 
 MISSING = "<missing_session_id>"
+#: Folder in that of the converted lines, hidden from readers, with the largest time stamp of each file.
+MARKS = "_marks"
 
 
 def turn_rows(raw: DataFrame, least: date | None = None) -> DataFrame:
@@ -77,20 +79,48 @@ def analysis_counters(raw: DataFrame, rows: DataFrame) -> DataFrame:
     return lines.join(found)
 
 
-def convert_telemetry(spark: SparkSession, raw: list[str], out: str, level: int = 0) -> int:
-    """Append the records of raw telemetry logs that are later than the last one in `out`; returns how many.
+def _marks(spark: SparkSession, out: str) -> DataFrame:
+    """(file_path, file_size, file_mtime, last): the largest time stamp of each file of `out` that was looked into."""
+    schema = "file_path string, file_size long, file_mtime timestamp, last string"
+    try:
+        return spark.read.schema(schema).parquet(f"{out}/{MARKS}")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
 
-    Records need a text time stamp. They are added in the order of their times.
+
+def last_converted(spark: SparkSession, out: str) -> str | None:
+    """The largest time stamp of the lines in `out`; None if there are none.
+
+    A file is read once: its largest time stamp is kept beside the lines, with the size and time
+    of the file. Files that a run left without one, or that were written over, are read again, and
+    files that are gone no longer count.
     """
     try:
-        last = simplify.largest_timestamp(spark.read.text(out)).first()["last"]
+        files = scan.session_files(spark, [out], "*")
     except AnalysisException:
-        last = None
-    stamp = text(F.try_parse_json("value"), "$.attributes['event.timestamp']")
+        return None
+    fresh = incremental.changed_files(files, _marks(spark, out)).persist()
+    paths = sorted(scan.literal(r["file_path"]) for r in fresh.select("file_path").collect())
+    if paths:
+        lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_path"), simplify.stamp().alias("stamp"))
+        found = lines.groupBy("file_path").agg(F.max("stamp").alias("last"))
+        fresh.join(found, "file_path", "left").coalesce(1).write.mode("append").parquet(f"{out}/{MARKS}")
+    fresh.unpersist()
+    return files.join(_marks(spark, out), ["file_path", "file_size", "file_mtime"]).agg(F.max("last").alias("last")).first()["last"]
+
+
+def convert_telemetry(spark: SparkSession, raw: list[str], out: str, level: int = 0) -> int:
+    """Append the records of raw telemetry logs that are later than the last one in `out`; returns how many.
+
+    Records need a text time stamp. They are added in the order of their times. Lines of earlier
+    runs aren't read (`last_converted`).
+    """
+    last, stamp = last_converted(spark, out), simplify.stamp()
     records = scan.concatenated_objects(spark, raw).filter(stamp.isNotNull() & (stamp != ""))
     fresh = simplify.simplified(simplify.tail_of(records, last), level).withColumn("value", F.to_json(F.try_parse_json("value"))).withColumn("at", stamp).persist()
     n = fresh.count()
     if n:
         sinks.append_lines(fresh.repartitionByRange("at").sortWithinPartitions("at"), out)
+        last_converted(spark, out)
     fresh.unpersist()
     return n

@@ -7,8 +7,9 @@ All functions return the run's counters, (counter, value), which are also append
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import agents, dedupe, incremental
@@ -23,8 +24,8 @@ EVENTS = {
     "codex": ("codex_session_details", ["session_id"], ["event_timestamp", "total_tokens_cumulative"], True),
     "pi": ("pi_usage_events", ["session_id"], ["event_timestamp", "message_id"], False),
 }
-#: Up to so many changed files are read by their paths, beyond by a join over all files.
-MOST_PATHS = 10_000
+#: Changed files are read by their paths, in groups of up to so many files and about so many bytes.
+MOST_PATHS, MOST_BYTES = 10_000, 1 << 40
 #: Up to so many sessions of a batch are named in the scan of the stored events.
 FEW_SESSIONS = 1_000
 _EMPTY = {"scanned": 0, "unchanged": 0, "ingested": 0, "failed": 0, "raw": 0, "skipped": 0, "duplicates": 0, "deduped": 0, "parse_errors": 0, "monotonicity_errors": 0, "delta_errors": 0, "synthetic": 0, "info_null": 0}
@@ -50,13 +51,38 @@ def _parse(agent: str, lines: DataFrame, roots: list[str], files: DataFrame | No
     return Parsed(every.withColumn("identity_error", F.coalesce("identity_error", F.when(F.col("session_id").isNull(), F.lit(agents.IDENTITY)))), parsed.rows)
 
 
-def _lines_of(spark: SparkSession, roots: list[str], wanted: DataFrame, n: int, pattern: str) -> DataFrame:
-    """Parsed lines of the wanted files: by path while the paths are few, else of all files that a join keeps."""
+def read_groups(files: DataFrame, n: int) -> DataFrame:
+    """Files (file_path, file_size, ...), n in all, with `read_group`: stretches in path order of at most MOST_PATHS files.
+
+    A stretch ends with the file that takes the bytes before it past another MOST_BYTES. Ranges of
+    paths are numbered by many tasks from one row per range.
+    """
+    if n <= MOST_PATHS:
+        return files.withColumn("read_group", F.lit(0).cast("long"))
+    ranges = files.repartitionByRange("file_path").withColumn("part__", F.spark_partition_id()).persist()
+    above = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.groupBy("part__").agg(F.count("*").alias("n__"), F.sum("file_size").alias("b__"))
+    starts = sums.select("part__", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}at") for c in ("n__", "b__")])
+    within = Window.partitionBy("part__").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    counted = ranges.withColumns({"i__": F.count("*").over(within), "o__": F.coalesce(F.sum("file_size").over(within), F.lit(0))}).join(F.broadcast(starts), "part__")
+    # both numbers only rise along the paths, so each sum of the two is one stretch
+    by_count, by_bytes = F.floor((F.col("n__at") + F.col("i__")) / max(1, MOST_PATHS)), F.floor((F.col("b__at") + F.col("o__")) / MOST_BYTES)
+    return counted.withColumn("read_group", (by_count + by_bytes).cast("long")).select(*files.columns, "read_group")
+
+
+def _grouped(files: DataFrame, n: int) -> list[DataFrame]:
+    """The files of each read group, in path order; what comes to the driver are the groups' numbers."""
     if n <= MOST_PATHS:
-        raw = scan.lines(spark, sorted(scan.literal(r["file_path"]) for r in wanted.select("file_path").collect()), pattern=pattern)
-    else:
-        raw = scan.lines(spark, roots, pattern=pattern).join(wanted.select("file_path"), "file_path", "left_semi")
-    return scan.json_lines(raw)
+        return [files]
+    grouped = read_groups(files, n).persist()
+    found = sorted(r["read_group"] for r in grouped.select("read_group").distinct().collect())
+    return [grouped.filter(F.col("read_group") == g).drop("read_group") for g in found]
+
+
+def _lines_of(spark: SparkSession, wanted: DataFrame, pattern: str) -> DataFrame:
+    """Parsed lines of the files of one read group; no other file is opened."""
+    paths = sorted(scan.literal(r["file_path"]) for r in wanted.select("file_path").collect())
+    return scan.json_lines(scan.lines(spark, paths, pattern=pattern))
 
 
 def _stored_of(warehouse: Warehouse, table: str, sessions: DataFrame) -> DataFrame:
@@ -101,8 +127,9 @@ def ingest_sessions(warehouse: Warehouse, agent: str, roots: list[str], *, full_
 
     Files whose size and time are those of the last run are skipped; a file with a bad row is
     rejected as a whole and tried again next time. Changed files of one session are taken in
-    path order, one round after another; usually one round does. A file without a session, a
-    blank one too, is rejected. full_refresh ignores file states and checkpoints.
+    path order, one round after another; usually one round does. Very many changed files are taken
+    in groups, in path order, each stored before the next is read, so a run that dies has stored
+    the groups before. A file without a session, a blank one too, is rejected. full_refresh ignores file states and checkpoints.
     refresh_metadata also derives session metadata of unchanged files anew.
     """
     spark, at = warehouse.spark, _now(now)
@@ -118,7 +145,17 @@ def ingest_sessions(warehouse: Warehouse, agent: str, roots: list[str], *, full_
     if not n_changed:
         changed.unpersist()
         return _report(warehouse, agent, counters, at)
-    parsed = _lines_of(spark, roots, changed, n_changed, pattern).persist()
+    for group in _grouped(changed, n_changed):
+        for name, value in _ingest_group(warehouse, agent, group, roots, full_refresh, pattern, at).items():
+            counters[name] += value
+    changed.unpersist()
+    return _report(warehouse, agent, counters, at)
+
+
+def _ingest_group(warehouse: Warehouse, agent: str, changed: DataFrame, roots: list[str], full_refresh: bool, pattern: str, at: Column) -> dict[str, int]:
+    """Counters of the files of one read group."""
+    counters = dict.fromkeys(_EMPTY, 0)
+    parsed = _lines_of(warehouse.spark, changed, pattern).persist()
     # a file without a session is a round of its own
     named = _parse(agent, parsed, roots, changed).files.select("file_path", F.coalesce("session_id", "file_path").alias("session_id"))
     rounds = incremental.file_rounds(named, ["session_id"]).persist()
@@ -128,9 +165,9 @@ def ingest_sessions(warehouse: Warehouse, agent: str, roots: list[str], *, full_
         batch = parsed if last == 1 else parsed.join(states_of.select("file_path"), "file_path", "left_semi")
         for name, value in _ingest_round(warehouse, agent, batch, states_of, roots, full_refresh, at).items():
             counters[name] += value
-    for df in (parsed, rounds, changed):
+    for df in (parsed, rounds):
         df.unpersist()
-    return _report(warehouse, agent, counters, at)
+    return counters
 
 
 def _store_sessions(warehouse: Warehouse, agent: str, files: DataFrame, at: Column) -> None:
@@ -199,11 +236,13 @@ def ingest_opencode(warehouse: Warehouse, message: DataFrame, session: DataFrame
     """
     at = _now(now)
     stored = warehouse.read("opencode_message_usage")
-    cp = stored.agg(F.max(F.struct(F.col("source_time_updated_ms").alias("time_updated"), F.col("message_id").alias("id"))).alias("cp"))
-    assistants = message.filter(F.get_json_object("data", "$.role") == "assistant")
-    last, newest = cp.first()["cp"], assistants.agg(F.max("time_updated").alias("m")).first()["m"]
+    # the largest time comes from file footers, and only row groups that hold it are read for the largest id
+    latest = F.col("source_time_updated_ms") == F.lit(warehouse.largest("opencode_message_usage", "source_time_updated_ms"))
+    cp = stored.filter(latest).agg(F.max(F.struct(F.col("source_time_updated_ms").alias("time_updated"), F.col("message_id").alias("id"))).alias("cp"))
+    last = cp.first()["cp"]
     counters = {"fast_skip": 0, "rows": 0, "sessions": 0}
-    if not full_refresh and last is not None and (newest is None or newest < last["time_updated"]):
+    assistant = F.get_json_object("data", "$.role") == "assistant"
+    if not full_refresh and last is not None and message.filter(F.col("time_updated") >= last["time_updated"]).filter(assistant).isEmpty():
         return _report(warehouse, "opencode", dict(counters, fast_skip=1), at)
     new = message if full_refresh else incremental.after_checkpoint(message, cp, [], ["time_updated", "id"], inclusive=False)
     rows = agents.opencode(new, session, project).persist()
@@ -236,7 +275,7 @@ def ingest_gemini(warehouse: Warehouse, paths: list[str], *, full_refresh: bool
     gate = sources.select(F.col("jsonl_file_path").alias("file_path"), F.col("file_size_bytes").alias("file_size"), "file_mtime", "project_id")
     known = states.join(gate.filter("false") if full_refresh else gate, ["file_path", "file_size", "file_mtime"])
     wanted = states.join(known.select("file_path"), "file_path", "left_anti").persist()
-    lines = _lines_of(spark, paths, wanted, wanted.count(), pattern).persist()
+    lines = reduce(DataFrame.unionByName, [_lines_of(spark, g, pattern) for g in _grouped(wanted, wanted.count())]).persist()
     parsed = agents.gemini(lines)
     read = wanted.join(parsed.files, "file_path", "left").withColumn("identity_error", F.when(F.col("project_id").isNull(), F.lit(agents.IDENTITY)))
     files = read.unionByName(known.withColumn("identity_error", F.lit(None).cast("string")))

@@ -88,6 +88,22 @@ class Warehouse:
         last = F.max(F.struct(F.col("ingested_at").alias("at"), F.struct(*values).alias("values"))).alias("last")
         return rows.groupBy(*key).agg(last).select(*key, "last.values.*")
 
+    def footer_largest(self, table: str, column: str) -> DataFrame:
+        """(largest): of a whole-number column over all stored rows, which Parquet answers from the footers of its files.
+
+        The scan has a session of its own, as the reader that does so is chosen by settings.
+        """
+        folders, side = self._last()[1].get(table, []), self.spark.newSession()
+        side.conf.set("spark.sql.sources.useV1SourceList", "")
+        side.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+        schema = TABLES[table].schema
+        rows = side.read.schema(schema).parquet(*folders) if folders else side.createDataFrame([], schema)
+        return rows.agg(F.max(column).alias("largest"))
+
+    def largest(self, table: str, column: str) -> int | None:
+        """The largest value of a whole-number column that is never null in a file; None if there are no rows."""
+        return self.footer_largest(table, column).first()["largest"]
+
     def _bucket(self, table: str, folders: list[str]) -> tuple[str, Column]:
         """Name of the bucket column of a stored table, and a row's bucket."""
         found = [m for f in folders if (m := _BUCKET.search(f))]

@@ -2,6 +2,7 @@
 
 import csv
 import json
+import os
 
 from meterlake.operators import sinks
 from meterlake.plans import analysis
@@ -42,3 +43,28 @@ def test_conversion_appends_what_is_new(spark, tmp_path):
     assert analysis.convert_telemetry(spark, [str(tmp_path / "raw")], out, 2) == 1
     got = sorted(r["value"] for r in spark.read.text(out).collect())
     assert len(got) == 3 and all(set(json.loads(x)) == {"attributes", "_body"} for x in got)
+
+
+def test_conversion_reads_a_converted_file_once(spark, tmp_path):
+    record = lambda at: json.dumps({"attributes": {"event.name": "gemini_cli.api_request", "event.timestamp": at}, "_body": {}}, indent=2) + "\n"
+    raw, out = tmp_path / "raw", tmp_path / "out"
+    raw.mkdir()
+    assert analysis.last_converted(spark, str(out)) is None
+    (raw / "t.log").write_text(record("2026-01-01") + record("2026-01-02"))
+    assert analysis.convert_telemetry(spark, [str(raw)], str(out)) == 2
+    # lines that can't be read now, under the same sizes and times: the next run doesn't look at them
+    old = sorted(p for p in out.glob("part-*") if p.stat().st_size)
+    for p in old:
+        state = p.stat()
+        p.write_bytes(b"?" * state.st_size)
+        os.utime(p, ns=(state.st_atime_ns, state.st_mtime_ns))
+        (out / f".{p.name}.crc").unlink(missing_ok=True)
+    (raw / "t.log").write_text((raw / "t.log").read_text() + record("2026-01-03"))
+    assert analysis.convert_telemetry(spark, [str(raw)], str(out)) == 1
+    assert analysis.last_converted(spark, str(out)) == "2026-01-03"
+    # a run that died after its lines were added, and a file that is gone
+    (out / "part-late.txt").write_text('{"attributes":{"event.timestamp":"2026-02-01"}}\n{"attributes":{}}\n')
+    assert analysis.last_converted(spark, str(out)) == "2026-02-01"
+    (out / "part-late.txt").unlink()
+    assert analysis.last_converted(spark, str(out)) == "2026-01-03"
+    assert spark.read.text(str(out)).count() == 3 - 2 + len(old)

@@ -4,7 +4,9 @@ import json
 import sqlite3
 
 import pytest
+from meterlake.plans import ingest
 from meterlake.plans.ingest import ingest_gemini, ingest_opencode, ingest_sessions
+from meterlake.schemas import TABLES
 from meterlake.sources.sqlite import opencode_tables
 from meterlake.sources.warehouse import Warehouse, usage_events
 from pyspark.sql import functions as F
@@ -246,9 +248,7 @@ def test_blank_logs_are_rejected_files(spark, tmp_path):
 
 
 def test_odd_paths_and_many_files(spark, tmp_path, monkeypatch):
-    """Paths with blanks and pattern characters, by path list and by join over all files."""
-    from meterlake.plans import ingest
-
+    """Paths with blanks and pattern characters, in one read group and in several."""
     w, root = Warehouse(spark, str(tmp_path / "w")), tmp_path / "log s"
     write(root / "p [a]/s{1}.jsonl", claude(1))
     assert counts(ingest_sessions(w, "claude", [str(root)]))["ingested"] == 1
@@ -298,3 +298,51 @@ def test_metadata_refresh_without_events(spark, tmp_path):
     got = counts(ingest_sessions(w, "claude", [str(root)], refresh_metadata=True))
     assert (got["unchanged"], got["ingested"]) == (1, 0)
     assert w.read("claude_session_metadata").first()["cwd"] == "/w" and w.read("claude_usage_events").count() == 1
+
+
+def test_read_groups_follow_paths_counts_and_bytes(spark, monkeypatch):
+    files = [(f"f{i:03d}", 10 if i % 7 else 95) for i in range(50)]
+    monkeypatch.setattr(ingest, "MOST_PATHS", 6)
+    monkeypatch.setattr(ingest, "MOST_BYTES", 100)
+    got = ingest.read_groups(spark.createDataFrame(files, "file_path string, file_size long").repartition(5), len(files)).orderBy("file_path").collect()
+    count, size, want = 0, 0, []
+    for _, n in files:
+        want.append(count // 6 + size // 100)
+        count, size = count + 1, size + n
+    assert [r["read_group"] for r in got] == want and [(r["file_path"], r["file_size"]) for r in got] == files
+
+
+def test_only_changed_files_are_opened_group_by_group(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "MOST_PATHS", 3)
+    for i in range(12):
+        write(tmp_path / f"logs/{i:02d}.jsonl", claude(i, session=f"s{i % 5}"))
+    w = Warehouse(spark, str(tmp_path / "w"))
+    first = counts(ingest.ingest_sessions(w, "claude", [str(tmp_path / "logs")]))
+    assert (first["scanned"], first["ingested"]) == (12, 12) and w.read("claude_usage_events").count() == 12
+    for i in range(0, 12, 2):
+        write(tmp_path / f"logs/{i:02d}.jsonl", claude(i, session=f"s{i % 5}"), claude(i + 20, session=f"s{i % 5}"))
+    opened, lines = [], ingest.scan.lines
+
+    def noted(spark, paths, **more):
+        found = lines(spark, paths, **more)
+        opened.append(sorted(p[-8:] for p in found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(ingest.scan, "lines", noted)
+    again = counts(ingest.ingest_sessions(w, "claude", [str(tmp_path / "logs")]))
+    assert (again["unchanged"], again["ingested"]) == (6, 6) and w.read("claude_usage_events").count() == 18
+    assert opened == [["00.jsonl", "02.jsonl", "04.jsonl"], ["06.jsonl", "08.jsonl", "10.jsonl"]]
+
+
+def test_largest_stored_time_comes_from_footers(spark, tmp_path, capsys):
+    w = Warehouse(spark, str(tmp_path / "w"), buckets=2)
+    assert w.largest("opencode_message_usage", "source_time_updated_ms") is None
+    for times in ([(f"m{i}", 100 + i) for i in range(20)], [("m3", 500), ("m30", 7)]):
+        rows = spark.createDataFrame(times, "message_id string, source_time_updated_ms long")
+        for f in TABLES["opencode_message_usage"].schema:
+            if f.name not in rows.columns:
+                rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+        w.commit(changed={"opencode_message_usage": ingest._upserted(w, "opencode_message_usage", rows, ["session_id"])})
+    assert w.largest("opencode_message_usage", "source_time_updated_ms") == 500
+    w.footer_largest("opencode_message_usage", "source_time_updated_ms").explain("formatted")
+    assert "PushedAggregation: [MAX(source_time_updated_ms)]" in capsys.readouterr().out
