@@ -346,3 +346,12 @@ def test_largest_stored_time_comes_from_footers(spark, tmp_path, capsys):
     assert w.largest("opencode_message_usage", "source_time_updated_ms") == 500
     w.footer_largest("opencode_message_usage", "source_time_updated_ms").explain("formatted")
     assert "PushedAggregation: [MAX(source_time_updated_ms)]" in capsys.readouterr().out
+
+
+def test_gemini_logs_in_several_read_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "MOST_PATHS", 1)
+    w = Warehouse(spark, str(tmp_path / "w"))
+    for i in range(3):
+        write(tmp_path / f"logs/{i}.jsonl", {**HEAD, "project_id": f"{SID[:-1]}{i}"}, gemini_row(0, "a"), gemini_row(i + 1, "b"))
+    got = counts(ingest_gemini(w, [str(tmp_path / "logs")]))
+    assert (got["files"], got["attempted"]) == (3, 6) and w.read("gemini_usage_events").count() == 6
