@@ -56,6 +56,22 @@ def running_sum(rows: DataFrame, scope: list[str], order: str, value: Column, na
     return found.filter("row__ = 1").drop("row__", "add__", RANGE)
 
 
+def floored_sum(rows: DataFrame, scope: list[str], order: str, value: Column, name: str, *, width: int = WIDTH) -> DataFrame:
+    """Adds `name`: a sum along the rows, the row's own value in it, that never falls below 0; nulls count as nothing.
+
+    It is the plain running sum less its lowest point so far, where that is below 0. A range is
+    summed up by its sum and its lowest point, so these two carry it into the next range.
+    """
+    here = Window.partitionBy(*scope, RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = ranged(rows, order, width).withColumn("sum__", F.sum(F.coalesce(value.cast("long"), F.lit(0).cast("long"))).over(here))
+    summary = marked.groupBy(*scope, RANGE).agg(F.max_by("sum__", order).alias("all__"), F.min("sum__").alias("low__"))
+    above = summary.withColumn("before__", F.coalesce(F.sum("all__").over(_above(scope)), F.lit(0)))
+    above = above.withColumn("lowest__", F.coalesce(F.min(F.col("before__") + F.col("low__")).over(_above(scope)), F.lit(0))).drop("all__", "low__")
+    lowest = F.least(F.lit(0), F.col("lowest__"), F.col("before__") + F.min("sum__").over(here))
+    found = marked.join(above, [*scope, RANGE]).withColumn(name, F.col("before__") + F.col("sum__") - lowest)
+    return found.drop("sum__", "before__", "lowest__", RANGE)
+
+
 def first_in_scope(rows: DataFrame, scope: list[str], order: str, value: Column, name: str, *, width: int = WIDTH) -> DataFrame:
     """Adds `name` to every row of a scope: its first value that isn't null, also on rows above that one."""
     marked = ranged(rows, order, width).withColumn("set__", value)

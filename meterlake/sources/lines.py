@@ -6,11 +6,12 @@ import re
 from datetime import date
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.strict_json import at, kind, lenient_whole, text
 from ..functions.times import iso_instant_or_oldest
+from ..operators import scans
 
 #: File state of a row, as SQL over the hidden metadata column.
 STATE = ("_metadata.file_path as file_path", "_metadata.file_size as file_size", "_metadata.file_modification_time as file_mtime")
@@ -65,11 +66,27 @@ def json_lines(raw: DataFrame) -> DataFrame:
     return parsed.withColumn("malformed", ~good)
 
 
-def concatenated_objects(spark: SparkSession, paths: list[str], pattern: str = "*") -> DataFrame:
+#: A step down that takes any depth to the outside.
+_OUT = -(1 << 31)
+
+
+def _depth_step(value: Column) -> Column:
+    """How much deeper in objects and arrays the end of a text is than its start, which lies outside strings."""
+    bare = F.regexp_replace(F.regexp_replace(value, r"\\.", ""), r'"[^"\n]*"', "")
+    left = lambda c: F.length(F.translate(bare, c, ""))
+    return left("}]") - left("{[")
+
+
+def concatenated_objects(spark: SparkSession, paths: list[str], pattern: str = "*", width: int = scans.WIDTH) -> DataFrame:
     """(file_path, value): the JSON objects of raw telemetry logs, in which a line `}` closes an object.
 
-    Where a cut falls inside an object that has such a line of its own, pieces are joined until
-    they parse; an unfinished rest is dropped.
+    Files are cut at every such line, and a piece that parses is an object. Where an object has
+    such a line of its own, its pieces are found by depth: braces and brackets outside strings,
+    added up along the pieces (`scans.floored_sum`, in ranges of `width`), are back at 0 with the
+    object's last piece. As no string goes over the end of a line, a piece starts outside strings.
+    A piece that parses is outside of all before it, so an object that was never finished takes
+    with it only the pieces up to the next one that parses; they and an unfinished rest are
+    dropped before their texts are moved.
     """
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n}\n").text(paths)
     part = _numbered(read)
@@ -78,19 +95,20 @@ def concatenated_objects(spark: SparkSession, paths: list[str], pattern: str = "
     part = part.join(sizes, "file_path")
     cut_off = ~F.col("closed__") & (F.col("n") == F.col("last__"))
     whole_text = F.when(~cut_off, F.concat("value", F.lit("\n}"))).when(F.col("value").rlike("(?s)\n}\\s*$"), F.col("value"))
-    part = part.withColumn("value", whole_text).filter("value is not null").select("file_path", "n", "value", F.try_parse_json("value").isNotNull().alias("ok__"))
+    # two closing lines on end share their line break, so a piece may start with the closing line of the object before
+    pieces = F.posexplode(F.split(F.col("value"), r"(?<=^\})\n")).alias("i__", "value")
+    part = part.withColumn("value", whole_text).filter("value is not null").select("file_path", "n", pieces)
+    part = part.select("file_path", (2 * F.col("n") + F.col("i__")).alias("n"), "value", F.try_parse_json("value").isNotNull().alias("ok__"))
     whole = part.filter("ok__").select("file_path", "value")
-    # pieces that don't parse alone are rare: only they are numbered and gathered, by run of neighbours
-    bad = part.filter(~F.col("ok__")).withColumn("run__", F.col("n") - F.row_number().over(Window.partitionBy("file_path").orderBy("n")))
-    joined = bad.groupBy("file_path", "run__").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("pieces"))
-    folded = F.expr("""
-        aggregate(flatten(transform(pieces, p -> split(p.value, '(?<=^\\\\})\\n'))), named_struct('buffer', '', 'done', cast(array() as array<string>)),
-          (a, x) -> if(try_parse_json(concat(a.buffer, if(a.buffer = '', '', '\n'), x)) is not null,
-            named_struct('buffer', '', 'done', concat(a.done, array(concat(a.buffer, if(a.buffer = '', '', '\n'), x)))),
-            named_struct('buffer', concat(a.buffer, if(a.buffer = '', '', '\n'), x), 'done', a.done)),
-          a -> a.done)
-    """)
-    return whole.unionByName(joined.select("file_path", F.explode(folded).alias("value")))
+    steps = part.select("file_path", "n", "ok__", F.when(F.col("ok__"), F.lit(_OUT)).otherwise(_depth_step(F.col("value"))).alias("step__")).persist()
+    deep = scans.floored_sum(steps, ["file_path"], "n", F.col("step__"), "depth__", width=width).persist()
+    deep = scans.last_set(deep, ["file_path"], "n", F.when(F.col("depth__") == 0, F.col("n")), "after__", inclusive=False, width=width)
+    deep = deep.filter(~F.col("ok__")).select("file_path", "n", F.coalesce("after__", F.lit(0).cast("long")).alias("after__"), (F.col("depth__") == 0).alias("ends__"))
+    finished = deep.groupBy("file_path", "after__").agg(F.max("ends__").alias("ends__"), F.count("*").alias("k__")).filter("ends__ and k__ > 1").select("file_path", "after__")
+    joined = part.filter(~F.col("ok__")).select("file_path", "n", "value").join(deep.join(finished, ["file_path", "after__"]), ["file_path", "n"])
+    texts = joined.groupBy("file_path", "after__").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("pieces"))
+    found = texts.select("file_path", F.array_join(F.transform("pieces", lambda p: p["value"]), "\n").alias("value"))
+    return whole.unionByName(found.filter(F.try_parse_json("value").isNotNull()))
 
 
 def from_date(raw: DataFrame, least: date) -> DataFrame:

@@ -1,10 +1,12 @@
 """Ordered scans in ranges: same rows as plain Python, and no task with a whole log where one log has most rows."""
 
+import json
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from meterlake.operators import checks, dedupe, scans, stats, turns
+from meterlake.sources import lines as scan
 from pyspark.sql import functions as F
 
 SCHEMA = "file string, line long, is_turn boolean, model string, total long, step long"
@@ -170,3 +172,59 @@ def test_order_statistics(spark, monkeypatch, bins):
     summary = turns.metric_summary(rows, "x").first()
     assert [summary[c] for c in ("median", "p90", "p95")] == pytest.approx(list(exact), abs=1e-9) and summary["n"] == 700
     assert tuple(turns.metric_summary(rows.filter("x > 1e10"), "x").first()) == (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_floored_sums_cross_ranges(spark):
+    draw = random.Random(5)
+    logs = {k: [(i * 3 + draw.randint(0, 2), draw.choice((None, -4, -2, -1, 1, 2, 3))) for i in range(200)] for k in "ab"}
+    rows = spark.createDataFrame([(k, n, v) for k, log in logs.items() for n, v in log], "k string, n long, v long").repartition(3)
+    for width in (7, 100, 10_000):
+        got = {(r["k"], r["n"]): r["d"] for r in scans.floored_sum(rows, ["k"], "n", F.col("v"), "d", width=width).collect()}
+        for k, log in logs.items():
+            depth = 0
+            for n, v in log:
+                depth = max(0, depth + (v or 0))
+                assert got[k, n] == depth
+
+
+def buffered(text):
+    """Objects of a raw log, line by line: a line that is a closing brace ends an object if what was gathered parses."""
+    found, lines = [], []
+    for line in text.splitlines():
+        lines.append(line)
+        if line == "}":
+            try:
+                found.append(json.loads("\n".join(lines)))
+                lines = []
+            except ValueError:
+                pass
+    return found
+
+
+def test_raw_objects_with_closing_lines_of_their_own(spark, tmp_path):
+    draw = random.Random(8)
+
+    def record(i):
+        odd = draw.choice(['plain', 'a \\" quote {', '}]', '\\\\', '[[[', '\\n}\\n', ''])
+        inner = draw.choice(['1', '{\n}', '{\n"x": {\n"y": [1, {\n}\n]\n}\n}', '[{\n"z": "}"\n}\n, 2]', '{\n"x": 1\n  }'])
+        return f'{{\n"id": {i},\n"odd": "{odd}",\n"inner": {inner}\n}}\n'
+
+    logs = ["".join(record(1000 * f + i) for i in range(120)) for f in range(3)]
+    logs.append(record(9000) + record(9001).rstrip("\n"))  # no line break at the end
+    for f, log in enumerate(logs):
+        (tmp_path / f"{f}.log").write_text(log)
+    want = sorted(r["id"] for log in logs for r in buffered(log))
+    assert len(want) == 362
+    for width in (5, 65_536):
+        got = [json.loads(r["value"]) for r in scan.concatenated_objects(spark, [str(tmp_path)], width=width).collect()]
+        assert sorted(r["id"] for r in got) == want
+    by_id = {r["id"]: r for log in logs for r in buffered(log)}
+    assert all(r == by_id[r["id"]] for r in got)
+
+
+def test_an_unfinished_raw_object_ends_at_the_next_whole_one(spark, tmp_path):
+    whole, nested = '{{\n"id": {0}\n}}\n', '{{\n"id": {0}, "v": {{\n"w": 1\n}}\n}}\n'
+    log = nested.format(1) + '{\n"id": 2, "v": {\n"w": 1\n}\n' + nested.format(3) + whole.format(4) + nested.format(5) + "}\n" + nested.format(6) + '{\n"id": 7, "v": {\n}\n'
+    (tmp_path / "t.log").write_text(log)
+    got = lines.concatenated_objects(spark, [str(tmp_path)]).collect()
+    assert sorted(json.loads(r["value"])["id"] for r in got) == [1, 4, 5, 6]
