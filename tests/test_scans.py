@@ -226,5 +226,5 @@ def test_an_unfinished_raw_object_ends_at_the_next_whole_one(spark, tmp_path):
     whole, nested = '{{\n"id": {0}\n}}\n', '{{\n"id": {0}, "v": {{\n"w": 1\n}}\n}}\n'
     log = nested.format(1) + '{\n"id": 2, "v": {\n"w": 1\n}\n' + nested.format(3) + whole.format(4) + nested.format(5) + "}\n" + nested.format(6) + '{\n"id": 7, "v": {\n}\n'
     (tmp_path / "t.log").write_text(log)
-    got = lines.concatenated_objects(spark, [str(tmp_path)]).collect()
+    got = scan.concatenated_objects(spark, [str(tmp_path)]).collect()
     assert sorted(json.loads(r["value"])["id"] for r in got) == [1, 4, 5, 6]
