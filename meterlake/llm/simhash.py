@@ -28,7 +28,7 @@ from .common import checkpointed, hot_above, map_texts, spread_join
 SEED = 42
 _CHUNK = 1 << 16
 #: Bits 0..30 are covered; position i + 1 of the Hamming code is bit i.
-_MASK31 = 0x7FFFFFFF
+MASK31 = 0x7FFFFFFF
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -40,13 +40,17 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = min(width, len(words)) - 1
-    firsts, lasts = starts[: len(words) - last].tolist(), ends[last:].tolist()
-    hashed, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(firsts), _CHUNK):
-        h = np.array([hashed(joined[a:b], SEED) for a, b in zip(firsts[at : at + _CHUNK], lasts[at : at + _CHUNK], strict=True)], np.uint64)
-        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    bits = np.packbits(counts * 2 > len(firsts), bitorder="little")
-    return int(bits.view("<i8")[0])
+    hashed, spans = xxhash.xxh64_intdigest, zip(starts[: len(words) - last].tolist(), ends[last:].tolist(), strict=True)
+    return majority(np.fromiter((hashed(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - last))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Fingerprint of shingle hashes, repeats included: a bit is 1 if it is set in over half of them; 0 without any."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        h = hashes[at : at + _CHUNK].astype("<u8")
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,21 +71,24 @@ def _syndrome(half: Column) -> Column:
     return out.cast("int")
 
 
+def anchors(rows: DataFrame) -> DataFrame:
+    """`rows` with home_anchor, the anchor within one bit of their column half (31 bits), and near, all others within two bits."""
+    flip = "shiftleft(1L, {} - 1)"
+    near = F.expr(f"transform(filter(sequence(1, 31), i -> (i ^ s) > i), i -> half ^ {flip.format('i')} ^ {flip.format('(i ^ s)')})")
+    home = F.when(F.col("s") == 0, F.col("half")).otherwise(F.expr("half ^ shiftleft(1L, s - 1)"))
+    return rows.withColumn("s", _syndrome(F.col("half"))).withColumns({"home_anchor": home, "near": near}).drop("s")
+
+
 def _replicas(distinct: DataFrame) -> DataFrame:
     """(anchor, fp, home): each fingerprint at the anchors within radius + threshold, in both halves."""
     halves = distinct.select(
         "fp",
         F.explode(F.array(
-            F.struct(F.lit(0).alias("side"), F.col("fp").bitwiseAND(F.lit(_MASK31)).alias("half")),
-            F.struct(F.lit(1).alias("side"), F.shiftrightunsigned("fp", 32).bitwiseAND(F.lit(_MASK31)).alias("half")),
+            F.struct(F.lit(0).alias("side"), F.col("fp").bitwiseAND(F.lit(MASK31)).alias("half")),
+            F.struct(F.lit(1).alias("side"), F.shiftrightunsigned("fp", 32).bitwiseAND(F.lit(MASK31)).alias("half")),
         )).alias("h"),
     ).select("fp", "h.side", "h.half")
-    halves = halves.withColumn("s", _syndrome(F.col("half")))
-    flip = "shiftleft(1L, {} - 1)"
-    near = F.expr(f"transform(filter(sequence(1, 31), i -> (i ^ s) > i), i -> half ^ {flip.format('i')} ^ {flip.format('(i ^ s)')})")
-    home = F.when(F.col("s") == 0, F.col("half")).otherwise(F.expr("half ^ shiftleft(1L, s - 1)"))
-    parts = halves.select("fp", "side", home.alias("home_anchor"), near.alias("near"))
-    parts = parts.select("fp", "side", "home_anchor", F.explode(F.concat(F.array("home_anchor"), "near")).alias("a"))
+    parts = anchors(halves).select("fp", "side", "home_anchor", F.explode(F.concat(F.array("home_anchor"), "near")).alias("a"))
     return parts.select((F.col("a") * 2 + F.col("side")).alias("anchor"), "fp", (F.col("a") == F.col("home_anchor")).alias("home"))
 
 

@@ -1,16 +1,27 @@
 """Near duplicates of the pipeline: all documents linked whose word shingles have a Jaccard similarity of 0.8 or more.
 
-The join is exact. Texts with the same set of shingles are one node. Shingles are put in one
-order for all nodes, the common ones (counted in a tenth of the documents) last; two sets of
-similarity t share one of their first n - ceil(t n) + 1 shingles, so only nodes that meet at
-such a shingle are compared. A pair is dropped early by size, and by a bitmap of the parity of
-shingles per bit: it differs in at most as many bits as the sets differ in shingles. A second
-bitmap, as long as the set needs, drops most other pairs; what is left is checked on the whole sets.
-
-A large group of near copies meets at one shingle with all its members. Each member is first
-checked against the smallest one there; then only pairs are listed that lie in different
-components, so a group isn't compared with itself pair by pair. Nothing is capped: the order
-of shingles decides how many pairs are looked at, not which are found.
+The method is op2's, anchor-point covering of Hamming fingerprints (`simhash.py`), with exact
+checks of the pairs it finds. Texts with the same set of shingles are one node.
+
+1. SimHash fingerprints of the shingles at two or fewer differing bits, by op2's anchors.
+2. A SimHash gives no bound for a Jaccard similarity, so the covering goes on with long
+   fingerprints that do. Shingles are dealt by their hash over the segments of a set, and each
+   segment has 31 bits: the parity of its shingles at each bit. Two sets of similarity t, the
+   smaller one of n shingles, differ in at most D = n (1 - t) / t shingles. 16 segments are a
+   block; of D / 32 + 1 blocks one differs in at most 31 shingles, and in one of its segments
+   in at most one, hence in at most one bit. Segments go to the anchors of the Hamming code
+   [31, 26] within radius 1 + threshold 1, and home members are compared with replicas there,
+   by 256 bits of the block, which differ in no more than its share of what the sets may. The number of segments follows from the power of two above the size;
+   a set that a smaller one of the class below can match is dealt for that class as well. No link is lost.
+
+A document that no other one can match takes no part in that: in one order of all shingles,
+the common ones (counted in a tenth of the documents) last, two sets of similarity t share k of
+their first n - ceil(t n) + k shingles.
+
+A large group of near copies meets at the same anchors with all its members. Members are first
+checked against one home member of an anchor, and only pairs in different components are
+listed after that, so a group isn't compared with itself pair by pair, and the links that are
+found join components, not members. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -23,41 +34,68 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, let_go, map_texts, spread_join
-from .simhash import components
+from . import simhash
+from .common import checkpointed, let_go, map_texts, spread_join, stored
+from .simhash import anchors, components
 
 SEED = 42
 _WORDS = 8
 _EPS = 1e-9
 #: Common shingles that are told to all tasks; up to so many ids are broadcast.
 _COMMON = _BROADCAST = 200_000
+#: Turns of checks against one member of an anchor; replicas of segments that are joined at once.
+_TURNS, _SLICE = 2, 10_000_000
+#: Segments of a block, and 64-bit words of it to check.
+_BLOCK, _CHECK = 16, 4
+_WORD = [f"w{i}" for i in range(_CHECK)]
 
 
-def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the word shingles of a text, ASCII-lower-cased; none without words."""
+def _shingles(text: bytes, width: int) -> np.ndarray:
+    """Unsigned 64-bit hashes of the word shingles of a text, ASCII-lower-cased, repeats included; none without words."""
     words = text.lower().split()
     if not words:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = min(width, len(words)) - 1
     spans = zip(starts[: len(words) - last].tolist(), ends[last:].tolist(), strict=True)
-    return np.unique(np.fromiter((hashed(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - last)).view(np.int64)
+    return np.fromiter((hashed(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - last)
+
+
+def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
+    """Sorted hashes of the shingles of a text, each once."""
+    return np.unique(_shingles(text, width)).view(np.int64)
 
 
 def _node(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
 
-def _bitmap(shingles: np.ndarray, words: int = _WORDS) -> list[int]:
-    odd = np.bincount((shingles.view(np.uint64) >> np.uint64(32)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
+def _bitmap(shingles: np.ndarray) -> list[int]:
+    odd = np.bincount((shingles.view(np.uint64) >> np.uint64(32)).astype(np.int64) % (64 * _WORDS), minlength=64 * _WORDS) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
-def _wide(shingles: np.ndarray) -> list[int]:
-    """Bitmap of two bits or more for each shingle; its number of words is a power of two."""
-    return _bitmap(shingles, 1 << max(0, (len(shingles) - 1) // 32).bit_length())
+def _apart(size: int, threshold: float) -> int:
+    """In how many shingles a set of less than 2**size and a larger one can differ."""
+    return int(((1 << size) - 1) * (1 - threshold) / threshold + _EPS)
+
+
+def _segments(shingles: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """(segment, half, *words): the number of each segment with its class, its 31 bits, and 256 bits of its block of segments."""
+    n, h = len(shingles), shingles.view(np.uint64)
+    found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * (2 + _CHECK)]
+    for size in {n.bit_length(), int(np.ceil(threshold * n - _EPS)).bit_length()} if n else ():
+        apart = _apart(size, threshold)
+        many = apart // 2 + 1 if apart < 2 * _BLOCK else (apart // (2 * _BLOCK) + 1) * _BLOCK
+        at = (h % np.uint64(many)).astype(np.int64)
+        half, check = np.zeros(many, np.uint64), np.zeros((_CHECK, many // _BLOCK + 1), np.uint64)
+        np.bitwise_xor.at(half, at, np.uint64(1) << (h >> np.uint64(24)) % np.uint64(31))
+        np.bitwise_xor.at(check, ((h >> np.uint64(52)).astype(np.int64) % _CHECK, at // _BLOCK), np.uint64(1) << (h >> np.uint64(58)))
+        part = np.arange(many, dtype=np.int64)
+        found.append(((size << 26) + part, half.view(np.int64), *check[:, part // _BLOCK].view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _common_shingles(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +109,18 @@ def _common_shingles(docs: DataFrame, width: int, id_col: str, text_col: str) ->
     return values[order], n[order]
 
 
+def _shared(n: int) -> int:
+    """How many of the first shingles two sets must share, the smaller one of n."""
+    return max(1, n // 10)
+
+
 def _prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
     values, counts = common
     rank = np.zeros(len(shingles), np.int64)
     if len(values):
         at = np.minimum(np.searchsorted(values, shingles), len(values) - 1)
         rank = np.where(values[at] == shingles, counts[at], 0)
-    length = len(shingles) - int(np.ceil(threshold * len(shingles) - _EPS)) + 1 if len(shingles) else 0
+    length = len(shingles) - int(np.ceil(threshold * len(shingles) - _EPS)) + _shared(len(shingles)) if len(shingles) else 0
     return shingles[np.lexsort((shingles, rank))[:length]]
 
 
@@ -88,39 +131,90 @@ def _may_be(a: str, b: str, threshold: float) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * threshold - _EPS) & (apart <= (n + m) * ((1 - threshold) / (1 + threshold)) + _EPS)
 
 
-def _may_be_wide(a: str, b: str, threshold: float) -> Column:
-    """The same by the wide bitmaps; the longer one is folded, as sizes within the threshold are at most a power of two apart."""
-    fold = lambda x, k: f"({x}.wide[i] ^ if(size({x}.wide) > {k}, {x}.wide[i + {k}], 0L))"
-    k = f"least(size({a}.wide), size({b}.wide))"
-    apart = F.expr(f"aggregate(sequence(0, {k} - 1), 0, (s, i) -> s + cast(bit_count({fold(a, k)} ^ {fold(b, k)}) as int))")
-    return apart <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * ((1 - threshold) / (1 + threshold)) + _EPS
-
-
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= _BROADCAST else df
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, width: int, id_col: str, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets reach the threshold."""
-    wide = nodes.select("node", "n", "wide")
-    pairs = pairs.join(wide.alias("v"), F.col("a") == F.col("v.node")).join(wide.alias("w"), F.col("b") == F.col("w.node"))
-    pairs = checkpointed(pairs.filter(_may_be_wide("v", "w", threshold)).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = checkpointed(nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias(id_col)).distinct())
-    texts = docs.select(id_col, text_col).join(_small(ids), id_col, "left_semi")
-
-    def work(batch: Sequence[bytes]) -> dict[str, Sequence]:
-        sets = [shingle_set(t, width) for t in batch]
-        return {"node": [_node(s) for s in sets], "s": sets}
-
-    sets = checkpointed(map_texts(texts, work, "node long, s array<long>", id_col=id_col, text_col=text_col).select("node", "s"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    pairs = pairs.distinct()
+    sides = sets.select("node", "n", "bits")
+    near = pairs.join(sides.alias("x"), F.col("a") == F.col("x.node")).join(sides.alias("y"), F.col("b") == F.col("y.node"))
+    near = checkpointed(near.filter(_may_be("x", "y", threshold)).select("a", "b"))
+    both = near
+    for end in "ab":
+        both = spread_join(both, sets.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")), end, near.groupBy(end).agg(F.count("*").alias("n")))
     same = F.size(F.array_intersect("sa", "sb"))
-    found = checkpointed(both.filter(same >= (F.size("sa") + F.size("sb") - same) * threshold - _EPS).select("a", "b").distinct())
-    let_go(docs.sparkSession)
+    found = checkpointed(both.filter(same >= (F.size("sa") + F.size("sb") - same) * threshold - _EPS).select("a", "b"))
+    let_go(pairs.sparkSession)
     return found
 
 
+def _joined(own: DataFrame, links: DataFrame) -> DataFrame:
+    """own (node, root) after links (a, b) between nodes have joined components."""
+    left, right = own.select(F.col("node").alias("a"), F.col("root").alias("ra")), own.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    edges = checkpointed(links.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b").distinct())
+    if edges.isEmpty():
+        return own
+    moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    counts = own.groupBy("root").agg(F.count("*").alias("n"))
+    keyed = counts.select("root").join(moved, "root", "left").select("root", F.coalesce("to", "root").alias("to"))
+    now = checkpointed(spread_join(own, keyed, "root", counts).select("node", F.col("to").alias("root")))
+    let_go(links.sparkSession)
+    return now
+
+
+def _printed(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp) that SimHash links: each with the smallest one of its fingerprint, and those of linked fingerprints."""
+    least = checkpointed(prints.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    near = simhash.links(least.select("fp"))
+    x, y = least.select(F.col("fp").alias("a"), F.col("least").alias("x")), least.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+    same = spread_join(prints, least.filter("n > 1").select("fp", "least"), "fp", least.select("fp", "n")).filter("node <> least")
+    return near.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).union(same.select(F.col("least").alias("a"), F.col("node").alias("b")))
+
+
+def _placed(sets: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, n, segment, half, *words, root, home_anchor, near): every segment of every set with its anchors."""
+    return anchors(sets.select("node", "n", F.inline(F.arrays_zip("segment", "half", *_WORD))).join(own, "node"))
+
+
+def _anchor(a: str) -> Column:
+    return F.col("segment") * (1 << 31) + F.col(a)
+
+
+def _few(threshold: float) -> Column:
+    """Whether sizes and blocks of the sides x and y at one anchor leave room for the threshold: the block that differs least has a block's share of what differs at most."""
+    apart = " + ".join(f"bit_count(x.{w} ^ y.{w})" for w in _WORD)
+    blocks = f"(floor(floor((shiftleft(1L, cast(shiftright(x.anchor, 57) as int)) - 1) * {(1 - threshold) / threshold!r}D + {_EPS!r}D) / {2 * _BLOCK}) + 1)"
+    sizes = F.expr(f"least(x.n, y.n) >= greatest(x.n, y.n) * {threshold!r}D - {_EPS!r}D")
+    return sizes & F.expr(f"({apart}) * {blocks} <= (x.n + y.n) * {(1 - threshold) / (1 + threshold)!r}D + {_EPS!r}D")
+
+
+def _at_pivots(sets: DataFrame, own: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """Pairs (a, b) in different components: a home member of an anchor with one of its home members, in every turn another."""
+    homes = _placed(sets, own).select(_anchor("home_anchor").alias("anchor"), "node", "n", "root", *_WORD)
+    by = F.xxhash64("node", F.lit(turn)) if turn == 0 else F.xxhash64("node", "anchor", F.lit(turn))
+    pivots = homes.groupBy("anchor").agg(F.min_by(F.struct("node", "n", "root", *_WORD), by).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    x, y = homes.alias("x"), pivots.select("anchor", "p.*").alias("y")
+    met = x.join(y, (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.root") != F.col("y.root")) & _few(threshold)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
+    # at first one partner a node: most groups are whole after that
+    return met.groupBy("b").agg(F.min_by("a", F.xxhash64("a", F.lit(turn))).alias("a")).select("a", "b") if turn == 0 else met.distinct()
+
+
+def _at_anchors(sets: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of a home member of an anchor and a replica there within one bit that are in different components."""
+    total = sets.agg(F.sum(F.size("segment"))).first()[0] or 0
+    slices, found = 1 + total * 16 // _SLICE, []
+    for i in range(slices):
+        rows = _placed(sets.withColumn("segment", F.expr(f"transform(segment, s -> if(s % {slices} = {i}, s, null))")), own).filter("segment is not null")
+        homes = rows.select(_anchor("home_anchor").alias("anchor"), "node", "n", "root", *_WORD).alias("x")
+        replicas = rows.select("segment", "node", "n", "root", *_WORD, F.explode(F.concat(F.array("home_anchor"), "near")).alias("a")).select(_anchor("a").alias("anchor"), "node", "n", "root", *_WORD).alias("y")
+        met = homes.join(replicas, (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.root") != F.col("y.root")) & _few(threshold))
+        found.append(checkpointed(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()))
+        let_go(sets.sparkSession)
+    return reduce(DataFrame.union, found)
+
+
 def similar_groups(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component): component is the smallest id reachable over links, for every row with an id.
 
@@ -133,36 +227,36 @@ def similar_groups(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, i
     common = _common_shingles(docs, width, id_col, text_col)
 
     def work(texts: Sequence[bytes]) -> dict[str, Sequence]:
-        sets = [shingle_set(t, width) for t in texts]
-        return {"node": [_node(s) for s in sets], "n": [len(s) for s in sets], "bits": [_bitmap(s) for s in sets], "wide": [_wide(s) for s in sets], "prefix": [_prefix(s, common, threshold) for s in sets]}
-
-    marked = checkpointed(map_texts(docs, work, "node long, n int, bits array<long>, wide array<long>, prefix array<long>", id_col=id_col, text_col=text_col))
-    # rows of a node have the same shingles, so the same bitmaps and prefix
-    nodes = checkpointed(marked.groupBy("node").agg(F.min(id_col).alias("rep"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("n", "bits", "wide", "prefix")]))
-    sides = nodes.select("node", "n", "bits")
-    posted = nodes.select("node", F.explode("prefix").alias("shingle"))
-    met = posted.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("pivot")).filter("k > 1").select("shingle", "pivot")
-    met = checkpointed(posted.join(met, "shingle"))
+        every = [_shingles(t, width) for t in texts]
+        sets = [np.unique(h).view(np.int64) for h in every]
+        return {"node": [_node(s) for s in sets], "n": [len(s) for s in sets], "fp": [simhash.majority(h) for h in every], "prefix": [_prefix(s, common, threshold) for s in sets], "need": [_shared(int(np.ceil(threshold * len(s) - _EPS))) for s in sets]}
+
+    marked = checkpointed(map_texts(docs, work, "node long, n int, fp long, prefix array<long>, need int", id_col=id_col, text_col=text_col))
+    # rows of a node have the same shingles, so the same prefix; fingerprints may differ by repeats
+    nodes = checkpointed(marked.groupBy("node").agg(F.min(id_col).alias("rep"), F.count("*").alias("rows"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("prefix", "need")]))
+    posted = nodes.select("node", "need", F.explode("prefix").alias("shingle"))
+    met = posted.join(posted.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select("shingle"), "shingle")
+    close = met.groupBy("node").agg(F.count("*").alias("k"), F.first("need").alias("need")).filter("k >= need").select("node")
+    close = checkpointed(nodes.select("node", "rep", "fp").join(close, "node"))
     let_go(docs.sparkSession)
 
-    near = met.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    near = near.join(sides.alias("x"), F.col("a") == F.col("x.node")).join(sides.alias("y"), F.col("b") == F.col("y.node")).filter(_may_be("x", "y", threshold)).select("a", "b")
-    links = _verified(near, nodes, docs, threshold, width, id_col, text_col)
+    def cut(texts: Sequence[bytes]) -> dict[str, Sequence]:
+        sets = [shingle_set(t, width) for t in texts]
+        parts = [_segments(s, threshold) for s in sets]
+        return {"node": [_node(s) for s in sets], "n": [len(s) for s in sets], "s": sets, "bits": [_bitmap(s) for s in sets], "segment": [p[0] for p in parts], "half": [p[1] for p in parts], **{w: [p[2 + i] for p in parts] for i, w in enumerate(_WORD)}}
 
-    roots = components(links)
+    texts = docs.select(id_col, text_col).join(_small(close.select(F.col("rep").alias(id_col)).distinct()), id_col, "left_semi")
+    sets = map_texts(texts, cut, "node long, n int, s array<long>, bits array<long>, segment array<long>, half array<long>, " + ", ".join(f"{w} array<long>" for w in _WORD), id_col=id_col, text_col=text_col)
+    sets = stored(sets.drop(id_col).join(_small(close.select("node")), "node", "left_semi").dropDuplicates(["node"]), "shingle_sets")
     let_go(docs.sparkSession)
-    placed = met.join(roots.select("node", F.col("root").alias("own")), "node", "left").join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("main")), "pivot", "left")
-    placed = placed.select("shingle", "node", F.coalesce("own", "node").alias("own"), F.coalesce("main", "pivot").alias("main"))
-    away = checkpointed(placed.filter("own <> main").join(sides, "node"))
-    there = placed.join(away.select("shingle").distinct(), "shingle", "left_semi").join(sides, "node")
-    x, y = away.alias("x"), there.alias("y")
-    # each pair once: both away from the main component, or one of them in it
-    once = (F.col("y.own") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    rest = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.own") != F.col("y.own")) & once & _may_be("x", "y", threshold))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = links.union(_verified(rest, nodes, docs, threshold, width, id_col, text_col))
-
-    tied = checkpointed(components(links).join(nodes.select("node", "rep"), "node"))
+
+    own = close.select("node", F.col("node").alias("root"))
+    own = _joined(own, _verified(_printed(close.select("node", "fp")), sets, threshold))
+    for turn in range(_TURNS):
+        own = _joined(own, _verified(_at_pivots(sets, own, threshold, turn), sets, threshold))
+    own = _joined(own, _verified(_at_anchors(sets, own, threshold), sets, threshold))
+
+    tied = checkpointed(own.join(close.select("node", "rep"), "node"))
     let_go(docs.sparkSession)
     least = tied.groupBy("root").agg(F.min("rep").alias("lowest"), F.count("*").alias("n"))
     named = spread_join(tied, least.drop("n"), "root", least).select("node", "lowest")

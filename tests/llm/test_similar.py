@@ -4,8 +4,9 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 import pytest
-from meterlake.llm import similar
+from meterlake.llm import simhash, similar
 
 
 def all_pairs(rows, least=0.8):
@@ -64,3 +65,43 @@ def test_all_pairs_of_the_threshold_are_found(spark, rows):
     kept = corpus_pipeline.near_duplicates(spark, more, "")
     assert sorted((r["doc_id"] for r in kept.collect()), key=lambda d: -1 if d is None else d) == [None, *sorted(set(want.values()))]
     assert corpus_pipeline.near_duplicates(spark, docs.filter("false"), "").count() == 0
+
+
+def test_sets_within_the_threshold_meet_at_a_segment():
+    """One block differs in no more than its share, and one of its segments in at most one bit."""
+    rng = np.random.default_rng(4)
+    ones = lambda x: bin(x % 2**64).count("1")
+    tried = 0
+    for _ in range(3000):
+        n = int(2 ** rng.uniform(0, 9))
+        made = rng.integers(-(2**63), 2**63, 2 * n)
+        gone, new = (int(rng.integers(0, n // 4 + 1)) for _ in range(2))
+        if n - gone < 0.8 * (n + new):
+            continue
+        tried += 1
+        x, y = ({k: (half, words) for k, half, *words in zip(*(c.tolist() for c in similar._segments(np.sort(s), 0.8)), strict=True)} for s in (made[:n], made[gone : n + new]))
+        met = [k for k in x.keys() & y.keys() if ones(x[k][0] ^ y[k][0]) <= 1]
+        share = lambda k: (n + n - gone + new) / 9 / (similar._apart(k >> 26, 0.8) // 32 + 1)
+        assert any(sum(ones(a ^ b) for a, b in zip(x[k][1], y[k][1], strict=True)) <= share(k) + 1e-9 for k in met)
+    assert tried > 500
+
+
+def test_links_within_a_large_group_are_not_listed_pair_by_pair(spark, monkeypatch):
+    """Copies link that share one of their two edits: the pairs are many times the members, what components are made of is not."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    texts = [" ".join([*base[:20], f"a{i}", *base[21:70], f"b{j}", *base[71:]]) for i in range(15) for j in range(8)]
+    rows, seen, real = list(enumerate(texts)), [], similar.components
+    monkeypatch.setattr(similar, "components", lambda edges: seen.append(edges.count()) or real(edges))
+    got = similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component"] for r in got.collect()} == all_pairs(rows) == dict.fromkeys(range(120), 0)
+    assert sum(seen) <= 2 * len(rows)
+
+
+def test_candidates_come_from_simhash_anchors(spark, monkeypatch, rows):
+    """Without pairs from op2's anchors there are no links but equal sets."""
+    monkeypatch.setattr(similar, "anchors", lambda rows: simhash.anchors(rows).filter("false"))
+    monkeypatch.setattr(simhash, "links", lambda prints: spark.createDataFrame([], "a long, b long"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = {similar._node(similar.shingle_set((t or "").encode())) for _, t in rows}
+    assert similar.similar_groups(docs).select("component").distinct().count() == len(nodes)
