@@ -30,9 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read back, with its lineage cut."""
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df` written to the shared checkpoint folder and read back, with its lineage cut.
+
+    With about so many narrow rows it lies in no more files than they need, whatever the number of shuffle partitions.
+    """
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(4 + rows // 20_000)
     return df.checkpoint(eager=True)
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hot_above, map_texts, spread_join
+from .common import checkpointed, hot_above, let_go, map_texts, spread_join
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -134,11 +134,12 @@ def components(edges: DataFrame) -> DataFrame:
         upper = both.filter("b > a")
         # a root has the edges to all of its component; the larger end of an edge has few to smaller ones
         hub = before[2] > hot_above(before[0])
-        large = spread_join(upper, checkpointed(low), "a", now.groupBy(F.col("b").alias("a")).agg(F.count("*").alias("n"))) if hub else upper.join(low, "a")
-        large = checkpointed(large.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
+        large = spread_join(upper, checkpointed(low, before[0]), "a", now.groupBy(F.col("b").alias("a")).agg(F.count("*").alias("n"))) if hub else upper.join(low, "a")
+        large = checkpointed(large.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct(), before[0])
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").union(low.select("a", F.col("m").alias("b")))
-        now = checkpointed(small.distinct())
+        now = checkpointed(small.distinct(), 2 * before[0])
+        let_go(edges.sparkSession)
         after = mark(now)
         if after[:2] == before[:2]:
             break

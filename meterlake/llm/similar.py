@@ -153,20 +153,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def _joined(own: DataFrame, links: DataFrame) -> DataFrame:
     """own (node, root) after links (a, b) between nodes have joined components."""
     left, right = own.select(F.col("node").alias("a"), F.col("root").alias("ra")), own.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    edges = checkpointed(links.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b").distinct())
+    many = own.count()
+    edges = checkpointed(links.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b").distinct(), many)
     if edges.isEmpty():
         return own
     moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
     counts = own.groupBy("root").agg(F.count("*").alias("n"))
     keyed = counts.select("root").join(moved, "root", "left").select("root", F.coalesce("to", "root").alias("to"))
-    now = checkpointed(spread_join(own, keyed, "root", counts).select("node", F.col("to").alias("root")))
+    now = checkpointed(spread_join(own, keyed, "root", counts).select("node", F.col("to").alias("root")), many)
     let_go(links.sparkSession)
     return now
 
 
 def _printed(prints: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes (node, fp) that SimHash links: each with the smallest one of its fingerprint, and those of linked fingerprints."""
-    least = checkpointed(prints.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    least = checkpointed(prints.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), prints.count())
     near = simhash.links(least.select("fp"))
     x, y = least.select(F.col("fp").alias("a"), F.col("least").alias("x")), least.select(F.col("fp").alias("b"), F.col("least").alias("y"))
     same = spread_join(prints, least.filter("n > 1").select("fp", "least"), "fp", least.select("fp", "n")).filter("node <> least")
@@ -238,6 +239,7 @@ def similar_groups(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, i
     met = posted.join(posted.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select("shingle"), "shingle")
     close = met.groupBy("node").agg(F.count("*").alias("k"), F.first("need").alias("need")).filter("k >= need").select("node")
     close = checkpointed(nodes.select("node", "rep", "fp").join(close, "node"))
+    close = close.coalesce(4 + close.count() // 20_000)
     let_go(docs.sparkSession)
 
     def cut(texts: Sequence[bytes]) -> dict[str, Sequence]:
