@@ -48,6 +48,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Delete the files of a table that `stored` wrote, once nothing reads it any more."""
+    jvm, folders = df.sparkSession.sparkContext._jvm, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let_go(spark: SparkSession) -> None:
     """Free what finished steps have left: Spark removes the shuffle files and broadcasts of plans once the driver's JVM has collected those plans."""
     spark.sparkContext._jvm.System.gc()

@@ -11,21 +11,24 @@ checks of the pairs it finds. Texts with the same set of shingles are one node.
    block; of D / 32 + 1 blocks one differs in at most 31 shingles, and in one of its segments
    in at most one, hence in at most one bit. Segments go to the anchors of the Hamming code
    [31, 26] within radius 1 + threshold 1, and home members are compared with replicas there,
-   by 256 bits of the block, which differ in no more than its share of what the sets may. The number of segments follows from the power of two above the size;
+   by the bits of the block, which differ in no more than its share of what the sets may. A row carries the segments of its
+   block, so a pair is made at the first segment of a block that it meets at, and not at the others. The number of segments follows from the power of two above the size;
    a set that a smaller one of the class below can match is dealt for that class as well. No link is lost.
 
 A document that no other one can match takes no part in that: in one order of all shingles,
 the common ones (counted in a tenth of the documents) last, two sets of similarity t share k of
-their first n - ceil(t n) + k shingles.
+their first n - ceil(t n) + k shingles. Once components are known, only shingles that two of
+them hold count for that, so documents whose links are all found drop out before the next step.
 
 A large group of near copies meets at the same anchors with all its members. Members are first
-checked against one home member of an anchor, and only pairs in different components are
-listed after that, so a group isn't compared with itself pair by pair, and the links that are
-found join components, not members. Nothing is capped.
+checked against one home member of an anchor, at a few segments of each block, and only pairs in
+different components are listed after that, at all segments, so a group isn't compared with
+itself pair by pair, and the links that are found join components, not members. Nothing is capped.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Sequence
 from functools import reduce
 
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpointed, let_go, map_texts, spread_join, stored
+from .common import checkpointed, let_go, map_texts, removed, spread_join, stored
 from .simhash import anchors, components
 
 SEED = 42
@@ -43,10 +46,12 @@ _WORDS = 8
 _EPS = 1e-9
 #: Common shingles that are told to all tasks; up to so many ids are broadcast.
 _COMMON = _BROADCAST = 200_000
-#: Turns of checks against one member of an anchor; replicas of segments that are joined at once.
-_TURNS, _SLICE = 2, 10_000_000
-#: Segments of a block, and 64-bit words of it to check.
-_BLOCK, _CHECK = 16, 4
+#: Segments j of a block at which a turn checks against one member of an anchor.
+_TURNS = ("j % 8 = 0", "j % 4 = 1")
+#: Replicas of segments that are joined at once, as long as that takes no more than so many slices.
+_SLICE, _SLICES = 5_000_000, 16
+#: Segments of a block, and the 64-bit words that hold them, two in each.
+_BLOCK, _CHECK = 16, 8
 _WORD = [f"w{i}" for i in range(_CHECK)]
 
 
@@ -83,21 +88,28 @@ def _apart(size: int, threshold: float) -> int:
 
 
 def _segments(shingles: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
-    """(segment, half, *words): the number of each segment with its class, its 31 bits, and 256 bits of its block of segments."""
+    """(segment, half, *words): the number of each segment with its class, its 31 bits, and all those of its block of segments."""
     n, h = len(shingles), shingles.view(np.uint64)
     found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * (2 + _CHECK)]
     for size in {n.bit_length(), int(np.ceil(threshold * n - _EPS)).bit_length()} if n else ():
         apart = _apart(size, threshold)
         many = apart // 2 + 1 if apart < 2 * _BLOCK else (apart // (2 * _BLOCK) + 1) * _BLOCK
         at = (h % np.uint64(many)).astype(np.int64)
-        half, check = np.zeros(many, np.uint64), np.zeros((_CHECK, many // _BLOCK + 1), np.uint64)
+        half = np.zeros(-(-many // _BLOCK) * _BLOCK, np.uint64)
         np.bitwise_xor.at(half, at, np.uint64(1) << (h >> np.uint64(24)) % np.uint64(31))
-        np.bitwise_xor.at(check, ((h >> np.uint64(52)).astype(np.int64) % _CHECK, at // _BLOCK), np.uint64(1) << (h >> np.uint64(58)))
+        words = (half[::2] | half[1::2] << np.uint64(32)).view(np.int64).reshape(-1, _CHECK)
         part = np.arange(many, dtype=np.int64)
-        found.append(((size << 26) + part, half.view(np.int64), *check[:, part // _BLOCK].view(np.int64)))
+        found.append(((size << 26) + part, half[:many].view(np.int64), *words[part // _BLOCK].T))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _blocks(shingles: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """(block, lanes, *words): the number of the first segment of each block, how many it has, and their bits."""
+    segment, _, *words = _segments(shingles, threshold)
+    first = np.flatnonzero(segment % _BLOCK == 0)
+    return segment[first], np.diff(np.append(first, len(segment))), *(w[first] for w in words)
+
+
 def _common_shingles(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are in more than one document of a tenth of them, and their counts."""
     sample = docs.filter(F.xxhash64(F.col(id_col).cast("string")) % 10 == 0)
@@ -142,8 +154,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     near = pairs.join(sides.alias("x"), F.col("a") == F.col("x.node")).join(sides.alias("y"), F.col("b") == F.col("y.node"))
     near = checkpointed(near.filter(_may_be("x", "y", threshold)).select("a", "b"))
     both = near
+    whole = sets.join(_small(near.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
     for end in "ab":
-        both = spread_join(both, sets.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")), end, near.groupBy(end).agg(F.count("*").alias("n")))
+        both = spread_join(both, whole.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")), end, near.groupBy(end).agg(F.count("*").alias("n")))
     same = F.size(F.array_intersect("sa", "sb"))
     found = checkpointed(both.filter(same >= (F.size("sa") + F.size("sb") - same) * threshold - _EPS).select("a", "b"))
     let_go(pairs.sparkSession)
@@ -174,9 +187,23 @@ def _printed(prints: DataFrame) -> DataFrame:
     return near.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).union(same.select(F.col("least").alias("a"), F.col("node").alias("b")))
 
 
-def _placed(sets: DataFrame, own: DataFrame) -> DataFrame:
-    """(node, n, segment, half, *words, root, home_anchor, near): every segment of every set with its anchors."""
-    return anchors(sets.select("node", "n", F.inline(F.arrays_zip("segment", "half", *_WORD))).join(own, "node"))
+def _open(close: DataFrame, own: DataFrame) -> DataFrame:
+    """The rows of own (node, root) that can have a link to another component: as many shingles of their prefixes as a link needs are in several components."""
+    posted = close.select("node", "need", F.explode("shared").alias("shingle")).join(own, "node")
+    several = posted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
+    left = posted.join(several, "shingle").groupBy("node").agg(F.count("*").alias("k"), F.first("need").alias("need"), F.first("root").alias("root"))
+    found = checkpointed(left.filter("k >= need").select("node", "root"), own.count())
+    let_go(close.sparkSession)
+    return found
+
+
+def _placed(sets: DataFrame, some: DataFrame, lanes: str = "true") -> DataFrame:
+    """(node, n, root, block, *words, segment, half, home_anchor, near): segments of the sets of some (node, root), those at the places j of their blocks for which `lanes` holds, with their anchors."""
+    blocks = sets.select("node", "n", "block", "lanes", *_WORD).join(_small(some), "node")
+    blocks = blocks.select("node", "n", "root", F.inline(F.arrays_zip("block", "lanes", *_WORD)))
+    half = f"shiftrightunsigned(element_at(array({', '.join(_WORD)}), cast(j div 2 as int) + 1), cast(j % 2 * 32 as int)) & {simhash.MASK31}L"
+    parts = F.expr(f"inline(transform(filter(sequence(0, lanes - 1), j -> {lanes}), j -> struct(block + j as segment, {half} as half)))")
+    return anchors(blocks.select("node", "n", "root", *_WORD, parts))
 
 
 def _anchor(a: str) -> Column:
@@ -184,16 +211,26 @@ def _anchor(a: str) -> Column:
 
 
 def _few(threshold: float) -> Column:
-    """Whether sizes and blocks of the sides x and y at one anchor leave room for the threshold: the block that differs least has a block's share of what differs at most."""
+    """Whether sizes and blocks of the sides x and y at one anchor leave room for the threshold: the block that differs least has a block's share of what differs at most.
+
+    The class is that of the smaller set; sets that are dealt for two classes meet in the other one as well.
+    """
     apart = " + ".join(f"bit_count(x.{w} ^ y.{w})" for w in _WORD)
     blocks = f"(floor(floor((shiftleft(1L, cast(shiftright(x.anchor, 57) as int)) - 1) * {(1 - threshold) / threshold!r}D + {_EPS!r}D) / {2 * _BLOCK}) + 1)"
-    sizes = F.expr(f"least(x.n, y.n) >= greatest(x.n, y.n) * {threshold!r}D - {_EPS!r}D")
+    sizes = F.expr(f"least(x.n, y.n) >= greatest(x.n, y.n) * {threshold!r}D - {_EPS!r}D and shiftright(least(x.n, y.n), cast(shiftright(x.anchor, 57) as int) - 1) = 1")
     return sizes & F.expr(f"({apart}) * {blocks} <= (x.n + y.n) * {(1 - threshold) / (1 + threshold)!r}D + {_EPS!r}D")
 
 
-def _at_pivots(sets: DataFrame, own: DataFrame, threshold: float, turn: int) -> DataFrame:
-    """Pairs (a, b) in different components: a home member of an anchor with one of its home members, in every turn another."""
-    homes = _placed(sets, own).select(_anchor("home_anchor").alias("anchor"), "node", "n", "root", *_WORD)
+def _first() -> Column:
+    """Whether no earlier segment of their block has the sides x and y within one bit, so that they are a pair at this one."""
+    bits = "bit_count(shiftrightunsigned(x.{w} ^ y.{w}, {by}) & {mask}L) > 1"
+    earlier = [f"(x.segment % {_BLOCK} <= {j} or " + bits.format(w=_WORD[j // 2], by=32 * (j % 2), mask=simhash.MASK31) + ")" for j in range(_BLOCK - 1)]
+    return F.expr(" and ".join(earlier))
+
+
+def _at_pivots(sets: DataFrame, some: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """Pairs (a, b) in different components: a home member of an anchor with one of its home members, in every turn another and at other segments."""
+    homes = _placed(sets, some, _TURNS[turn]).select(_anchor("home_anchor").alias("anchor"), "node", "n", "root", *_WORD)
     by = F.xxhash64("node", F.lit(turn)) if turn == 0 else F.xxhash64("node", "anchor", F.lit(turn))
     pivots = homes.groupBy("anchor").agg(F.min_by(F.struct("node", "n", "root", *_WORD), by).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     x, y = homes.alias("x"), pivots.select("anchor", "p.*").alias("y")
@@ -202,16 +239,22 @@ def _at_pivots(sets: DataFrame, own: DataFrame, threshold: float, turn: int) ->
     return met.groupBy("b").agg(F.min_by("a", F.xxhash64("a", F.lit(turn))).alias("a")).select("a", "b") if turn == 0 else met.distinct()
 
 
-def _at_anchors(sets: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) of a home member of an anchor and a replica there within one bit that are in different components."""
-    total = sets.agg(F.sum(F.size("segment"))).first()[0] or 0
-    slices, found = 1 + total * 16 // _SLICE, []
+def _pairs(sets: DataFrame, some: DataFrame, threshold: float, lanes: str = "true") -> DataFrame:
+    """(a, b): pairs in different components of a home member of an anchor and a replica there within one bit, each once in every block of its class that is close enough."""
+    rows = _placed(sets, some, lanes)
+    homes = rows.select(_anchor("home_anchor").alias("anchor"), "segment", "node", "n", "root", *_WORD).alias("x")
+    replicas = rows.select("segment", "node", "n", "root", *_WORD, F.explode(F.concat(F.array("home_anchor"), "near")).alias("a")).select(_anchor("a").alias("anchor"), "node", "n", "root", *_WORD).alias("y")
+    # either side of a pair has a replica at the home of the other
+    met = homes.join(replicas, (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _few(threshold) & _first())
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def _at_anchors(sets: DataFrame, some: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of `some` that meet at an anchor within one bit."""
+    total = sets.join(_small(some), "node", "left_semi").agg(F.sum(F.expr("aggregate(lanes, 0L, (a, n) -> a + n)"))).first()[0] or 0
+    slices, found = min(_SLICES, 1 + total * 16 // _SLICE), []
     for i in range(slices):
-        rows = _placed(sets.withColumn("segment", F.expr(f"transform(segment, s -> if(s % {slices} = {i}, s, null))")), own).filter("segment is not null")
-        homes = rows.select(_anchor("home_anchor").alias("anchor"), "node", "n", "root", *_WORD).alias("x")
-        replicas = rows.select("segment", "node", "n", "root", *_WORD, F.explode(F.concat(F.array("home_anchor"), "near")).alias("a")).select(_anchor("a").alias("anchor"), "node", "n", "root", *_WORD).alias("y")
-        met = homes.join(replicas, (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.root") != F.col("y.root")) & _few(threshold))
-        found.append(checkpointed(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()))
+        found.append(checkpointed(_pairs(sets, some, threshold, f"j % {slices} = {i}").distinct()))
         let_go(sets.sparkSession)
     return reduce(DataFrame.union, found)
 
@@ -235,30 +278,40 @@ def similar_groups(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, i
     marked = checkpointed(map_texts(docs, work, "node long, n int, fp long, prefix array<long>, need int", id_col=id_col, text_col=text_col))
     # rows of a node have the same shingles, so the same prefix; fingerprints may differ by repeats
     nodes = checkpointed(marked.groupBy("node").agg(F.min(id_col).alias("rep"), F.count("*").alias("rows"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("prefix", "need")]))
+    marked = checkpointed(marked.select(id_col, "node"))
+    gc.collect()
+    let_go(docs.sparkSession)
     posted = nodes.select("node", "need", F.explode("prefix").alias("shingle"))
     met = posted.join(posted.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select("shingle"), "shingle")
-    close = met.groupBy("node").agg(F.count("*").alias("k"), F.first("need").alias("need")).filter("k >= need").select("node")
+    close = met.groupBy("node").agg(F.collect_list("shingle").alias("shared"), F.first("need").alias("need")).filter(F.size("shared") >= F.col("need"))
     close = checkpointed(nodes.select("node", "rep", "fp").join(close, "node"))
     close = close.coalesce(4 + close.count() // 20_000)
+    # prefixes aren't needed any more
+    nodes = checkpointed(nodes.select("node", "rep", "rows"))
+    del posted, met
+    gc.collect()
     let_go(docs.sparkSession)
 
     def cut(texts: Sequence[bytes]) -> dict[str, Sequence]:
         sets = [shingle_set(t, width) for t in texts]
-        parts = [_segments(s, threshold) for s in sets]
-        return {"node": [_node(s) for s in sets], "n": [len(s) for s in sets], "s": sets, "bits": [_bitmap(s) for s in sets], "segment": [p[0] for p in parts], "half": [p[1] for p in parts], **{w: [p[2 + i] for p in parts] for i, w in enumerate(_WORD)}}
+        parts = [_blocks(s, threshold) for s in sets]
+        return {"node": [_node(s) for s in sets], "n": [len(s) for s in sets], "s": sets, "bits": [_bitmap(s) for s in sets], "block": [p[0] for p in parts], "lanes": [p[1] for p in parts], **{w: [p[2 + i] for p in parts] for i, w in enumerate(_WORD)}}
 
     texts = docs.select(id_col, text_col).join(_small(close.select(F.col("rep").alias(id_col)).distinct()), id_col, "left_semi")
-    sets = map_texts(texts, cut, "node long, n int, s array<long>, bits array<long>, segment array<long>, half array<long>, " + ", ".join(f"{w} array<long>" for w in _WORD), id_col=id_col, text_col=text_col)
+    sets = map_texts(texts, cut, "node long, n int, s array<long>, bits array<long>, block array<long>, lanes array<int>, " + ", ".join(f"{w} array<long>" for w in _WORD), id_col=id_col, text_col=text_col)
     sets = stored(sets.drop(id_col).join(_small(close.select("node")), "node", "left_semi").dropDuplicates(["node"]), "shingle_sets")
     let_go(docs.sparkSession)
 
     own = close.select("node", F.col("node").alias("root"))
     own = _joined(own, _verified(_printed(close.select("node", "fp")), sets, threshold))
-    for turn in range(_TURNS):
-        own = _joined(own, _verified(_at_pivots(sets, own, threshold, turn), sets, threshold))
-    own = _joined(own, _verified(_at_anchors(sets, own, threshold), sets, threshold))
+    for turn in range(len(_TURNS)):
+        own = _joined(own, _verified(_at_pivots(sets, _open(close, own), threshold, turn), sets, threshold))
+    own = _joined(own, _verified(_at_anchors(sets, _open(close, own), threshold), sets, threshold))
 
     tied = checkpointed(own.join(close.select("node", "rep"), "node"))
+    removed(sets)
+    del sets, close, own
+    gc.collect()
     let_go(docs.sparkSession)
     least = tied.groupBy("root").agg(F.min("rep").alias("lowest"), F.count("*").alias("n"))
     named = spread_join(tied, least.drop("n"), "root", least).select("node", "lowest")

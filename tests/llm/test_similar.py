@@ -105,3 +105,43 @@ def test_candidates_come_from_simhash_anchors(spark, monkeypatch, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     nodes = {similar._node(similar.shingle_set((t or "").encode())) for _, t in rows}
     assert similar.similar_groups(docs).select("component").distinct().count() == len(nodes)
+
+
+def _sets(spark, every):
+    """The table of sets that `similar` stores, of (node, shingles)."""
+    cut = [(node, len(s), *(x.tolist() for x in similar._blocks(np.sort(s), 0.8))) for node, s in every]
+    return spark.createDataFrame(cut, "node long, n int, block array<long>, lanes array<int>, " + ", ".join(f"{w} array<long>" for w in similar._WORD))
+
+
+def test_a_pair_is_made_at_one_segment_of_a_block(spark):
+    """A near copy shares most of its segments; that makes it one row a block, and all pairs within the threshold are made."""
+    rng = np.random.default_rng(8)
+    every, blocks = [], {}
+    for n in (1, 2, 9, 70, 110, 150, 300):
+        base = rng.integers(-(2**63), 2**63, n)
+        for gone in (0, 1, n // 24, n // 11):
+            every.append((len(every), np.concatenate((base[gone:], rng.integers(-(2**63), 2**63, gone)))))
+            blocks[len(every) - 1] = n
+    near = {(a, b) for a, x in every for b, y in every if a < b and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))}
+    own = spark.createDataFrame([(a, a) for a, _ in every], "node long, root long")
+    made = [tuple(r) for r in similar._pairs(_sets(spark, every), own, 0.8).collect()]
+    assert near - {p for p in near if np.array_equal(np.sort(every[p[0]][1]), np.sort(every[p[1]][1]))} <= set(made) and len(near) > 20
+    assert all(made.count(p) <= similar._apart(blocks[p[0]].bit_length(), 0.8) // 32 + 1 for p in made)
+
+
+def test_documents_whose_links_are_found_drop_out(spark):
+    close = spark.createDataFrame([(1, 2, [10, 11, 12]), (2, 2, [10, 11]), (3, 1, [12]), (4, 1, [13]), (5, 1, [13])], "node long, need int, shared array<long>")
+    left = lambda roots: sorted(r["node"] for r in similar._open(close, spark.createDataFrame(list(roots.items()), "node long, root long")).collect())
+    assert left({1: 1, 2: 2, 3: 3, 4: 4, 5: 5}) == [1, 2, 3, 4, 5]
+    assert left({1: 1, 2: 1, 3: 3, 4: 4, 5: 4}) == [3]
+    assert left({1: 1, 2: 1, 3: 1, 4: 4, 5: 4}) == []
+
+
+def test_stored_sets_are_gone_when_groups_are_known(spark, rows, monkeypatch):
+    written, real = [], similar.stored
+    monkeypatch.setattr(similar, "stored", lambda df, name: written.append(real(df, name)) or written[-1])
+    found = similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(written) == 1 and written[0].inputFiles()
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        written[0].collect()
+    assert found.count() == len(rows)
