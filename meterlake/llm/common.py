@@ -126,6 +126,13 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """The first column of Arrow batches, cut as `map_texts` does."""
+    for batch in batches:
+        for texts, _ in _slices(pa.RecordBatch.from_arrays([batch.column(0)] * 2, ["id", "text"])):
+            yield texts
+
+
 def _slices(batch: pa.RecordBatch, limit: int = 8_000_000) -> Iterator[tuple[pa.Array, pa.Array]]:
     ids, texts = batch.column(0), batch.column(1)
     start, size = 0, 0

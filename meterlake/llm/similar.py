@@ -15,10 +15,14 @@ checks of the pairs it finds. Texts with the same set of shingles are one node.
    block, so a pair is made at the first segment of a block that it meets at, and not at the others. The number of segments follows from the power of two above the size;
    a set that a smaller one of the class below can match is dealt for that class as well. No link is lost.
 
-A document that no other one can match takes no part in that: in one order of all shingles,
-the common ones (counted in a tenth of the documents) last, two sets of similarity t share k of
-their first n - ceil(t n) + k shingles. Once components are known, only shingles that two of
-them hold count for that, so documents whose links are all found drop out before the next step.
+A document that no other one can match takes no part in that. Anchors of the finest code (every
+value an anchor, radius 0) show which: shingles are dealt over some more segments than two sets
+can differ in shingles, D, so a set shares all of its segments that hold shingles but D with any
+set that it links to, value by value. Only the values go through the shuffle, packed by bucket,
+and come back where several sets hold them. A value stands for all shingles of a segment, so words
+that many documents have in common by chance don't add up with the size of the corpus. Once
+components are known, only values that two of them hold count, so documents whose links are all
+found drop out before the next step.
 
 A large group of near copies meets at the same anchors with all its members. Members are first
 checked against one home member of an anchor, at a few segments of each block, and only pairs in
@@ -29,23 +33,29 @@ itself pair by pair, and the links that are found join components, not members.
 from __future__ import annotations
 
 import gc
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpointed, let_go, map_texts, removed, spread_join, stored
+from .common import checkpointed, let_go, map_texts, removed, spread_join, stored, text_slices
 from .simhash import anchors, components
 
 SEED = 42
 _WORDS = 8
 _EPS = 1e-9
-#: Common shingles that are told to all tasks; up to so many ids are broadcast.
-_COMMON = _BROADCAST = 200_000
+#: Up to so many ids are broadcast.
+_BROADCAST = 200_000
+#: Values of segments that meet in one bucket, about.
+_MET = 2_000_000
+#: Least sizes of the classes of sets by which segments are dealt to leave documents out: steps of a quarter.
+_CLASSES = np.array(reduce(lambda found, _: [*found, max(found[-1] + 1, found[-1] * 5 // 4)], range(90), [1]))
 #: Segments j of a block at which a turn checks against one member of an anchor.
 _TURNS = ("j % 8 = 0", "j % 4 = 1")
 #: Replicas of segments that are joined at once, as long as that takes no more than so many slices.
@@ -110,30 +120,78 @@ def _blocks(shingles: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
     return segment[first], np.diff(np.append(first, len(segment))), *(w[first] for w in words)
 
 
-def _common_shingles(docs: DataFrame, width: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are in more than one document of a tenth of them, and their counts."""
-    sample = docs.filter(F.xxhash64(F.col(id_col).cast("string")) % 10 == 0)
-    sets = map_texts(sample, lambda texts: {"s": [shingle_set(t, width) for t in texts]}, "s array<long>", id_col=id_col, text_col=text_col)
-    counts = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    found = counts.orderBy(F.desc("n"), "h").limit(_COMMON).toArrow()
-    values, n = found.column("h").to_numpy(), found.column("n").to_numpy()
-    order = np.argsort(values)
-    return values[order], n[order]
+def _values(shingles: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
+    """Values of all segments that hold shingles, in each class, and how many of them a set shares at least with one it links to.
 
-
-def _shared(n: int) -> int:
-    """How many of the first shingles two sets must share, the smaller one of n."""
-    return max(1, n // 10)
-
-
-def _prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
-    values, counts = common
-    rank = np.zeros(len(shingles), np.int64)
-    if len(values):
-        at = np.minimum(np.searchsorted(values, shingles), len(values) - 1)
-        rank = np.where(values[at] == shingles, counts[at], 0)
-    length = len(shingles) - int(np.ceil(threshold * len(shingles) - _EPS)) + _shared(len(shingles)) if len(shingles) else 0
-    return shingles[np.lexsort((shingles, rank))[:length]]
+    A link's smaller set is in one of the classes from the least size that the threshold allows to
+    the set's own. At 0 or less nothing can be told from the values.
+    """
+    n, h = len(shingles), shingles.view(np.uint64)
+    found, need = [np.empty(0, np.uint64)], [] if n else [1]
+    low, high = np.searchsorted(_CLASSES, [int(np.ceil(threshold * n - _EPS)), n], side="right")
+    for size in range(low, high + 1) if n else ():
+        apart = int((_CLASSES[size] - 1) * (1 - threshold) / threshold + _EPS)
+        many = apart + apart * 3 // 8 + 4 if apart else 1
+        at = (h % np.uint64(many)).astype(np.int64)
+        sums = np.zeros(many, np.uint64)
+        np.add.at(sums, at, h)
+        part = np.flatnonzero(np.bincount(at, minlength=many))
+        value = (sums[part] ^ ((np.uint64(size) << np.uint64(32)) + part.astype(np.uint64))) * np.uint64(0x9E3779B97F4A7C15)
+        found.append(value ^ value >> np.uint64(29))
+        need.append(len(part) - apart)
+    return np.concatenate(found), min(need)
+
+
+def _packed(values: np.ndarray, buckets: int, **ends: np.ndarray) -> pa.RecordBatch:
+    """A row (bucket, key, *ends) for each bucket: arrays of the values there and of the other columns."""
+    bucket = (values % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    offsets = pa.array(np.append(starts, len(order)), pa.int32())
+    key = ((values // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    columns = {"bucket": pa.array(bucket[order][starts])} | {k: pa.ListArray.from_arrays(offsets, pa.array(x[order])) for k, x in ({"key": key} | ends).items()}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _several(rows: pa.Table, buckets: int) -> pa.Table:
+    """(node, shared): the values of each node in a bucket that several roots hold, each once; a node is its own root if there is no root."""
+    key, node, root = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("key", "node", "root" if "root" in rows.column_names else "node"))
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    order = order[np.append(same, False) | np.append(False, same)] if len(key) else order
+    order = order[np.lexsort((root[order], key[order]))]
+    first = np.flatnonzero(np.diff(key[order], prepend=key[order][:1] - 1)) if len(order) else order
+    sizes = np.diff(np.append(first, len(order)))
+    order = order[np.repeat(root[order[first]] != root[order[first + sizes - 1]], sizes)]
+    order = order[np.lexsort((key[order], node[order]))]
+    node, key = node[order], key[order]
+    new = np.append(True, node[1:] != node[:-1]) if len(node) else np.empty(0, bool)
+    once = new | np.append(True, key[1:] != key[:-1]) if len(node) else new
+    node, key, new = node[once], key[once], np.flatnonzero(new[once])
+    shared = key.view(np.uint32).astype(np.int64) * buckets + int(rows.column("bucket")[0].as_py())
+    return pa.table({"node": node[new], "shared": pa.ListArray.from_arrays(pa.array(np.append(new, len(node)), pa.int32()), pa.array(shared))})
+
+
+def _buckets(df: DataFrame, values: int) -> int:
+    """Buckets for so many values: one for each shuffle partition at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), values // _MET + 1)
+
+
+def _shared(posted: DataFrame, buckets: int) -> DataFrame:
+    """(node, shared): rows for each bucket, of the packed rows `posted`."""
+    return posted.groupBy("bucket").applyInArrow(lambda rows: _several(rows, buckets), "node long, shared array<long>")
+
+
+def _posted(docs: DataFrame, threshold: float, width: int, buckets: int, text_col: str) -> DataFrame:
+    """(bucket, key array, node array) of whole texts; a set that a batch holds again isn't posted again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in text_slices(batches):
+            sets = {_node(s): s for s in (shingle_set(t or b"", width) for t in texts.to_pylist())}
+            values = [_values(s, threshold)[0] for s in sets.values()]
+            yield _packed(np.concatenate(values), buckets, node=np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(v) for v in values]))
+
+    return docs.select(F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "bucket int, key array<int>, node array<long>")
 
 
 def _may_be(a: str, b: str, threshold: float) -> Column:
@@ -188,11 +246,19 @@ def _printed(prints: DataFrame) -> DataFrame:
 
 
 def _open(close: DataFrame, own: DataFrame) -> DataFrame:
-    """The rows of own (node, root) that can have a link to another component: as many shingles of their prefixes as a link needs are in several components."""
-    posted = close.select("node", "need", F.explode("shared").alias("shingle")).join(own, "node")
-    several = posted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle")
-    left = posted.join(several, "shingle").groupBy("node").agg(F.count("*").alias("k"), F.first("need").alias("need"), F.first("root").alias("root"))
-    found = checkpointed(left.filter("k >= need").select("node", "root"), own.count())
+    """The rows of own (node, root) that can have a link to another component: as many values of their segments as a link needs are in several components."""
+    buckets = _buckets(own, close.agg(F.sum(F.size("shared"))).first()[0] or 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, sizes = batch.column("shared").flatten().to_numpy(), pc.list_value_length(batch.column("shared")).to_numpy()
+            yield _packed(values.view(np.uint64), buckets, **{c: np.repeat(batch.column(c).to_numpy(), sizes) for c in ("node", "root")})
+
+    held = close.select("node", "shared").join(_small(own), "node").select("node", "root", "shared")
+    posted = held.mapInArrow(run, "bucket int, key array<int>, node array<long>, root array<long>")
+    left = _shared(posted, buckets).groupBy("node").agg(F.sum(F.size("shared")).alias("k"))
+    found = own.join(close.select("node", "need"), "node").join(left, "node", "left")
+    found = checkpointed(found.filter(F.coalesce("k", F.lit(0)) >= F.col("need")).select("node", "root"), own.count())
     let_go(close.sparkSession)
     return found
 
@@ -268,27 +334,22 @@ def similar_groups(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, i
     if threshold < 0.5:
         raise ValueError("bitmaps of sets more than twice as large as each other aren't comparable: threshold 0.5 at least")
     docs = docs.filter(F.col(id_col).isNotNull())
-    common = _common_shingles(docs, width, id_col, text_col)
 
     def work(texts: Sequence[bytes]) -> dict[str, Sequence]:
         every = [_shingles(t, width) for t in texts]
         sets = [np.unique(h).view(np.int64) for h in every]
-        return {"node": [_node(s) for s in sets], "n": [len(s) for s in sets], "fp": [simhash.majority(h) for h in every], "prefix": [_prefix(s, common, threshold) for s in sets], "need": [_shared(int(np.ceil(threshold * len(s) - _EPS))) for s in sets]}
-
-    marked = checkpointed(map_texts(docs, work, "node long, n int, fp long, prefix array<long>, need int", id_col=id_col, text_col=text_col))
-    # rows of a node have the same shingles, so the same prefix; fingerprints may differ by repeats
-    nodes = checkpointed(marked.groupBy("node").agg(F.min(id_col).alias("rep"), F.count("*").alias("rows"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("prefix", "need")]))
-    marked = checkpointed(marked.select(id_col, "node"))
-    gc.collect()
-    let_go(docs.sparkSession)
-    posted = nodes.select("node", "need", F.explode("prefix").alias("shingle"))
-    met = posted.join(posted.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1").select("shingle"), "shingle")
-    close = met.groupBy("node").agg(F.collect_list("shingle").alias("shared"), F.first("need").alias("need")).filter(F.size("shared") >= F.col("need"))
-    close = checkpointed(nodes.select("node", "rep", "fp").join(close, "node"))
+        return {"node": [_node(s) for s in sets], "n": [len(s) for s in sets], "fp": [simhash.majority(h) for h in every], "need": [_values(s, threshold)[1] for s in sets]}
+
+    marked = checkpointed(map_texts(docs, work, "node long, n int, fp long, need int", id_col=id_col, text_col=text_col))
+    rows, shingles = marked.agg(F.count("*"), F.sum("n")).first()
+    # rows of a node have the same shingles, so the same segments; fingerprints may differ by repeats
+    nodes = checkpointed(marked.groupBy("node").agg(F.min(id_col).alias("rep"), F.count("*").alias("rows"), F.min("fp").alias("fp"), F.first("need").alias("need")), rows)
+    buckets = _buckets(docs, shingles or 0)
+    met = _shared(_posted(docs, threshold, width, buckets, text_col), buckets).groupBy("node").agg(F.flatten(F.collect_list("shared")).alias("shared"))
+    close = nodes.join(met, "node", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<long>")))
+    close = checkpointed(close.filter(F.size("shared") >= F.col("need")).select("node", "rep", "fp", "need", "shared"))
     close = close.coalesce(4 + close.count() // 20_000)
-    # prefixes aren't needed any more
-    nodes = checkpointed(nodes.select("node", "rep", "rows"))
-    del posted, met
+    del met
     gc.collect()
     let_go(docs.sparkSession)
 
@@ -299,7 +360,11 @@ def similar_groups(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, i
 
     texts = docs.select(id_col, text_col).join(_small(close.select(F.col("rep").alias(id_col)).distinct()), id_col, "left_semi")
     sets = map_texts(texts, cut, "node long, n int, s array<long>, bits array<long>, block array<long>, lanes array<int>, " + ", ".join(f"{w} array<long>" for w in _WORD), id_col=id_col, text_col=text_col)
-    sets = stored(sets.drop(id_col).join(_small(close.select("node")), "node", "left_semi").dropDuplicates(["node"]), "shingle_sets")
+    sets = stored(sets.drop(id_col).join(_small(close.select("node")), "node", "left_semi"), "shingle_sets")
+    if sets.count() > sets.select("node").distinct().count():
+        # an id stands in several rows
+        sets, twice = stored(sets.dropDuplicates(["node"]), "shingle_sets"), sets
+        removed(twice)
     let_go(docs.sparkSession)
 
     own = close.select("node", F.col("node").alias("root"))

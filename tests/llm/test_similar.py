@@ -145,3 +145,31 @@ def test_stored_sets_are_gone_when_groups_are_known(spark, rows, monkeypatch):
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
         written[0].collect()
     assert found.count() == len(rows)
+
+
+def test_a_link_shares_as_many_values_of_segments_as_it_needs():
+    """Segments that hold no shingles don't count: sets of one length without a common shingle share none."""
+    rng = np.random.default_rng(6)
+    tried = 0
+    for _ in range(2000):
+        n = int(2 ** rng.uniform(0, 10))
+        made = rng.integers(-(2**63), 2**63, 2 * n)
+        gone, new = (int(rng.integers(0, n // 4 + 1)) for _ in range(2))
+        (x, need_x), (y, need_y), (other, _) = (similar._values(np.sort(s), 0.8) for s in (made[:n], made[gone : n + new], rng.integers(-(2**63), 2**63, n)))
+        assert not len(np.intersect1d(x, other))
+        if n - gone >= 0.8 * (n + new):
+            tried += 1
+            assert len(np.intersect1d(x, y)) >= max(need_x, need_y)
+    assert tried > 500
+
+
+def test_passages_shared_with_many_documents_keep_none_of_them_in_question(spark, monkeypatch):
+    """Every shingle of these documents but those across passages is in another one, each passage in a different one; none link."""
+    rng = random.Random(5)
+    passages = {(i, k): " ".join(f"w{rng.randrange(9000)}" for _ in range(20)) for i in range(40) for k in range(4)}
+    texts = [" ".join([passages[i, k] for k in range(4)] + [passages[(i + 3 * k + 1) % 40, k] for k in range(4)]) for i in range(40)]
+    rows, seen, real = list(enumerate(texts)), [], similar._printed
+    monkeypatch.setattr(similar, "_printed", lambda prints: seen.append(prints.count()) or real(prints))
+    got = similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component"] for r in got.collect()} == all_pairs(rows) == {i: i for i in range(40)}
+    assert seen == [0]
