@@ -52,8 +52,8 @@ _WORDS = 8
 _EPS = 1e-9
 #: Up to so many ids are broadcast.
 _BROADCAST = 200_000
-#: Values of segments that meet in one bucket, about.
-_MET = 2_000_000
+#: Values of segments that meet in one bucket, at most about; the least number of buckets.
+_MET, _BUCKETS = 1_000_000, 96
 #: Least sizes of the classes of sets by which segments are dealt to leave documents out: steps of a quarter.
 _CLASSES = np.array(reduce(lambda found, _: [*found, max(found[-1] + 1, found[-1] * 5 // 4)], range(90), [1]))
 #: Segments j of a block at which a turn checks against one member of an anchor.
@@ -174,12 +174,18 @@ def _several(rows: pa.Table, buckets: int) -> pa.Table:
 
 def _buckets(df: DataFrame, values: int) -> int:
     """Buckets for so many values: one for each shuffle partition at least."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), values // _MET + 1)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _BUCKETS, values // _MET + 1)
 
 
 def _shared(posted: DataFrame, buckets: int) -> DataFrame:
     """(node, shared): rows for each bucket, of the packed rows `posted`."""
-    return posted.groupBy("bucket").applyInArrow(lambda rows: _several(rows, buckets), "node long, shared array<long>")
+
+    def run(rows: pa.Table) -> pa.Table:
+        # what the last bucket took isn't needed in this one
+        pa.default_memory_pool().release_unused()
+        return _several(rows, buckets)
+
+    return posted.groupBy("bucket").applyInArrow(run, "node long, shared array<long>")
 
 
 def _posted(docs: DataFrame, threshold: float, width: int, buckets: int, text_col: str) -> DataFrame:
@@ -190,6 +196,8 @@ def _posted(docs: DataFrame, threshold: float, width: int, buckets: int, text_co
             sets = {_node(s): s for s in (shingle_set(t or b"", width) for t in texts.to_pylist())}
             values = [_values(s, threshold)[0] for s in sets.values()]
             yield _packed(np.concatenate(values), buckets, node=np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(v) for v in values]))
+            del sets, values
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "bucket int, key array<int>, node array<long>")
 
