@@ -25,10 +25,15 @@ def stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+def log_tasks(spark: SparkSession) -> int:
+    """Tasks that write logs. What takes time is the number of logs, not their size, so the tasks aren't joined by size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def write_logs(rows: DataFrame, path: str, order: list[str], name: Column | None = None) -> str:
     """Rows (user_id, value and order columns) as one log per user in a folder of its own."""
     folder = rows.withColumn("log", name if name is not None else F.concat(F.lit("u"), F.col("user_id").cast("string")))
-    folder.repartition("log").sortWithinPartitions("log", *order).select("log", "value").write.mode("append").partitionBy("log").text(path)
+    folder.repartition(log_tasks(rows.sparkSession), "log").sortWithinPartitions("log", *order).select("log", "value").write.mode("append").partitionBy("log").text(path)
     return path
 
 

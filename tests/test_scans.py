@@ -228,3 +228,23 @@ def test_an_unfinished_raw_object_ends_at_the_next_whole_one(spark, tmp_path):
     (tmp_path / "t.log").write_text(log)
     got = scan.concatenated_objects(spark, [str(tmp_path)]).collect()
     assert sorted(json.loads(r["value"])["id"] for r in got) == [1, 4, 5, 6]
+
+
+def test_a_users_logs_follow_its_own_events(spark, sf_dir, monkeypatch):
+    """Users have fewer events than a log holds, so each has one log, though the ids of its events span many times that number."""
+    from meterlake import queries
+
+    opened, lines = [], queries.lines.lines
+
+    def noted(spark, paths, **more):
+        found = lines(spark, paths, **more)
+        opened.extend(found.inputFiles())
+        return found
+
+    whole = sorted(map(tuple, queries.jsonl_scan_quarantine(spark, sf_dir).collect()))
+    monkeypatch.setattr(queries, "LOG_EVENTS", 100)
+    monkeypatch.setattr(queries.lines, "lines", noted)
+    assert sorted(map(tuple, queries.jsonl_scan_quarantine(spark, sf_dir).collect())) == whole
+    assert len(opened) == len(whole)
+    monkeypatch.setattr(queries, "LOG_EVENTS", 10)
+    assert sorted(map(tuple, queries.jsonl_scan_quarantine(spark, sf_dir).collect())) == whole
