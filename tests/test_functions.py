@@ -190,3 +190,15 @@ def test_blocks(spark):
 def test_empty_metric_summary(spark):
     got = turns.metric_summary(spark.createDataFrame([], "x long"), "x").first()
     assert (got["n"], got["mean"], got["p95"]) == (0, 0.0, 0.0)
+
+
+def test_opened_objects_keep_the_kinds_of_their_fields(spark):
+    from meterlake.functions.strict_json import given, kind, opened
+
+    docs = ['{"a":1,"b.c":"x","m":{"u":{}}}', '{"a":null,"m":{"u":[1]}}', '{"m":3}', "[1]", "{broken"]
+    rows = spark.createDataFrame(list(enumerate(docs)), "n int, doc string").select("n", F.try_parse_json("doc").alias("v"))
+    got = opened(rows, "v", {"a": None, "b.c": None, "m": {"u": {"i": None}}})
+    got = got.select("n", kind(F.col("a")), kind(F.col("`b.c`")), given(F.col("a"), "$"), F.col("m").isNotNull(), F.col("m.u").isNotNull())
+    assert sorted(map(tuple, got.collect())) == [
+        (0, "BIGINT", "STRING", True, True, True), (1, "VOID", None, False, True, False), *[(n, None, None, False, False, False) for n in (2, 3, 4)],
+    ]

@@ -355,3 +355,23 @@ def test_gemini_logs_in_several_read_groups(spark, tmp_path, monkeypatch):
         write(tmp_path / f"logs/{i}.jsonl", {**HEAD, "project_id": f"{SID[:-1]}{i}"}, gemini_row(0, "a"), gemini_row(i + 1, "b"))
     got = counts(ingest_gemini(w, [str(tmp_path / "logs")]))
     assert (got["files"], got["attempted"]) == (3, 6) and w.read("gemini_usage_events").count() == 6
+
+
+@pytest.mark.parametrize("agent", ["claude", "gemini"])
+def test_plans_of_a_run_hold_no_parsing(spark, tmp_path, monkeypatch, agent):
+    """What a run commits is read from its stored steps, so its plans don't grow with the steps and the files before."""
+    plans, commit = [], Warehouse.commit
+
+    def noted(self, appends=None, snapshots=None, changed=None, sort=None):
+        plans.extend(df._jdf.queryExecution().executedPlan().toString() for d in (appends, changed) for df in (d or {}).values())
+        commit(self, appends, snapshots, changed, sort)
+
+    monkeypatch.setattr(Warehouse, "commit", noted)
+    w = Warehouse(spark, str(tmp_path / "w"))
+    if agent == "claude":
+        write(tmp_path / "logs/p/s1.jsonl", claude(1), claude(2))
+        assert counts(ingest_sessions(w, "claude", [str(tmp_path / "logs")]))["deduped"] == 2
+    else:
+        write(tmp_path / "t.jsonl", HEAD, gemini_row(0, "a"))
+        assert counts(ingest_gemini(w, [str(tmp_path / "t.jsonl")]))["attempted"] == 1
+    assert plans and not any("parse_json" in p for p in plans)
