@@ -375,3 +375,14 @@ def test_plans_of_a_run_hold_no_parsing(spark, tmp_path, monkeypatch, agent):
         write(tmp_path / "t.jsonl", HEAD, gemini_row(0, "a"))
         assert counts(ingest_gemini(w, [str(tmp_path / "t.jsonl")]))["attempted"] == 1
     assert plans and not any("parse_json" in p for p in plans)
+
+
+def test_later_pi_logs_come_later_by_path(spark, sf_dir, monkeypatch):
+    """Spark's file names hold a random part, so logs of two runs in one folder are in no order of their own."""
+    from meterlake import agent_queries
+
+    paths = []
+    monkeypatch.setattr(agent_queries.fixtures, "write_logs", lambda rows, path, order: paths.append(path))
+    monkeypatch.setattr(agent_queries, "ingest_sessions", lambda *a, **b: None)
+    agent_queries._pi(spark, sf_dir)
+    assert len(set(paths)) == 2 and paths == sorted(paths)
